@@ -171,7 +171,7 @@ FAILED_SQL = SHARE_SQL.format(lately=LATELY, test="success is false", y=20)
 TIMEDOUT_SQL = SHARE_SQL.format(lately=LATELY, test="timed_out is true", y=3)
 PENDING_SQL = f"""count(*) filter (where received_us <= {FROM_US} and delivered_us is null
   and success is distinct from false) > 0"""
-UPTIME_SQL = f"{AS_OF_US} - min(stage0_received_us) > 2500000 * 1000000"
+UPTIME_SQL = f"{AS_OF_US} - min(stage0_received_us) > 2500000000000"
 
 
 @query(
@@ -195,7 +195,7 @@ def pending_older(t: Tables) -> DataFrame:
 @query(
     "h3_uptime_over",
     f"""with recursive {BATCH_LOG_SQL} select queue_key,
-      {AS_OF_US} - min(started_us) > 2500000 * 1000000 as unhealthy from batch_log group by queue_key""",
+      {AS_OF_US} - min(started_us) > 2500000000000 as unhealthy from batch_log group by queue_key""",
 )
 def uptime_over(t: Tables) -> DataFrame:
     rule = H.uptime_over(AS_OF_US, 2_500_000).alias("unhealthy")
@@ -406,7 +406,7 @@ def resource_snapshot(t: Tables) -> DataFrame:
     names = F.explode(F.array(*[F.lit(name) for name in groups.values()]))
 
     def part(path: str, kind: str):
-        return F.get_json_object("json", F.concat(F.lit("$."), "name", F.lit(path))).cast(kind)
+        return F.expr(f"get_json_object(json, concat('$.', name, '{path}'))").cast(kind)
 
     return document.select("json", names.alias("name")).select(
         "name", part(".status", "string").alias("status"), part(".n_pids", "bigint").alias("n_pids"),

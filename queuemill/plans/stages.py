@@ -394,8 +394,8 @@ def load_square_root():
 
 @query(
     "l2_stage_from_expression",
-    f"with {TURNS_SQL} select request_id, pos, upper(input) as output from turns",
+    f"with {TURNS_SQL} select request_id, pos, concat('re: ', input) as output from turns",
 )
 def stage_from_expression(t: Tables) -> DataFrame:
-    upper = I.Stage.from_expression(F.upper, "string", "upper")
-    return I.predict(t.turns, upper).select("request_id", "pos", "output")
+    reply = I.Stage.from_expression(lambda x: F.concat(F.lit("re: "), x), "string", "reply")
+    return I.predict(t.turns, reply).select("request_id", "pos", "output")

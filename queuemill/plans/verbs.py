@@ -176,7 +176,7 @@ def flag_queue_timeouts(t: Tables) -> DataFrame:
 @query(
     "f4_flag_client_timeouts",
     f"""with {QUEUE_SQL}, expiring as (select *, delivered_us is null and {AS_OF_US} - received_us >
-      (case when k % 5 = 0 then 480 else k * 20000 end) * 1000000 as client_timed_out from queue_log)
+      cast(case when k % 5 = 0 then 480 else k * 20000 end as bigint) * 1000000 as client_timed_out from queue_log)
       select request_id, client_timed_out,
       case when client_timed_out then true else timed_out end as timed_out,
       case when client_timed_out then {AS_OF_US} else delivered_us end as delivered_us from expiring""",
