@@ -35,7 +35,8 @@ def match(query: Mapping[str, Any] | None) -> Column:
     """Turn ``{"success": True, "received_us": {"$gt": a, "$lt": b}}`` into one boolean Column.
 
     Several columns, or several operators on one column, must all hold. Equality and ``$ne`` are
-    null-safe (``$ne`` keeps NULL rows); the result itself is never NULL, so it can be negated.
+    null-safe (``$ne`` keeps NULL rows). A comparison with NULL stays NULL, which filters, ``when`` and
+    ``count_if`` take as "no"; left bare like this, the parts can be pushed into the scan.
     """
     conditions: list[Column] = []
     for name, wanted in (query or {}).items():
@@ -45,4 +46,9 @@ def match(query: Mapping[str, Any] | None) -> Column:
             conditions.extend(_compare(F.col(name), op, value) for op, value in wanted.items())
         else:
             conditions.append(_compare(F.col(name), "$eq", wanted))
-    return F.coalesce(_all_of(conditions), F.lit(False))
+    return _all_of(conditions)
+
+
+def no_match(query: Mapping[str, Any] | None) -> Column:
+    """The rows that :func:`match` does not select, those it cannot decide included."""
+    return ~F.coalesce(match(query), F.lit(False))

@@ -388,18 +388,23 @@ def chain(
     time_column: str = "received_us",
     request_id: str = "request_id",
     hot_key_rows: int = HOT_KEY_ROWS,
+    admit: Column | None = None,
 ) -> DataFrame:
     """Run every request's ``inputs`` through the stages; stage k reads what stage k-1 answered.
 
     Adds ``outputs``, ``success``, ``last_stage``, ``error`` and, per stage k, the batch it was
     predicted in: ``stage{k}_batch_id``, ``_batch_inputs``, ``_started_us``, ``_ended_us``. If a stage
     raises, all requests of that batch fail there and no later stage sees them.
+
+    Rows for which ``admit`` is not true pass by every stage (``success`` false, ``last_stage`` -1), so
+    refused requests need no second read of the source.
     """
     rule = PackRule(1, max_wait_us, key, time_column, request_id)
+    alive = F.lit(True) if admit is None else F.coalesce(admit, F.lit(False))
     work = df.withColumns(
         {
-            "_work": F.col("inputs"),
-            "success": F.lit(True),
+            "_work": F.when(alive, F.col("inputs")),
+            "success": alive,
             "last_stage": F.lit(-1),
             "error": F.lit(None).cast("string"),
         }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuemill.functions.match import match
+from queuemill.functions.match import match, no_match
 from queuemill.functions.scalars import MICROS
 from queuemill.operators.table import search_update, upsert
 from queuemill.operators.validation import status_of
@@ -95,8 +95,8 @@ def purge_delivered(
     df: DataFrame, as_of_us: int, keep_seconds: float = RETENTION_SECONDS
 ) -> DataFrame:
     """Drop requests that were delivered more than ``keep_seconds`` ago."""
-    gone = match({"delivered_us": {"$gt": 0, "$lt": as_of_us - int(keep_seconds * MICROS)}})
-    return df.filter(~gone)
+    gone = {"delivered_us": {"$gt": 0, "$lt": as_of_us - int(keep_seconds * MICROS)}}
+    return df.filter(no_match(gone))
 
 
 def apply_results(df: DataFrame, results: DataFrame, version: Column | None = None) -> DataFrame:

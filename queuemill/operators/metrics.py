@@ -87,7 +87,10 @@ def window_metrics(
     df: DataFrame, as_of_us: int, seconds: float = DEFAULT_SECONDS,
     only: Sequence[str] | None = None,
 ) -> DataFrame:
-    return window_metrics_by(df, [], as_of_us, seconds, only)
+    """The metrics in one row. Requests that the window does not touch are skipped by the scan."""
+    within = {"$gt": as_of_us - int(seconds * MICROS), "$lt": as_of_us}
+    touched = match({"received_us": within}) | match({"delivered_us": within})
+    return window_metrics_by(df.filter(touched), [], as_of_us, seconds, only)
 
 
 def metric_rows(metrics: DataFrame, seconds: float = DEFAULT_SECONDS) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuemill.functions.match import match
+from queuemill.functions.match import match, no_match
 
 Query = Mapping[str, Any]
 
@@ -87,7 +87,7 @@ def upsert(df: DataFrame, updates: DataFrame, version: Column, key: str = "reque
 
 
 def delete(df: DataFrame, query: Query) -> DataFrame:
-    return df.filter(~match(query))
+    return df.filter(no_match(query))
 
 
 def accumulate(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -19,30 +19,33 @@ def square(inputs: list, batch_size: int = 1) -> list:
 
 
 def answer_requests(raw: DataFrame, stages: list[Stage]) -> DataFrame:
-    """Validate, answer the refused and empty ones at once, predict the rest, build the envelope.
+    """Validate, predict what is valid in batches, and build every request's answer in one pass.
 
     ``raw`` has request_id, payload, input_type, queue_key and received_us; inputs are whole numbers.
+    Refused and empty requests travel along, past the stages.
     """
-    accepted, answered = V.split_requests(V.validate_requests(raw))
-    numbers = F.transform(
-        "inputs", lambda v: F.try_variant_get(v, "$", "bigint")
+    last = len(stages) - 1
+    checked = V.validate_requests(raw)
+    numbers = F.transform("inputs", lambda v: F.try_variant_get(v, "$", "bigint"))
+    queued = checked.select(
+        "request_id", "input_type", "queue_key", "received_us", "reason", "is_valid",
+        F.col("success").alias("admitted"), numbers.alias("inputs"),
     )
-    queued = accepted.select(
-        "request_id", "input_type", "queue_key", "received_us", numbers.alias("inputs")
+    scored = chain(queued, stages, admit=F.col("is_valid")).withColumn(
+        "timed_out", F.lit(None).cast("boolean")
     )
-    scored = chain(queued, stages).withColumn("timed_out", F.lit(None).cast("boolean"))
-    done = V.build_response(V.resolve_status(scored, len(stages) - 1), len(stages) - 1)
-    predicted = done.select(
-        "request_id", "input_type", F.lit(False).alias("refused"),
-        "response_success", "response_reason", "prediction",
+    done = V.build_response(V.resolve_status(scored, last), last)
+    valid, admitted = F.col("is_valid"), F.col("admitted")
+    empty = F.array().cast(done.schema["prediction"].dataType)
+    answered = done.select(
+        "request_id",
+        "input_type",
+        (~admitted).alias("refused"),
+        F.when(valid, F.col("response_success")).otherwise(admitted).alias("response_success"),
+        F.when(valid, F.col("response_reason")).otherwise(F.col("reason")).alias("response_reason"),
+        F.when(valid, F.col("prediction")).when(admitted, empty).alias("prediction"),
     )
-    prediction_type = predicted.schema["prediction"].dataType
-    at_once = answered.select(
-        "request_id", "input_type", (~F.col("success")).alias("refused"),
-        F.col("success").alias("response_success"), F.col("reason").alias("response_reason"),
-        F.when(F.col("success"), F.array().cast(prediction_type)).alias("prediction"),
-    )
-    return V.http_status(predicted.unionByName(at_once))
+    return V.http_status(answered)
 
 
 @query(

@@ -91,6 +91,8 @@ def queue_stream(t: Tables) -> DataFrame:
     return log_stream(t).withColumn("last_stage", F.when(waiting, -1).otherwise(0))
 
 
+MARK_SQL = f"(select max(at_us) // 1000 * 1000 - {DELAY_SECONDS * 1_000_000} from moments)"
+
 LIFECYCLE_SQL = (
     QUEUE_SQL
     + """, moments as (
@@ -111,36 +113,35 @@ LIFECYCLE_SQL = (
 )
 
 
+LIVES = "request_id, last_stage, success, received_us, delivered_us, version_us, n_events"
+SILENCE_SECONDS = 3600
+
+
 @query(
     "k2_lifecycle_stream",
-    f"""with {LIFECYCLE_SQL} select request_id, last_stage, success, received_us, delivered_us,
-      version_us, n_events from lives""",
+    f"""with {LIFECYCLE_SQL}, last_seen as (select request_id, max(at_us) as seen_us from moments
+      group by request_id)
+      select {LIVES} from lives join last_seen using (request_id)
+      where seen_us + {SILENCE_SECONDS * 1_000_000} <= {MARK_SQL}""",
 )
 def lifecycle_stream(t: Tables) -> DataFrame:
-    changes = run_available(
-        lifecycle.lifecycle_stream(lifecycle_events(queue_stream(t))), "lifecycle"
-    )
-    return lifecycle.newest_rows(changes).drop("timed_out")
+    events = lifecycle_events(queue_stream(t))
+    closed = lifecycle.closed_lifecycles(events, SILENCE_SECONDS, f"{DELAY_SECONDS} seconds")
+    return run_available(closed, "lifecycle")
 
 
-@query(
-    "k2_lifecycle_batch",
-    f"""with {LIFECYCLE_SQL} select request_id, last_stage, success, received_us, delivered_us,
-      version_us, n_events from lives""",
-)
+@query("k2_lifecycle_batch", f"with {LIFECYCLE_SQL} select {LIVES} from lives")
 def lifecycle_batch(t: Tables) -> DataFrame:
-    waiting = t.queue_log.drop("success").join(
-        t.request_log.select("request_id", "success"), "request_id"
-    )
-    return lifecycle.fold_lifecycle(lifecycle_events(waiting)).drop("timed_out")
+    waiting = F.col("success").isNull() & (F.col("k") % 2 == 0)
+    log = t.request_log.withColumn("last_stage", F.when(waiting, -1).otherwise(0))
+    return lifecycle.fold_lifecycle(lifecycle_events(log))
 
 
 @query(
     "k3_timeout_stream",
-    f"""with {LIFECYCLE_SQL}, mark as (select max(at_us) // 1000 - {DELAY_SECONDS * 1000} as at_ms
-      from moments)
-      select request_id, received_us, true as timed_out from lives where delivered_us is null
-      and last_stage <> 0 and received_us // 1000 + {TIMEOUT_SECONDS * 1000} <= (select at_ms from mark)""",
+    f"""with {LIFECYCLE_SQL} select request_id, received_us, true as timed_out from lives
+      where delivered_us is null and last_stage <> 0
+      and received_us + {TIMEOUT_SECONDS * 1_000_000} <= {MARK_SQL}""",
 )
 def timeout_stream(t: Tables) -> DataFrame:
     flagged = lifecycle.timeout_stream(

@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from queuemill.operators.ordering import global_index
 
+BROADCAST_FILES = 100_000  # paths and numbers of that many files are some tens of megabytes
+
 
 def read_requests_json(df: DataFrame, payload: str = "payload", name: str = "inputs") -> DataFrame:
     """Parse the JSON text of each request into a ``variant``; ``{"data": X}`` is unwrapped to X.
@@ -38,7 +40,11 @@ def read_binary_requests(spark: SparkSession, path: str, glob: str | None = None
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
-    numbered = global_index(files.select("path"), ["path"], name="index")
+    paths = files.select("path")
+    count = paths.count()
+    numbered = global_index(paths, ["path"], name="index", rows=count)
+    if count <= BROADCAST_FILES:  # the contents then stay where they were read
+        numbered = F.broadcast(numbered)
     return files.join(numbered, "path").select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),

@@ -1,80 +1,79 @@
-"""Request life cycle as keyed state with event-time timers, and the same fold in batch.
+"""Life of a request from its events, as a stream and in batch.
 
 An event row is ``request_id, event_time, kind, stage, success``; ``kind`` is ``received``, ``claimed``,
 ``finished`` or ``delivered``. Events of one request may come in any order: the newest one wins.
+
+``closed_lifecycles`` and ``timeout_stream`` are session windows: the fold runs in the JVM, and the
+watermark plays the part of the timers. ``lifecycle_stream`` instead reports every change as it comes,
+which takes state of its own and a Python call per request; use it where the volume allows that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from queuemill.operators.lifecycle import RETENTION_SECONDS
 
-OUTPUT_SCHEMA = (
-    "request_id bigint, last_stage int, success boolean, received_us bigint, "
-    "delivered_us bigint, timed_out boolean, version_us bigint, n_events bigint"
-)
 STATE_SCHEMA = (
     "last_stage int, success boolean, received_us bigint, delivered_us bigint, "
     "timed_out boolean, version_us bigint, n_events bigint"
 )
+OUTPUT_SCHEMA = f"request_id bigint, {STATE_SCHEMA}"
+COLUMNS = [part.split()[0] for part in OUTPUT_SCHEMA.split(",")]
 EMPTY_STATE = (None, None, None, None, None, None, 0)
 
 
-class RequestLifecycle(StatefulProcessor):
-    """One request's row: updated by its events, flagged by a timer, cleared after retention."""
-
-    def __init__(self, timeout_seconds: float | None, last_stage: int, keep_seconds: float):
-        self.timeout_ms = None if timeout_seconds is None else int(timeout_seconds * 1000)
-        self.last_stage = last_stage
-        self.keep_ms = int(keep_seconds * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.row = handle.getValueState("row", STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.row.exists()
-        state = list(self.row.get()) if known else list(EMPTY_STATE)
-        was_received, was_delivered = state[2], state[3]
-        for frame in rows:
-            state = _fold(state, frame)
-        self.row.update(tuple(state))
-        received, delivered = state[2], state[3]
-        if self.timeout_ms is not None and was_received is None and received is not None:
-            self.handle.registerTimer(received // 1000 + self.timeout_ms)
-        if was_delivered is None and delivered is not None:
-            self.handle.registerTimer(delivered // 1000 + self.keep_ms)
-        yield _as_frame(key, state)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.row.exists():
-            return
-        state = list(self.row.get())
-        delivered = state[3]
-        if delivered is not None:
-            if expiredTimerInfo.getExpiryTimeInMs() >= delivered // 1000 + self.keep_ms:
-                self.row.clear()
+def step(
+    key: tuple,
+    frames: Iterator[pd.DataFrame],
+    state: GroupState,
+    timeout_ms: int | None,
+    last_stage: int,
+    keep_ms: int,
+) -> Iterator[pd.DataFrame]:
+    """Advance one request: by its new events, or because its timer expired.
+
+    One timer is enough. Until the answer is delivered it stands for the waiting time, afterwards
+    (and after a time-out) for the retention, at whose end the state goes away.
+    """
+    if state.hasTimedOut:
+        row = list(state.get)
+        stage, delivered, timed_out = row[0], row[3], row[4]
+        if delivered is not None or timed_out or stage == last_stage:
+            state.remove()
             return
-        if state[0] != self.last_stage and not state[4]:
-            state[4] = True
-            self.row.update(tuple(state))
-            yield _as_frame(key, state)
-
-    def close(self) -> None:
-        pass
+        row[4] = True
+        state.update(tuple(row))
+        _set_timer(state, state.getCurrentWatermarkMs() + keep_ms)
+        yield pd.DataFrame([[key[0], *row]], columns=COLUMNS, dtype=object)
+        return
+    row = list(state.get) if state.exists else list(EMPTY_STATE)
+    for frame in frames:
+        row = _fold(row, frame)
+    state.update(tuple(row))
+    received, delivered = row[2], row[3]
+    if delivered is not None:
+        _set_timer(state, delivered // 1000 + keep_ms)
+    elif timeout_ms is not None and received is not None and row[0] != last_stage:
+        _set_timer(state, received // 1000 + timeout_ms)
+    yield pd.DataFrame([[key[0], *row]], columns=COLUMNS, dtype=object)
+
+
+def _set_timer(state: GroupState, at_ms: int) -> None:
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
 
 
 def _fold(state: list, frame: pd.DataFrame) -> list:
     """Apply the events of one Arrow batch to a request's state, newest last."""
     last_stage, success, received, delivered, timed_out, version, n_events = state
     for kind, at, stage, good in zip(
-        frame["kind"], frame["at_us"], frame["stage"], frame["success"]
+        *(frame[name].tolist() for name in ("kind", "at_us", "stage", "success"))
     ):
         at = int(at)
         n_events += 1
@@ -88,11 +87,6 @@ def _fold(state: list, frame: pd.DataFrame) -> list:
     return [last_stage, success, received, delivered, timed_out, version, n_events]
 
 
-def _as_frame(key: tuple, state: list) -> pd.DataFrame:
-    names = [part.strip().split(" ")[0] for part in OUTPUT_SCHEMA.split(",")]
-    return pd.DataFrame([[key[0], *state]], columns=names, dtype=object)
-
-
 def _events(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("event_time", delay).select(
         "request_id", "event_time", "kind", F.unix_micros("event_time").alias("at_us"),
@@ -108,23 +102,58 @@ def lifecycle_stream(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """The current row of every request that changed, as events come in and timers expire."""
+    advance = partial(
+        step,
+        timeout_ms=None if timeout_seconds is None else int(timeout_seconds * 1000),
+        last_stage=last_stage,
+        keep_ms=int(keep_seconds * 1000),
+    )
     return (
         _events(stream, delay)
         .groupBy("request_id")
-        .transformWithStateInPandas(
-            statefulProcessor=RequestLifecycle(timeout_seconds, last_stage, keep_seconds),
-            outputStructType=OUTPUT_SCHEMA,
-            outputMode="Append",
-            timeMode="EventTime",
+        .applyInPandasWithState(
+            advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
 
+def closed_lifecycles(
+    stream: DataFrame, silence_seconds: int, delay: str = "10 minutes"
+) -> DataFrame:
+    """One row per request once nothing has happened to it for ``silence_seconds``."""
+    sessions = F.session_window("event_time", f"{silence_seconds} seconds")
+    return (
+        stream.withWatermark("event_time", delay)
+        .groupBy("request_id", sessions.alias("_session"))
+        .agg(*_fold_columns())
+        .drop("_session")
+    )
+
+
 def timeout_stream(
-    stream: DataFrame, timeout_seconds: float, last_stage: int = 0, delay: str = "10 minutes"
+    stream: DataFrame, timeout_seconds: int, last_stage: int = 0, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Only the requests whose waiting time ran out, when it did."""
-    return lifecycle_stream(stream, last_stage, timeout_seconds, delay=delay).filter("timed_out")
+    """The requests whose waiting time ran out before the last stage took them, when it did.
+
+    A ``received`` event keeps its request's session open for the waiting time, other events only
+    extend it by themselves: so the session of a waiting request ends exactly when its time is up.
+    """
+    gap = F.when(F.col("kind") == "received", f"{timeout_seconds} seconds").otherwise(
+        "1 millisecond"
+    )
+    waited = (
+        F.col("received_us").isNotNull()
+        & F.col("delivered_us").isNull()
+        & (F.col("last_stage") != last_stage)
+    )
+    return (
+        stream.withWatermark("event_time", delay)
+        .groupBy("request_id", F.session_window("event_time", gap).alias("_session"))
+        .agg(*_fold_columns())
+        .filter(waited)
+        .drop("_session")
+        .withColumn("timed_out", F.lit(True))
+    )
 
 
 def newest_rows(changes: DataFrame) -> DataFrame:
@@ -136,16 +165,19 @@ def newest_rows(changes: DataFrame) -> DataFrame:
     return changes.groupBy("request_id").agg(newest.alias("_row")).select("request_id", "_row.*")
 
 
-def fold_lifecycle(events: DataFrame) -> DataFrame:
-    """The same fold over a finished table of events: plain aggregates, combined before the shuffle."""
+def _fold_columns() -> list[Column]:
     at = F.unix_micros("event_time")
     moves = F.when(F.col("kind") != "delivered", at)
-    return events.groupBy("request_id").agg(
+    return [
         F.max_by(F.col("stage").cast("int"), moves).alias("last_stage"),
         F.max_by("success", moves).alias("success"),
         F.max(F.when(F.col("kind") == "received", at)).alias("received_us"),
         F.max(F.when(F.col("kind") == "delivered", at)).alias("delivered_us"),
-        F.lit(None).cast("boolean").alias("timed_out"),
         F.max(moves).alias("version_us"),
         F.count(F.lit(1)).alias("n_events"),
-    )
+    ]
+
+
+def fold_lifecycle(events: DataFrame) -> DataFrame:
+    """The same fold over a finished table of events, combined before the shuffle."""
+    return events.groupBy("request_id").agg(*_fold_columns())
