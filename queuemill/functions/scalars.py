@@ -14,13 +14,18 @@ def to_micros(column: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """Scale an array of numbers to unit length; a zero vector stays as it is."""
-    total = F.aggregate(
-        vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
-    )
-    norm = F.sqrt(total)
-    return F.transform(
-        vector, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x.cast("double") / norm)
+    """Scale an array of numbers to unit length; a zero vector stays as it is.
+
+    The division sits in the fold's last step, so the sum of squares is formed once per vector.
+    """
+    return F.aggregate(
+        vector,
+        F.lit(0.0),
+        lambda total, x: total + x.cast("double") * x.cast("double"),
+        lambda total: F.transform(
+            vector,
+            lambda x: x.cast("double") / F.when(total == 0, F.lit(1.0)).otherwise(F.sqrt(total)),
+        ),
     )
 
 

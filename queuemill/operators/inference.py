@@ -25,7 +25,6 @@ from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema, to_arrow_
 
 from queuemill.functions.scalars import l2_normalize
 from queuemill.operators.packing import (
-    HOT_KEY_ROWS,
     PackRule,
     check_sizes,
     hot_keys,
@@ -35,9 +34,10 @@ from queuemill.operators.packing import (
     pack_batches,
     sorted_by_queue,
 )
-from queuemill.session import cut_lineage
+from queuemill.session import shuffle_partitions, stored
 
 Predictor = Callable[..., Sequence[Any]]
+HOT_QUEUE_REQUESTS = 100_000  # predicting that many requests one after another takes long enough
 
 
 def _type(returns: T.DataType | str) -> T.DataType:
@@ -319,9 +319,12 @@ def _chain_schema(df: DataFrame, stages: list[tuple[int, Stage]]) -> T.StructTyp
 
 
 def _python_stages(df: DataFrame, stages: list[tuple[int, Stage]], rule: PackRule) -> DataFrame:
-    """All given stages fused over rows sorted by queue: one shuffle for packing and predicting."""
+    """All given stages fused over rows sorted by queue: one shuffle for packing and predicting.
+
+    Few bytes can mean much model time, so partitions are not merged by their size.
+    """
     schema = _chain_schema(df, stages)
-    return sorted_by_queue(df, rule).mapInArrow(
+    return sorted_by_queue(df, rule, shuffle_partitions(df.sparkSession)).mapInArrow(
         partial(
             _run_chain, stages=stages, rule=rule, schema=to_arrow_schema(schema), packed=False
         ),
@@ -338,9 +341,9 @@ def _python_stage_packed(
     """One stage over hot queues: batches are numbered first, then spread over all tasks.
 
     Only the narrow packing columns take part in the global sort; the inputs join them by id.
-    ``df`` is checkpointed: it is read for both, and its predictions must not run again.
+    ``df`` is stored first: it is read for both, and its predictions must not run again.
     """
-    df = cut_lineage(df)
+    df = stored(df, "stage-input")
     narrow = df.filter("success").select(*rule.order, F.size("_work").alias(rule.size))
     packed = pack_batches(
         narrow, stage.batch_size, rule.max_wait_us, rule.key,
@@ -352,7 +355,7 @@ def _python_stage_packed(
     return (
         df.join(packed, rule.request_id, "left")
         .withColumn("batch_id", F.coalesce("batch_id", elsewhere))
-        .repartition(rule.key, "batch_id")
+        .repartition(shuffle_partitions(df.sparkSession), rule.key, "batch_id")
         .sortWithinPartitions(rule.key, "batch_id", rule.time, rule.request_id)
         .mapInArrow(
             partial(
@@ -387,7 +390,7 @@ def chain(
     key: str = "queue_key",
     time_column: str = "received_us",
     request_id: str = "request_id",
-    hot_key_rows: int = HOT_KEY_ROWS,
+    hot_key_rows: int = HOT_QUEUE_REQUESTS,
     admit: Column | None = None,
 ) -> DataFrame:
     """Run every request's ``inputs`` through the stages; stage k reads what stage k-1 answered.

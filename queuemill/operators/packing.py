@@ -210,8 +210,10 @@ def _packed_schema(df: DataFrame) -> T.StructType:
     )
 
 
-def sorted_by_queue(df: DataFrame, rule: PackRule) -> DataFrame:
-    return df.repartition(rule.key).sortWithinPartitions(*rule.order)
+def sorted_by_queue(df: DataFrame, rule: PackRule, tasks: int | None = None) -> DataFrame:
+    """Queues in order; with ``tasks`` given, adaptive execution leaves the partitions alone."""
+    spread = df.repartition(tasks, rule.key) if tasks else df.repartition(rule.key)
+    return spread.sortWithinPartitions(*rule.order)
 
 
 def _pack_by_key(df: DataFrame, rule: PackRule) -> DataFrame:

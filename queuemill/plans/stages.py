@@ -190,7 +190,7 @@ def chain_of_three(t: Tables, hot_key_rows: int) -> DataFrame:
 
 @query("d7_chain", f"with recursive {CHAINED_SQL} select {CHAINED_COLUMNS} from chained")
 def chain(t: Tables) -> DataFrame:
-    return chain_of_three(t, P.HOT_KEY_ROWS)
+    return chain_of_three(t, I.HOT_QUEUE_REQUESTS)
 
 
 @query(

@@ -11,7 +11,7 @@ from queuemill.plans.registry import query
 from queuemill.plans.views import LOG_SQL, QUEUE_SQL, Tables, log_of
 from queuemill.sources.requests import read_request_stream
 from queuemill.streaming import lifecycle, metrics, scoring
-from queuemill.streaming.runner import run_available
+from queuemill.streaming.runner import run_available, run_bounded
 
 TIMEOUT_SECONDS = 7 * 24 * 3600
 DELAY_SECONDS = 600
@@ -187,3 +187,19 @@ def metrics_stream(t: Tables) -> DataFrame:
     moments = metrics.request_moments(log_stream(t))
     counters = metrics.metrics_stream(moments, WINDOW_SECONDS, SLIDE_SECONDS, DELAY_SECONDS)
     return run_available(counters, "metrics")
+
+
+@query(
+    "k6_bounded_trigger",
+    f"""with {LOG_SQL} select request_id, cast(k * 3 * n_inputs as bigint) as output_sum
+      from request_log""",
+)
+def bounded_trigger(t: Tables) -> DataFrame:
+    requests = log_stream(t).select(
+        "request_id", "queue_key", "received_us", F.expr("array_repeat(k, n_inputs)").alias("inputs")
+    )
+    scored = scoring.score_stream(requests, [Stage.from_function(triple, "int", 64)])
+    total = F.aggregate("outputs", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return run_bounded(
+        scored.select("request_id", total.alias("output_sum")), "bounded", 64, max_wait_seconds=0.1
+    )

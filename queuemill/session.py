@@ -64,7 +64,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(checkpoint_root(spark), "queuemill", f"{label}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back, column by column."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The configured number of shuffle partitions, for exchanges that must not be coalesced."""
+    value = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(value) if value.isdigit() else spark.sparkContext.defaultParallelism
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so that later steps reread it after executor loss."""
+    """Checkpoint ``df`` in the shared folder with its partitions as they are.
+
+    Later steps reread it, also after executor loss.
+    """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -16,10 +16,9 @@ def read_requests_json(df: DataFrame, payload: str = "payload", name: str = "inp
 
     NULL means undecodable text; JSON ``null`` stays a variant null.
     """
-    parsed = f"try_parse_json(`{payload}`)"
-    return df.withColumn(
-        name, F.expr(f"coalesce(try_variant_get({parsed}, '$.data', 'variant'), {parsed})")
-    )
+    parsed = df.withColumn("_parsed", F.try_parse_json(payload))
+    wrapped = F.try_variant_get("_parsed", "$.data", "variant")
+    return parsed.withColumn(name, F.coalesce(wrapped, "_parsed")).drop("_parsed")
 
 
 def read_request_array_file(spark: SparkSession, path: str) -> DataFrame:

@@ -52,3 +52,23 @@ def bounded_trigger(
     return writer.option(
         "checkpointLocation", checkpoint or scratch_path(spark, "bounded-progress")
     )
+
+
+def run_bounded(
+    stream: DataFrame, label: str, batch_size: int, max_wait_seconds: float
+) -> DataFrame:
+    """Run a stream under :func:`bounded_trigger` until it has caught up; return its table."""
+    spark = stream.sparkSession
+    out, before = scratch_path(spark, label), spark.conf.get(ARROW_RECORDS)
+    try:
+        query = (
+            bounded_trigger(stream, batch_size, max_wait_seconds)
+            .format("parquet")
+            .option("path", out)
+            .start()
+        )
+        query.processAllAvailable()
+        query.stop()
+    finally:
+        spark.conf.set(ARROW_RECORDS, before)
+    return spark.read.schema(stream.schema).parquet(out)
