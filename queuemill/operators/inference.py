@@ -503,10 +503,20 @@ def infer_output_schema(example: list, functions: Iterable[Predictor]) -> list[T
     types = []
     for fn in functions:
         example = list(fn(example, batch_size=len(example)))
-        types.append(from_arrow_type(pa.array(example).type))
+        types.append(_value_type(example))
     return types
 
 
+def _value_type(values: list) -> T.DataType:
+    """Spark type of some answers; tuples become structs with fields ``_1``, ``_2``, ..."""
+    if values and all(isinstance(v, tuple) and len(v) == len(values[0]) for v in values):
+        columns = zip(*values)
+        return T.StructType(
+            [T.StructField(f"_{i}", _value_type(list(c))) for i, c in enumerate(columns, start=1)]
+        )
+    return from_arrow_type(pa.array(values).type)
+
+
 def embed_text(df: DataFrame, stage: Stage, text: str = "text", name: str = "embedding") -> DataFrame:
     """Text to unit-length vectors; the stage may return any scale."""
     scored = predict(df, stage, column=text)

@@ -130,3 +130,30 @@ def test_packing_and_predicting_share_one_shuffle(requests):
     stages = [I.Stage.from_function(plus_one, "int", 8), I.Stage.from_function(plus_one, "int", 4)]
     plan = I.chain(requests, stages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_tuple_answers_become_structs(requests):
+    def tagged(inputs, batch_size=1):
+        return [(1, x) for x in inputs]
+
+    def tagged_again(inputs, batch_size=1):
+        return [(2, x) for x in inputs]
+
+    first, second = I.infer_output_schema([5], [tagged, tagged_again])
+    assert second.simpleString() == "struct<_1:bigint,_2:struct<_1:bigint,_2:bigint>>"
+    scored = I.chain(requests, [I.Stage.from_function(tagged, first, 8)])
+    assert scored.filter("outputs._2 != inputs or exists(outputs, o -> o._1 != 1)").count() == 0
+
+
+def test_numpy_answers(spark):
+    def encode(inputs, batch_size=1):
+        import numpy as np
+
+        return np.asarray([[len(x), 1.0, 0.0] for x in inputs], dtype="float32")
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(20)], "id int, text string")
+    stage = I.Stage.from_function(encode, "array<float>", 4)
+    rows = I.embed_text(df, stage).orderBy("id").collect()
+    for row in rows:
+        assert sum(x * x for x in row.embedding) == pytest.approx(1.0)
+        assert row.embedding[0] == pytest.approx(row.id / (row.id**2 + 1) ** 0.5, rel=1e-6)
