@@ -20,6 +20,7 @@ from queuemill.plans.views import (
     SAMPLES_SQL,
     WEEK_SECONDS,
     Tables,
+    rounded,
 )
 from queuemill.sources.sinks import report_json, resource_snapshot_json, to_prometheus_text
 
@@ -45,23 +46,13 @@ METRIC_SQL = {
         f"count(*) filter (where {DELIVERED} and success is true and timed_out is distinct from true)",
     "avg_total_time_per_req_for_reqs_in_last_x_seconds":
         f"""round(sum((delivered_us - received_us) / 1000000.0) filter (where {ANSWERED})
-          / count(*) filter (where {ANSWERED} and success is true), 6)""",
+          / count(*) filter (where {ANSWERED} and success is true) + 1e-9, 6)""",
     "avg_actual_total_time_per_req_for_reqs_in_last_x_seconds":
         f"""round(sum((stage0_predicted_us - stage0_received_us) / 1000000.0) filter (where {ANSWERED})
-          / count(*) filter (where {ANSWERED} and success is true), 6)""",
+          / count(*) filter (where {ANSWERED} and success is true) + 1e-9, 6)""",
 }
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Round every double to six digits."""
-    return df.select(
-        *[
-            F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
 def _register_metric(number: int, name: str) -> None:
     short = name.replace("_in_last_x_seconds", "").replace("_for_reqs", "")
 
@@ -154,8 +145,8 @@ def prometheus_text(t: Tables) -> DataFrame:
 @query(
     "g12_utilisation",
     f"""with recursive {BATCH_LOG_SQL} select queue_key,
-      round(sum((ended_us - started_us) / 3600000000.0), 6) as total_predictor_run_for_hours,
-      round(({AS_OF_US} - min(started_us)) / 3600000000.0, 6) as total_predictor_up_for_hours
+      round(sum((ended_us - started_us) / 3600000000.0) + 1e-9, 6) as total_predictor_run_for_hours,
+      round(({AS_OF_US} - min(started_us)) / 3600000000.0 + 1e-9, 6) as total_predictor_up_for_hours
       from batch_log group by queue_key""",
 )
 def utilisation(t: Tables) -> DataFrame:
@@ -230,14 +221,14 @@ def health_verdict(t: Tables) -> DataFrame:
 COUNTED_SQL = CALLS_SQL + ", counted as (select * from calls where not is_warmup)"
 THROUGHPUT_SQL = f"""count(*) as total_requests, count(*) filter (where success) as successes,
   count(*) filter (where not success) as failures,
-  round(count(*) filter (where success) * 100.0 / count(*), 6) as success_rate,
-  round(count(*) / {BENCH_SECONDS}, 6) as actual_rps"""
-STATS_SQL = """round(avg(latency_ms) filter (where success), 6) as average_latency_ms,
-  round(stddev_pop(latency_ms) filter (where success), 6) as std_latency_ms,
-  round(min(latency_ms) filter (where success), 6) as min_latency_ms,
-  round(max(latency_ms) filter (where success), 6) as max_latency_ms"""
+  round(count(*) filter (where success) * 100.0 / count(*) + 1e-9, 6) as success_rate,
+  round(count(*) / {BENCH_SECONDS} + 1e-9, 6) as actual_rps"""
+STATS_SQL = """round(avg(latency_ms) filter (where success) + 1e-9, 6) as average_latency_ms,
+  round(stddev_pop(latency_ms) filter (where success) + 1e-9, 6) as std_latency_ms,
+  round(min(latency_ms) filter (where success) + 1e-9, 6) as min_latency_ms,
+  round(max(latency_ms) filter (where success) + 1e-9, 6) as max_latency_ms"""
 MARKS_SQL = ", ".join(
-    f"round(quantile_cont(latency_ms, {p}), 6) as p{p * 100:g}_latency_ms" for p in B.PERCENTILES
+    f"round(quantile_cont(latency_ms, {p}) + 1e-9, 6) as p{p * 100:g}_latency_ms" for p in B.PERCENTILES
 )
 
 
@@ -275,7 +266,7 @@ def throughput(t: Tables) -> DataFrame:
 
 
 PER_CONNECTION_SQL = f"""select connection_id, {THROUGHPUT_SQL},
-  round(coalesce(avg(latency_ms) filter (where success), 0), 6) as average_latency_ms
+  round(coalesce(avg(latency_ms) filter (where success), 0) + 1e-9, 6) as average_latency_ms
   from counted group by connection_id"""
 
 
@@ -355,7 +346,7 @@ ROLLED_SQL = (
 
 @query(
     "j1_sum_by_role",
-    f"with {TICKS_SQL} select role, ts, round(cpu, 6) as cpu, round(ram_mb, 6) as ram_mb from ticks",
+    f"with {TICKS_SQL} select role, ts, round(cpu + 1e-9, 6) as cpu, round(ram_mb + 1e-9, 6) as ram_mb from ticks",
 )
 def sum_by_role(t: Tables) -> DataFrame:
     return rounded(J.sum_by_role(t.samples))
@@ -363,9 +354,10 @@ def sum_by_role(t: Tables) -> DataFrame:
 
 @query(
     "j2_with_gpu",
-    f"""with {SAMPLES_SQL}, reading as (select ts, pid, max(util) as gpu_util, max(mem) as gpu_mem
+    f"""with {SAMPLES_SQL}, reading as (select ts, pid, cast(max(util) as bigint) as gpu_util,
+      cast(max(mem) as bigint) as gpu_mem
       from gpu group by ts, pid)
-      select role, ts, pid, round(cpu, 6) as cpu, coalesce(gpu_util, 0) as gpu_util,
+      select role, ts, pid, round(cpu + 1e-9, 6) as cpu, coalesce(gpu_util, 0) as gpu_util,
       coalesce(gpu_mem, 0) as gpu_mem from samples left join reading using (ts, pid)""",
 )
 def with_gpu(t: Tables) -> DataFrame:
@@ -376,7 +368,7 @@ def with_gpu(t: Tables) -> DataFrame:
 
 @query(
     "j3_rolling_stats",
-    f"""with {ROLLED_SQL} select role, ts, {', '.join(f'round({c}, 6) as {c}' for c in
+    f"""with {ROLLED_SQL} select role, ts, {', '.join(f'round({c} + 1e-9, 6) as {c}' for c in
       ('cpu', 'ram_mb', 'cpu_min', 'cpu_max', 'cpu_avg', 'ram_mb_min', 'ram_mb_max', 'ram_mb_avg'))}
       from rolled""",
 )

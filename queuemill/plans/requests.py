@@ -80,7 +80,7 @@ def read_request_array_file(t: Tables) -> DataFrame:
 
 @query("a3_read_binary_requests")
 def read_binary_requests(t: Tables) -> DataFrame:
-    files = R.read_binary_requests(t.spark, t.sf_dir, "*.parquet")
+    files = R.read_binary_requests(t.spark, t.sf_dir, "*.parquet", recursive=True)
     return files.select("name", "type", "n_bytes", "output_name")
 
 
@@ -89,7 +89,7 @@ def read_binary_requests(t: Tables) -> DataFrame:
     "select event_id, user_id, event_type, round(value, 6) as value from events",
 )
 def read_request_stream(t: Tables) -> DataFrame:
-    stream = R.read_request_stream(t.spark, t.sf_dir, t.events.schema, glob="events.parquet")
+    stream = R.read_request_stream(t.spark, t.stream_path("events"), t.events.schema)
     return run_available(
         stream.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value")),
         "intake",

@@ -21,6 +21,7 @@ from queuemill.plans.views import (
     TURNS_SQL,
     Tables,
     pack_sql,
+    rounded,
 )
 
 BATCH = 32
@@ -69,7 +70,8 @@ def flatten_inputs(t: Tables) -> DataFrame:
 @query(
     "d2_pack_batches",
     f"""with recursive {LOG_SQL}, {pack_sql('p', 'request_log', BATCH, SIX_HOURS_US)}
-      select queue_key, request_id, batch_id, batch_offset from p""",
+      select queue_key, request_id, cast(batch_id as bigint) as batch_id,
+      cast(batch_offset as bigint) as batch_offset from p""",
 )
 def pack_batches(t: Tables) -> DataFrame:
     log = t.request_log.select("queue_key", "request_id", "received_us", "n_inputs")
@@ -81,7 +83,8 @@ def pack_batches(t: Tables) -> DataFrame:
     "d2_pack_hot_queue",
     f"""with recursive {LOG_SQL}, lanes as (select *, case when queue_key % 3 = 0 then 0 else queue_key
       end as lane from request_log), {pack_sql('p', 'lanes', BATCH, SIX_HOURS_US, 'lane')}
-      select lane, request_id, batch_id, batch_offset from p""",
+      select lane, request_id, cast(batch_id as bigint) as batch_id,
+      cast(batch_offset as bigint) as batch_offset from p""",
 )
 def pack_hot_queue(t: Tables) -> DataFrame:
     """One queue takes a third of all requests and is packed in segments."""
@@ -284,8 +287,8 @@ def tuned(t: Tables) -> DataFrame:
     f"""with {TUNED_SQL}, stages as (select distinct queue_key, 'predictor.py' as predictor_name,
       0 as predictor_sequence from marked)
     select queue_key, predictor_name, predictor_sequence, optimal_batch_size,
-      round(time_per_example, 6) as time_per_example, 'running' as status,
-      round(greatest(0.003, time_per_example * 0.51), 6) as max_wait_seconds
+      round(time_per_example + 1e-9, 6) as time_per_example, 'running' as status,
+      round(greatest(0.003, time_per_example * 0.51) + 1e-9, 6) as max_wait_seconds
       from stages left join tuned using (queue_key)""",
 )
 def stage_registry(t: Tables) -> DataFrame:
@@ -294,10 +297,9 @@ def stage_registry(t: Tables) -> DataFrame:
             "queue_key", "'predictor.py' as predictor_name", "0 as predictor_sequence"
         )
     )
-    return recipes.stage_registry(stages, tuned(t)).select(
+    return rounded(recipes.stage_registry(stages, tuned(t))).select(
         "queue_key", "predictor_name", "predictor_sequence", "optimal_batch_size",
-        F.round("time_per_example", 6).alias("time_per_example"), "status",
-        F.round("max_wait_seconds", 6).alias("max_wait_seconds"),
+        "time_per_example", "status", "max_wait_seconds",
     )
 
 
@@ -331,34 +333,30 @@ def batch_log(t: Tables) -> DataFrame:
 
 @query(
     "e1_time_per_example",
-    f"""with {TUNED_SQL} select queue_key, batch_size, round(time_per_example, 6) as time_per_example
+    f"""with {TUNED_SQL} select queue_key, batch_size, round(time_per_example + 1e-9, 6) as time_per_example
       from measured""",
 )
 def time_per_example(t: Tables) -> DataFrame:
-    return tuning.time_per_example(t.batch_times).select(
-        "queue_key", "batch_size", F.round("time_per_example", 6).alias("time_per_example")
-    )
+    return rounded(tuning.time_per_example(t.batch_times))
 
 
 @query(
     "e2_choose_batch_size",
     f"""with {TUNED_SQL} select queue_key, optimal_batch_size,
-      round(time_per_example, 6) as time_per_example from tuned""",
+      round(time_per_example + 1e-9, 6) as time_per_example from tuned""",
 )
 def choose_batch_size(t: Tables) -> DataFrame:
-    return tuned(t).select(
-        "queue_key", "optimal_batch_size", F.round("time_per_example", 6).alias("time_per_example")
-    )
+    return rounded(tuned(t))
 
 
 @query(
     "e3_max_wait",
     f"""with {TUNED_SQL} select queue_key,
-      round(greatest(0.003, time_per_example / 1000 * 0.51), 6) as max_wait_seconds from tuned""",
+      round(greatest(0.003, time_per_example / 1000 * 0.51) + 1e-9, 6) as max_wait_seconds from tuned""",
 )
 def max_wait(t: Tables) -> DataFrame:
     wait = max_wait_seconds(F.col("time_per_example") / 1000)
-    return tuned(t).select("queue_key", F.round(wait, 6).alias("max_wait_seconds"))
+    return rounded(tuned(t).select("queue_key", wait.alias("max_wait_seconds")))
 
 
 @query(

@@ -20,7 +20,7 @@ SLIDE_SECONDS = 6 * 3600
 
 
 def marked_stream(t: Tables) -> DataFrame:
-    stream = read_request_stream(t.spark, t.sf_dir, t.events.schema, glob="events.parquet")
+    stream = read_request_stream(t.spark, t.stream_path("events"), t.events.schema)
     return stream.select(
         F.col("event_id").alias("request_id"),
         F.col("user_id").alias("queue_key"),

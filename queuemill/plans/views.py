@@ -31,6 +31,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream_path(self, name: str) -> str:
+        """A table as a stream source, be it one file or a folder of part files.
+
+        A stream takes a single file only by way of a pattern.
+        """
+        return f"{self.sf_dir}/{name}.parque[t]"
+
     @cached_property
     def events(self) -> DataFrame:
         return self.read("events")
@@ -164,6 +171,22 @@ def log_of(marked: DataFrame) -> DataFrame:
     )
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Round every double to six digits, as the SQL does with ``round(x + 1e-9, 6)``.
+
+    The small shift keeps values that lie exactly between two digits from going either way with the
+    order in which a sum was formed.
+    """
+    return df.select(
+        *[
+            F.round(F.col(f.name) + F.lit(1e-9), 6).alias(f.name)
+            if f.dataType.typeName() == "double"
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 # --- the same views as common table expressions ---------------------------------------------------
 
 MARKED_SQL = """marked as (select event_id as request_id, user_id as queue_key,

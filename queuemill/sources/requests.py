@@ -30,12 +30,14 @@ def read_request_array_file(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode("inputs").alias("pos", "input"))
 
 
-def read_binary_requests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_binary_requests(
+    spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False
+) -> DataFrame:
     """Files as inputs, in path order; answer i goes to ``output_file_{i+1}``.
 
     Names are numbered from the file listing alone, so the contents never take part in the sort.
     """
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
