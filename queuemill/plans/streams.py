@@ -103,13 +103,14 @@ LIFECYCLE_SQL = (
       where stage0_predicted_us is not null
     union all select request_id, 'delivered', delivered_us, 0, null from queue_log
       where delivered_us is not null),
-  folded as (select request_id, arg_max(stage, at_us) filter (where kind <> 'delivered') as last_stage,
-    max(at_us) filter (where kind = 'received') as received_us,
+  folded as (select request_id, max(at_us) filter (where kind = 'received') as received_us,
     max(at_us) filter (where kind = 'delivered') as delivered_us,
     max(at_us) filter (where kind <> 'delivered') as version_us, count(*) as n_events
     from moments group by request_id),
-  lives as (select f.*, m.success from folded f join moments m on m.request_id = f.request_id
-    and m.at_us = f.version_us and m.kind <> 'delivered')"""
+  newest as (select request_id, stage as last_stage, success, row_number() over (partition by request_id
+    order by at_us desc, stage desc, kind = 'finished' desc) as rn from moments where kind <> 'delivered'),
+  lives as (select f.*, n.last_stage, n.success from folded f
+    join newest n on n.request_id = f.request_id and n.rn = 1)"""
 )
 
 

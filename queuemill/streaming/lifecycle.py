@@ -1,7 +1,8 @@
 """Life of a request from its events, as a stream and in batch.
 
 An event row is ``request_id, event_time, kind, stage, success``; ``kind`` is ``received``, ``claimed``,
-``finished`` or ``delivered``. Events of one request may come in any order: the newest one wins.
+``finished`` or ``delivered``. Events of one request may come in any order: the newest one wins, and at the
+same instant the one that is further along.
 
 ``closed_lifecycles`` and ``timeout_stream`` are session windows: the fold runs in the JVM, and the
 watermark plays the part of the timers. ``lifecycle_stream`` instead reports every change as it comes,
@@ -81,7 +82,8 @@ def _fold(state: list, frame: pd.DataFrame) -> list:
             received = at
         elif kind == "delivered":
             delivered = at
-        if kind != "delivered" and (version is None or at > version):
+        further = at == version and (stage > last_stage or kind == "finished")
+        if kind != "delivered" and (version is None or at > version or further):
             version, last_stage = at, int(stage)
             success = None if good is None or pd.isna(good) else bool(good)
     return [last_stage, success, received, delivered, timed_out, version, n_events]
@@ -167,13 +169,15 @@ def newest_rows(changes: DataFrame) -> DataFrame:
 
 def _fold_columns() -> list[Column]:
     at = F.unix_micros("event_time")
-    moves = F.when(F.col("kind") != "delivered", at)
+    moves = F.when(
+        F.col("kind") != "delivered", F.struct(at, "stage", F.col("kind") == "finished")
+    )
     return [
         F.max_by(F.col("stage").cast("int"), moves).alias("last_stage"),
         F.max_by("success", moves).alias("success"),
         F.max(F.when(F.col("kind") == "received", at)).alias("received_us"),
         F.max(F.when(F.col("kind") == "delivered", at)).alias("delivered_us"),
-        F.max(moves).alias("version_us"),
+        F.max(F.when(F.col("kind") != "delivered", at)).alias("version_us"),
         F.count(F.lit(1)).alias("n_events"),
     ]
 
