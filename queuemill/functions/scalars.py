@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 
+# Seconds a batch waits at least, and examples' worth of time it waits otherwise.
+LEAST_WAIT = 0.003
+WAIT_EXAMPLES = 0.51
+
 
 def to_micros(column: Column) -> Column:
     """Epoch microseconds of a timestamp column."""
@@ -40,7 +44,7 @@ def format_duration(milliseconds: Column) -> Column:
 
 def max_wait_seconds(time_per_example: Column) -> Column:
     """How long a batch may wait for more requests: 0.51 examples' worth, 3 ms at least."""
-    return F.greatest(F.lit(0.003), time_per_example * F.lit(0.51))
+    return F.greatest(F.lit(LEAST_WAIT), time_per_example * F.lit(WAIT_EXAMPLES))
 
 
 def fill_batch(example: Column, batch_size: int) -> Column:

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from queuemill.functions.scalars import MICROS
 from queuemill.operators.table import count_where
 
+# What a client reads when a rule is broken.
+FAILED_TEXT = "More than {y}% requests failed in last {x} seconds"
+PENDING_TEXT = "Requests older than {x} seconds are pending"
+UPTIME_TEXT = "Up time more than {x} seconds"
+TIMEDOUT_TEXT = "More than {y}% requests timedout in last {x} seconds"
+
 
 @dataclass(frozen=True)
 class HealthRules:
@@ -51,32 +57,21 @@ def uptime_over(as_of_us: int, seconds: int, started: str = "started_us") -> Col
     return F.coalesce(F.lit(as_of_us) - F.min(started) > seconds * MICROS, F.lit(False))
 
 
-def rule_columns(rules: HealthRules, as_of_us: int, started: str) -> list[tuple[Column, str, str]]:
-    """(broken?, rule, reason) in the order in which they are checked."""
+def rule_columns(rules: HealthRules, as_of_us: int, started: str) -> list[tuple[Column, str]]:
+    """(broken?, reason) in the order in which they are checked."""
     checks = []
     if rules.failed_pct:
         x, y = rules.failed_pct
-        checks.append(
-            (failed_pct(as_of_us, x, y), "failed_pct",
-             f"More than {y}% requests failed in last {x} seconds")
-        )
+        checks.append((failed_pct(as_of_us, x, y), FAILED_TEXT.format(x=x, y=y)))
     if rules.pending_seconds is not None:
         x = rules.pending_seconds
-        checks.append(
-            (pending_older(as_of_us, x), "pending_older",
-             f"Requests older than {x} seconds are pending")
-        )
+        checks.append((pending_older(as_of_us, x), PENDING_TEXT.format(x=x)))
     if rules.uptime_seconds is not None:
         x = rules.uptime_seconds
-        checks.append(
-            (uptime_over(as_of_us, x, started), "uptime_over", f"Up time more than {x} seconds")
-        )
+        checks.append((uptime_over(as_of_us, x, started), UPTIME_TEXT.format(x=x)))
     if rules.timedout_pct:
         x, y = rules.timedout_pct
-        checks.append(
-            (timedout_pct(as_of_us, x, y), "timedout_pct",
-             f"More than {y}% requests timedout in last {x} seconds")
-        )
+        checks.append((timedout_pct(as_of_us, x, y), TIMEDOUT_TEXT.format(x=x, y=y)))
     return checks
 
 
@@ -92,7 +87,7 @@ def health_verdict(
     Up time counts from the first batch start in column ``started``.
     """
     checks = rule_columns(rules, as_of_us, started)
-    reasons = [F.when(broken, F.lit(text)) for broken, _, text in checks]
+    reasons = [F.when(broken, F.lit(text)) for broken, text in checks]
     reason = F.coalesce(*reasons, F.lit(None).cast("string"))
     return df.groupBy(*keys).agg(reason.alias("reason")).select(
         *keys,

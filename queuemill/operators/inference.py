@@ -141,13 +141,20 @@ def _predict_flat(
         yield batch.append_column("output", pa.array(outputs, out_type))
 
 
-def predict(df: DataFrame, stage: Stage, column: str = "input") -> DataFrame:
-    """Add ``output`` to flat input rows. No shuffle: batches are slices of each partition."""
+def predict(
+    df: DataFrame, stage: Stage, column: str = "input", tasks: int | None = None
+) -> DataFrame:
+    """Add ``output`` to flat input rows. Batches are slices of each partition.
+
+    There is no shuffle unless ``tasks`` asks to spread the rows over that many: worth it for a costly
+    model over input that is read in few splits.
+    """
     stage = stage.typed()
     if stage.expression is not None:
         return df.withColumn("output", stage.expression(F.col(column)))
     schema = T.StructType([*df.schema.fields, T.StructField("output", stage.returns)])
-    return df.mapInArrow(
+    spread = df.repartition(tasks) if tasks else df
+    return spread.mapInArrow(
         partial(_predict_flat, stage=stage, column=column, out_type=to_arrow_type(stage.returns)),
         schema,
     )
@@ -517,7 +524,10 @@ def _value_type(values: list) -> T.DataType:
     return from_arrow_type(pa.array(values).type)
 
 
-def embed_text(df: DataFrame, stage: Stage, text: str = "text", name: str = "embedding") -> DataFrame:
+def embed_text(
+    df: DataFrame, stage: Stage, text: str = "text", name: str = "embedding",
+    tasks: int | None = None,
+) -> DataFrame:
     """Text to unit-length vectors; the stage may return any scale."""
-    scored = predict(df, stage, column=text)
+    scored = predict(df, stage, text, tasks)
     return scored.withColumn(name, l2_normalize(F.col("output"))).drop("output")

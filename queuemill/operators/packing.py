@@ -32,6 +32,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from queuemill.operators.ordering import ordered_segments, segment_count
 from queuemill.session import cut_lineage
 
+# Fixed value: a batch takes no more requests once it holds more than 4/5 of its size.
+FULL_SHARE = (4, 5)
+
 NO_WAIT_LIMIT = 1 << 60
 HOT_KEY_ROWS = 2_000_000
 MAX_HOT_KEYS = 1_000
@@ -50,7 +53,8 @@ class PackRule:
 
     @property
     def full_above(self) -> int:
-        return self.batch_size * 4 // 5
+        parts, whole = FULL_SHARE
+        return self.batch_size * parts // whole
 
     @property
     def wait(self) -> int:

@@ -9,9 +9,13 @@ from queuemill.sources.requests import read_requests_json
 
 # Texts and codes a client sees.
 PICKLE_REFUSED = "pickle input disallowed, use msgpack or json"
+UNSUPPORTED_BEFORE, UNSUPPORTED_AFTER = "input_type ", " not supported"
 UNDECODABLE = "undecodable"
+NO_INPUTS = "inputs have to be  msgpack or json"
+NO_INPUTS_WITH_PICKLE = "inputs have to be pickle, msgpack or json"
 NOT_A_LIST = "inputs have to be a list or tuple"
 EMPTY = "empty inputs"
+FAILED_BEFORE = "prediction failed predictor "
 TIMEOUT = "timeout"
 CLIENT_TIMEOUT = "client_timeout"
 INPUT_TYPES = ["pickle", "msgpack", "json"]
@@ -23,10 +27,6 @@ CONTENT_TYPES = {
 COMPRESSED_CONTENT_TYPE = "application/octet-stream"
 
 
-def _none_text(allow_pickle: bool) -> str:
-    return f"inputs have to be {'pickle,' if allow_pickle else ''} msgpack or json"
-
-
 def validate_requests(
     df: DataFrame, allow_pickle: bool = False, payload: str = "payload"
 ) -> DataFrame:
@@ -39,7 +39,7 @@ def validate_requests(
     items = F.expr("try_variant_get(_inputs, '$', 'array<variant>')")
     kind = F.col("input_type")
     refused_type = F.concat(
-        F.lit("input_type "), F.coalesce(kind, F.lit("None")), F.lit(" not supported")
+        F.lit(UNSUPPORTED_BEFORE), F.coalesce(kind, F.lit("None")), F.lit(UNSUPPORTED_AFTER)
     )
     reason = F.when(
         (kind == "pickle") & F.lit(not allow_pickle), F.lit(PICKLE_REFUSED)
@@ -48,7 +48,7 @@ def validate_requests(
     ).when(
         F.col("_inputs").isNull(), F.lit(UNDECODABLE)
     ).when(
-        F.expr("is_variant_null(_inputs)"), F.lit(_none_text(allow_pickle))
+        F.expr("is_variant_null(_inputs)"), F.lit(NO_INPUTS_WITH_PICKLE if allow_pickle else NO_INPUTS)
     ).when(
         F.col("_items").isNull(), F.lit(NOT_A_LIST)
     ).when(F.size("_items") == 0, F.lit(EMPTY))
@@ -130,7 +130,7 @@ def build_response(df: DataFrame, last_stage: int, prediction: str = "outputs")
         .when(status == "timed_out", F.lit(TIMEOUT))
         .when(
             status == "failed",
-            F.concat(F.lit("prediction failed predictor "), F.col("last_stage").cast("string")),
+            F.concat(F.lit(FAILED_BEFORE), F.col("last_stage").cast("string")),
         )
     )
     answered = resolve_status(df, last_stage).withColumns(

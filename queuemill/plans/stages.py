@@ -23,6 +23,7 @@ from queuemill.plans.views import (
     pack_sql,
     rounded,
 )
+from queuemill.session import shuffle_partitions
 
 BATCH = 32
 SECOND_BATCH = 16
@@ -243,7 +244,8 @@ def tag_stages(t: Tables) -> DataFrame:
       left join counted c on c.doc_id = norms.doc_id and c.pos = u.d""",
 )
 def embed_text(t: Tables) -> DataFrame:
-    embedded = I.embed_text(t.read("documents").select("doc_id", "text"), PROFILE)
+    documents = t.read("documents").select("doc_id", "text")
+    embedded = I.embed_text(documents, PROFILE, tasks=shuffle_partitions(t.spark))
     return embedded.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select(
         "doc_id", "pos", F.round("x", 6).alias("x")
     )

@@ -28,7 +28,9 @@ def get_session(app_name: str = "queuemill", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in {**SESSION_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from queuemill.session import SESSION_SETTINGS, scratch_path
 
@@ -16,6 +16,15 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(STATE_STORE, SESSION_SETTINGS[STATE_STORE])
 
 
+def dropped_as_late(query: StreamingQuery) -> int:
+    """Rows the state operators dropped because the watermark had passed them."""
+    return sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
+    )
+
+
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Process all input that is there now into a Parquet table and return that table.
 

@@ -8,8 +8,8 @@ from queuemill.operators.inference import Stage, chain
 from queuemill.plans.streams import lifecycle_events, queue_stream, triple
 from queuemill.session import scratch_path
 from queuemill.sources.requests import read_request_stream
-from queuemill.streaming import lifecycle, scoring
-from queuemill.streaming.runner import bounded_trigger, run_available
+from queuemill.streaming import lifecycle, metrics, scoring
+from queuemill.streaming.runner import bounded_trigger, dropped_as_late, run_available
 
 
 def test_scored_stream_equals_batch_over_many_triggers(spark, tables):
@@ -107,3 +107,23 @@ def test_repeated_request_ids_are_dropped(spark, tables):
     stream = read_request_stream(spark, path, log.schema)
     unique = run_available(scoring.dedupe_stream(stream, delay="60 days"), "unique")
     assert unique.count() == log.count()
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    path = scratch_path(spark, "late")
+    schema = "kind string, s bigint, success boolean, timed_out boolean"
+    for seconds in ([100_000], [200_000], [5]):  # the last one comes far too late
+        rows = [("received", s, True, None) for s in seconds]
+        part = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_seconds("s"))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = read_request_stream(spark, path, part.schema, max_files=1)
+    query = (
+        metrics.metrics_stream(stream, 60, 60, 10)
+        .writeStream.format("parquet")
+        .option("path", scratch_path(spark, "late-out"))
+        .option("checkpointLocation", scratch_path(spark, "late-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert dropped_as_late(query) == 1
