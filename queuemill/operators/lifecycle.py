@@ -104,6 +104,14 @@ def apply_results(df: DataFrame, results: DataFrame, version: Column | None = No
     return upsert(df, results, F.lit(0) if version is None else version)
 
 
+def mark_delivered(df: DataFrame, last_stage: int, as_of_us: int) -> DataFrame:
+    """Requests that now have an answer (a result, a failure or a time-out) count as delivered."""
+    answered = F.col("delivered_us").isNull() & (status_of(last_stage) != "processing")
+    return df.withColumn(
+        "delivered_us", F.when(answered, F.lit(as_of_us)).otherwise(F.col("delivered_us"))
+    )
+
+
 def queue_depth(df: DataFrame, last_stage: int, key: str = "queue_key") -> DataFrame:
     """Requests and inputs per queue and status, undelivered ones only."""
     return (

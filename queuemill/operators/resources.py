@@ -100,6 +100,10 @@ def latest_by_role(samples: DataFrame, values: Sequence[str], rolled: DataFrame)
 
 
 def running_pids(samples: DataFrame) -> DataFrame:
-    """The processes seen at each role's newest tick, one row each."""
-    newest = samples.groupBy("role").agg(F.max("ts").alias("ts"))
-    return samples.select("role", "ts", "pid").join(newest, ["role", "ts"]).distinct()
+    """The processes seen at each role's newest tick, one row each.
+
+    Samples shrink to one row per process before anything is joined.
+    """
+    last_seen = samples.groupBy("role", "pid").agg(F.max("ts").alias("ts"))
+    newest = last_seen.groupBy("role").agg(F.max("ts").alias("ts"))
+    return last_seen.join(newest, ["role", "ts"]).select("role", "ts", "pid")

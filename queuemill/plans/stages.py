@@ -120,15 +120,18 @@ def predict(t: Tables) -> DataFrame:
     return I.predict(t.turns, LENGTH).select("request_id", "pos", "output")
 
 
-ISOLATED_SQL = (
-    LOG_SQL
-    + ", "
-    + pack_sql("p", "request_log", BATCH, SIX_HOURS_US)
-    + """, isolated as (select p.queue_key, p.request_id, p.batch_id, l.k, l.n_inputs, l.received_us,
-    sum(p.n_inputs) over b as batch_inputs, bool_or(l.k = 99) over b as failed
-    from p join request_log l using (request_id)
+def isolated_sql(source: str) -> str:
+    """Batches of ``source`` and whether 99 is among their inputs."""
+    return (
+        pack_sql("p", source, BATCH, SIX_HOURS_US)
+        + f""", isolated as (select p.queue_key, p.request_id, p.batch_id, l.k, l.n_inputs,
+    l.received_us, sum(p.n_inputs) over b as batch_inputs, bool_or(l.k = 99) over b as failed
+    from p join {source} l using (request_id)
     window b as (partition by p.queue_key, p.batch_id))"""
-)
+    )
+
+
+ISOLATED_SQL = LOG_SQL + ", " + isolated_sql("request_log")
 
 
 @query(
@@ -165,36 +168,50 @@ def scatter_results(t: Tables) -> DataFrame:
     )
 
 
-CHAINED_SQL = (
-    ISOLATED_SQL
-    + """, second as (select queue_key, request_id, received_us, n_inputs, k from isolated
+def chained_sql(source: str) -> str:
+    """Both Python stages over ``source``; the second one packs what the first one left over."""
+    return (
+        isolated_sql(source)
+        + """, second as (select queue_key, request_id, received_us, n_inputs, k from isolated
     where not failed), """
-    + pack_sql("p2", "second", SECOND_BATCH, SIX_HOURS_US)
-    + """, isolated2 as (select p2.request_id, p2.batch_id, bool_or(s.k = 7) over
+        + pack_sql("p2", "second", SECOND_BATCH, SIX_HOURS_US)
+        + """, isolated2 as (select p2.request_id, p2.batch_id, bool_or(s.k = 7) over
     (partition by p2.queue_key, p2.batch_id) as failed from p2 join second s using (request_id)),
   chained as (select i.request_id, i.k, i.n_inputs, i.failed as failed0, j.failed as failed1,
-    i.batch_id as batch0, j.batch_id as batch1 from isolated i left join isolated2 j using (request_id))"""
-)
-
-CHAINED_COLUMNS = """request_id, not failed0 and not coalesce(failed1, false) as success,
-  cast(case when failed0 then 0 when failed1 then 1 else 2 end as int) as last_stage,
-  cast(batch0 as bigint) as stage0_batch_id, cast(batch1 as bigint) as stage1_batch_id,
-  cast(case when not failed0 and not failed1 then (k * 2 + 1) * 10 * n_inputs end as bigint) as output_sum"""
+    i.batch_id as batch0, j.batch_id as batch1 from isolated i left join isolated2 j using (request_id))
+  select request_id, not failed0 and not coalesce(failed1, false) as success,
+    cast(case when failed0 then 0 when failed1 then 1 else 2 end as int) as last_stage,
+    cast(batch0 as bigint) as stage0_batch_id, cast(batch1 as bigint) as stage1_batch_id,
+    cast(case when not failed0 and not failed1 then (k * 2 + 1) * 10 * n_inputs end as bigint)
+      as output_sum from chained"""
+    )
 
 
-def chain_of_three(t: Tables, hot_key_rows: int) -> DataFrame:
+def chain_of_three(requests: DataFrame, hot_key_rows: int) -> DataFrame:
     tenfold = I.Stage.from_expression(lambda x: x * 10, "int", "tenfold")
     scored = I.chain(
-        t.numbered_requests, [DOUBLE, SUCCESSOR, tenfold], SIX_HOURS_US, hot_key_rows=hot_key_rows
+        requests, [DOUBLE, SUCCESSOR, tenfold], SIX_HOURS_US, hot_key_rows=hot_key_rows
     )
     return _with_output_sum(scored).select(
         "request_id", "success", "last_stage", "stage0_batch_id", "stage1_batch_id", "output_sum"
     )
 
 
-@query("d7_chain", f"with recursive {CHAINED_SQL} select {CHAINED_COLUMNS} from chained")
+@query("d7_chain", f"with recursive {LOG_SQL}, {chained_sql('request_log')}")
 def chain(t: Tables) -> DataFrame:
-    return chain_of_three(t, I.HOT_QUEUE_REQUESTS)
+    return chain_of_three(t.numbered_requests, I.HOT_QUEUE_REQUESTS)
+
+
+@query(
+    "d7_chain_hot_queue",
+    f"""with recursive {LOG_SQL}, lanes as (select * replace (
+      case when queue_key % 3 = 0 then 0 else queue_key end as queue_key) from request_log),
+      {chained_sql('lanes')}""",
+)
+def chain_hot_queue(t: Tables) -> DataFrame:
+    """One queue takes a third of all requests; its batches are spread over all tasks."""
+    lane = F.when(F.col("queue_key") % 3 == 0, 0).otherwise(F.col("queue_key"))
+    return chain_of_three(t.numbered_requests.withColumn("queue_key", lane), HOT_ROWS)
 
 
 @query(

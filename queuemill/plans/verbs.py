@@ -218,6 +218,21 @@ def apply_results(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "f_mark_delivered",
+    f"""with {QUEUE_SQL}, waiting as (select * replace (
+        case when k % 3 = 0 then null else delivered_us end as delivered_us) from queue_log)
+      select request_id, case when delivered_us is null and (timed_out is true or success is false
+        or (success is true and last_stage = 0)) then {AS_OF_US} else delivered_us end as delivered_us
+      from waiting""",
+)
+def mark_delivered(t: Tables) -> DataFrame:
+    waiting = t.queue_log.withColumn(
+        "delivered_us", F.when(F.col("k") % 3 != 0, F.col("delivered_us"))
+    )
+    return L.mark_delivered(waiting, 0, AS_OF_US).select("request_id", "delivered_us")
+
+
 @query(
     "f7_queue_depth",
     f"""with {QUEUE_SQL}, open as (select *, case when timed_out is true then 'timed_out'
