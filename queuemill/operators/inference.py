@@ -404,7 +404,11 @@ def chain(
 
     Adds ``outputs``, ``success``, ``last_stage``, ``error`` and, per stage k, the batch it was
     predicted in: ``stage{k}_batch_id``, ``_batch_inputs``, ``_started_us``, ``_ended_us``. If a stage
-    raises, all requests of that batch fail there and no later stage sees them.
+    raises, all requests of that batch fail there and no later stage sees them. ``max_wait_us`` counts
+    by ``time_column`` at every stage.
+
+    Queues with more than ``hot_key_rows`` requests are packed in segments and their batches spread over
+    all tasks; counting them is one small aggregation before the plan is built.
 
     Rows for which ``admit`` is not true pass by every stage (``success`` false, ``last_stage`` -1), so
     refused requests need no second read of the source.

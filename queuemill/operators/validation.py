@@ -83,7 +83,10 @@ def limit_request_size(df: DataFrame, max_request_batch_size: int = 0) -> DataFr
 
 
 def assign_request_id(df: DataFrame, content: list[str], request_id: str = "request_id") -> DataFrame:
-    """Keep a given id as text; else derive one from the content, so that a retried task agrees."""
+    """Keep a given id as text; else derive one from the content, so that a retried task agrees.
+
+    ``content`` must name what tells two requests apart, such as the arrival time beside the payload.
+    """
     given = F.nullif(F.col(request_id).cast("string"), F.lit(""))
     digest = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in content]), 256)
     return df.withColumn(request_id, F.coalesce(given, digest))
