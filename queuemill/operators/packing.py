@@ -325,7 +325,8 @@ def _chain_summaries(
     key, state, fresh = None, None, True
     for batch in batches:
         entries = []
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):  # one by one: a summary holds lists
+            row = batch.slice(at, 1).to_pylist()[0]
             if fresh or row["_key"] != key:
                 key, state, fresh = row["_key"], None, False
             entries.append(
