@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from queuemill.llm import quality
+from queuemill.llm import decontaminate, line_runs, quality
 from queuemill.llm.tables import ORACLES, QUERIES, query, table
 
 
+@query("op3_benchmark_decontamination", decontaminate.SQL)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("items")
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -15,4 +22,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+@query("op8_line_dedup", line_runs.SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_runs.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
