@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuemill.llm import decontaminate, line_runs, mixing, quality
+from queuemill.llm import decontaminate, line_runs, mixing, quality, token_codes, warc
 from queuemill.llm.tables import ORACLES, QUERIES, query, table
 
 
@@ -20,6 +21,12 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_warc_salvage", warc.SQL)
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,4 +41,9 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op9_token_codes")
+def token_codes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
