@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuemill.llm import decontaminate, line_runs, mixing, quality, token_codes, warc
+from queuemill.llm import decontaminate, jaccard_join, line_runs, mixing, quality, token_codes, warc
 from queuemill.llm.tables import ORACLES, QUERIES, query, table
 
 
@@ -46,4 +46,10 @@ def token_codes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op10_jaccard_join")
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"))
+
+
 __all__ = ["ORACLES", "QUERIES"]

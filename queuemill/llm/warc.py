@@ -28,6 +28,8 @@ MIN_REVISIT = 100
 #: Bytes after which a task begins the next archive.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 6
+#: Bytes given to the unpacker at a time.
+FEED = 1 << 14
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -108,15 +110,16 @@ def parse_record(content: bytes, at: int = 0) -> tuple[dict, bytes, int]:
 
 def _member_at(content: bytes, at: int) -> tuple[bytes, int]:
     """What the gzip member at ``at`` holds, and where it ends."""
-    unpacker = zlib.decompressobj(31)
+    unpacker, view, fed, parts = zlib.decompressobj(31), memoryview(content), at, []
     try:
-        data = unpacker.decompress(memoryview(content)[at:])
-        data += unpacker.flush()
+        while not unpacker.eof and fed < len(content):
+            parts.append(unpacker.decompress(view[fed : fed + FEED]))
+            fed += FEED
     except zlib.error:
         raise Damage("gzip member is damaged") from None
     if not unpacker.eof:
         raise Damage("gzip member is cut off")
-    return data, len(content) - len(unpacker.unused_data)
+    return b"".join(parts), min(fed, len(content)) - len(unpacker.unused_data)
 
 
 def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str | None]]:
