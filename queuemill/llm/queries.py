@@ -6,16 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuemill.llm import decontaminate, jaccard_join, line_runs, mixing, quality, token_codes, warc
+from queuemill.llm import decontaminate, html_wrappers, jaccard_join, line_runs, mixing, quality, sentence_spans, token_codes, warc
 from queuemill.llm.tables import ORACLES, QUERIES, query, table
 
 
+@query("op1_html_wrappers")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op3_benchmark_decontamination", decontaminate.SQL)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@query("op4_sentence_spans")
+def sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 @query("op5_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
