@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuemill.llm import decontaminate, html_wrappers, jaccard_join, line_runs, mixing, quality, sentence_spans, token_codes, warc
+from queuemill.llm import decontaminate, html_wrappers, jaccard_join, line_runs, mixing, quality, secret_forest, sentence_spans, token_codes, warc
 from queuemill.llm.tables import ORACLES, QUERIES, query, table
+from queuemill.session import stored
 
 
 @query("op1_html_wrappers")
@@ -15,6 +16,18 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op2_secret_forest")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in documents that ``labels`` has serve as the reviewed ones; every document is scanned."""
+    docs = table(spark, sf_dir, "documents")
+    found = stored(secret_forest.findings(docs, secret_forest.dictionary(docs)), "secret-findings")
+    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    model = secret_forest.train(secret_forest.reviewed(found.join(ids, "doc_id", "left_semi")))
+    judged = secret_forest.judge(found, model)
+    digest = F.sha2("finding", 256).alias("finding_sha256")
+    return judged.select("doc_id", "begin", F.length("finding").alias("length"), digest, "score", "is_secret")
+
+
 @query("op3_benchmark_decontamination", decontaminate.SQL)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
