@@ -35,9 +35,9 @@ RANK_BITS = 512
 #: Tokens after which a task begins the next file.
 FILE_TOKENS = 1 << 23
 END_ID = 1
-#: Rows encoded at a time, and distinct words whose ids a worker remembers.
-ENCODE_ROWS = 512
-REMEMBERED = 300_000
+#: Rows encoded at a time, and distinct words after which a worker forgets what it remembers.
+ENCODE_ROWS = 2048
+REMEMBERED = 500_000
 SLICE = 1 << 20
 
 
@@ -183,32 +183,70 @@ class TokenFile:
         return self.tokens(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+#: Marks that never join a letter or digit before them into one piece, nor make a special token or contraction.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+TOGETHER = 200
+
+
+def split_marks(word: str) -> tuple[str, str]:
+    """The word without the marks at its end, and those marks, where their ids are those of the two in turn.
+
+    Pure ASCII parts are lower-cased as the tokenizer does, unless they may hold a special token.
+    """
+    base = word.rstrip(MARKS)
+    if not base or len(base) == len(word) or not base[-1].isalnum():
+        base = word
+    marks = word[len(base) :]
+    return (base.lower() if base.isascii() and "<|" not in base else base), marks
+
+
 class Encoder:
     """Ids of whole texts. White space separates words and is dropped by the tokenizer, so the ids of a text
-    are those of its words in order; a worker encodes each distinct word of a batch once."""
+    are those of its words in order; a worker encodes each distinct word once while it remembers it."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for word, code in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+            self.known[word] = np.array(code.ids, np.uint32).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words. Words of letters are one piece each, so many are encoded as one text and cut
+        after their last ids; should the cuts not fit the words, they are encoded one by one."""
+        plain = [w for w in words if w.isalpha()]
+        self._one_by_one([w for w in words if not w.isalpha()])
+        groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        codes = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, code in zip(groups, codes):
+            ids = np.array(code.ids, np.uint32)
+            cuts = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+            if len(cuts) != len(group):
+                self._one_by_one(group)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(group, cuts.tolist()):
+                self.known[word] = raw[begin:end]
+                begin = end
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and where each text ends."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        missing = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = distinct
-        for a in range(0, len(missing), 4096):
-            part = missing[a : a + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(code.ids, np.uint32).tobytes()
-        pieces = [self.known[w] for w in distinct]
-        sizes = np.array([len(p) // 4 for p in pieces], np.int64)
+        distinct = [split_marks(w) for w in coded.dictionary.to_pylist()]
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        known = self.known
+        self._learn(list({part for both in distinct for part in both if part not in known}))
+        pieces = [known[base] + known[marks] if marks else known[base] for base, marks in distinct]
+        sizes = np.array([len(p) for p in pieces], np.int64) // 4
         pool, begins = np.frombuffer(b"".join(pieces), np.uint32), np.concatenate(([0], np.cumsum(sizes)))
         which = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[which] if len(which) else np.zeros(0, np.int64)
