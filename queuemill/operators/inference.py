@@ -27,17 +27,16 @@ from queuemill.functions.scalars import l2_normalize
 from queuemill.operators.packing import (
     PackRule,
     check_sizes,
-    hot_keys,
-    is_hot,
     key_runs,
     number_batches,
-    pack_batches,
+    pack_ordered,
     sorted_by_queue,
 )
-from queuemill.session import shuffle_partitions, stored
+from queuemill.operators.ordering import ordered_segments
+from queuemill.session import shuffle_partitions
 
 Predictor = Callable[..., Sequence[Any]]
-HOT_QUEUE_REQUESTS = 100_000  # predicting that many requests one after another takes long enough
+NO_INPUTS = "no inputs"
 
 
 def _type(returns: T.DataType | str) -> T.DataType:
@@ -221,7 +220,7 @@ class StageRunner:
         lengths = _lengths(lists)
         flat = pc.list_flatten(lists).to_pylist()
         edges = np.concatenate([[0], np.cumsum(lengths)])
-        outputs: list = []
+        outputs: list[pa.Array] = []
         ok = np.ones(rows.num_rows, dtype=bool)
         batch_inputs = np.zeros(rows.num_rows, dtype=np.int64)
         began = np.zeros(rows.num_rows, dtype=np.int64)
@@ -232,16 +231,17 @@ class StageRunner:
             batch_inputs[lo:hi] = len(inputs)
             began[lo:hi] = time.time_ns() // 1000
             try:
-                outputs.extend(_call(self.predictor, inputs, self.stage.batch_size, self.stage.name))
+                answered = _call(self.predictor, inputs, self.stage.batch_size, self.stage.name)
+                outputs.append(pa.array(answered, self.out_type))
             except ContractError:
                 raise
-            except Exception as error:  # the whole batch fails, the others go on
-                outputs.extend([None] * len(inputs))
+            except Exception as error:  # the whole batch fails, also by a wrong type; the others go on
+                outputs.append(pa.nulls(len(inputs), self.out_type))
                 ok[lo:hi] = False
                 errors[lo:hi] = [str(error)] * (hi - lo)
             ended[lo:hi] = time.time_ns() // 1000
         answers = pa.ListArray.from_arrays(
-            pa.array(edges, pa.int32()), pa.array(outputs, self.out_type)
+            pa.array(edges, pa.int32()), pa.concat_arrays(outputs)
         )
         k = self.number
         scored = (
@@ -325,13 +325,15 @@ def _chain_schema(df: DataFrame, stages: list[tuple[int, Stage]]) -> T.StructTyp
     return T.StructType([*kept, *added, T.StructField("_work", T.ArrayType(last))])
 
 
-def _python_stages(df: DataFrame, stages: list[tuple[int, Stage]], rule: PackRule) -> DataFrame:
+def _python_stages(
+    df: DataFrame, stages: list[tuple[int, Stage]], rule: PackRule, tasks: int
+) -> DataFrame:
     """All given stages fused over rows sorted by queue: one shuffle for packing and predicting.
 
     Few bytes can mean much model time, so partitions are not merged by their size.
     """
     schema = _chain_schema(df, stages)
-    return sorted_by_queue(df, rule, shuffle_partitions(df.sparkSession)).mapInArrow(
+    return sorted_by_queue(df, rule, tasks).mapInArrow(
         partial(
             _run_chain, stages=stages, rule=rule, schema=to_arrow_schema(schema), packed=False
         ),
@@ -339,31 +341,23 @@ def _python_stages(df: DataFrame, stages: list[tuple[int, Stage]], rule: PackRul
     )
 
 
-SPREAD_FAILED = 4096
-
-
-def _python_stage_packed(
-    df: DataFrame, number: int, stage: Stage, rule: PackRule, rows_per_segment: int
+def _spread_stage(
+    df: DataFrame, number: int, stage: Stage, rule: PackRule, tasks: int
 ) -> DataFrame:
-    """One stage over hot queues: batches are numbered first, then spread over all tasks.
+    """One stage whose batches are numbered first, then spread over all tasks, whatever queue they are of.
 
-    Only the narrow packing columns take part in the global sort; the inputs join them by id.
-    ``df`` is stored first: it is read for both, and its predictions must not run again.
+    Rows carry their batch number; nothing is joined by id. They are stored in order before, so that the
+    stage before this one runs once.
     """
-    df = stored(df, "stage-input")
-    narrow = df.filter("success").select(*rule.order, F.size("_work").alias(rule.size))
-    packed = pack_batches(
-        narrow, stage.batch_size, rule.max_wait_us, rule.key,
-        hot_key_rows=rows_per_segment, rows_per_segment=rows_per_segment,
-        time=rule.time, request_id=rule.request_id, size=rule.size,
-    ).select(rule.request_id, "batch_id")
+    sized = df.withColumn("_size", F.coalesce(F.size("_work"), F.lit(0)))
+    ordered = ordered_segments(sized, ["success", *rule.order], tasks)
+    packing = replace(rule, batch_size=stage.batch_size, size="_size")
+    packed = pack_ordered(ordered.filter("success"), packing)
     schema = _chain_schema(df, [(number, stage)])
-    elsewhere = -1 - F.pmod(F.xxhash64(rule.request_id), F.lit(SPREAD_FAILED))
-    return (
-        df.join(packed, rule.request_id, "left")
-        .withColumn("batch_id", F.coalesce("batch_id", elsewhere))
-        .repartition(shuffle_partitions(df.sparkSession), rule.key, "batch_id")
-        .sortWithinPartitions(rule.key, "batch_id", rule.time, rule.request_id)
+    scored = (
+        packed.repartition(tasks, rule.key, "batch_id")
+        .sortWithinPartitions(rule.key, "batch_id", "batch_offset")
+        .select(*df.columns, "batch_id")
         .mapInArrow(
             partial(
                 _run_chain, stages=[(number, stage)], rule=rule,
@@ -372,6 +366,11 @@ def _python_stage_packed(
             schema,
         )
     )
+    missing = [f for f in schema.fields if f.name not in df.columns or f.name == "_work"]
+    failed = ordered.filter("not success").withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in missing}
+    )
+    return scored.unionByName(failed.select(*schema.names))
 
 
 def _expression_stage(df: DataFrame, number: int, stage: Stage) -> DataFrame:
@@ -397,55 +396,66 @@ def chain(
     key: str = "queue_key",
     time_column: str = "received_us",
     request_id: str = "request_id",
-    hot_key_rows: int = HOT_QUEUE_REQUESTS,
     admit: Column | None = None,
+    spread: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run every request's ``inputs`` through the stages; stage k reads what stage k-1 answered.
 
     Adds ``outputs``, ``success``, ``last_stage``, ``error`` and, per stage k, the batch it was
     predicted in: ``stage{k}_batch_id``, ``_batch_inputs``, ``_started_us``, ``_ended_us``. If a stage
-    raises, all requests of that batch fail there and no later stage sees them. ``max_wait_us`` counts
-    by ``time_column`` at every stage.
+    raises, all requests of that batch fail there and no later stage sees them; so do they if an answer has
+    not the stage's type. An error in an expression stage ends the job, as in any other column. ``max_wait_us``
+    counts by ``time_column`` at every stage.
 
-    Queues with more than ``hot_key_rows`` requests are packed in segments and their batches spread over
-    all tasks; counting them is one small aggregation before the plan is built.
+    By default all stages run in one pass with one task per queue, and building the plan runs nothing.
+    ``spread`` gives the same answers when one queue is too much for a task: each stage's batches are numbered
+    in a global order and spread over all tasks. Its rows are stored before every stage, so earlier stages run
+    while the plan is built. ``tasks`` is the number of tasks of both (the session's shuffle partitions).
 
     Rows for which ``admit`` is not true pass by every stage (``success`` false, ``last_stage`` -1), so
-    refused requests need no second read of the source.
+    refused requests need no second read of the source. An empty list is answered at once with success and
+    ``[]``; a NULL one is refused.
     """
     rule = PackRule(1, max_wait_us, key, time_column, request_id)
-    alive = F.lit(True) if admit is None else F.coalesce(admit, F.lit(False))
-    work = df.withColumns(
+    admitted = F.lit(True) if admit is None else F.coalesce(admit, F.lit(False))
+    tasks = tasks or shuffle_partitions(df.sparkSession)
+    work = _begun(df, admitted)
+    for python, group in groupby(_numbered(stages), lambda item: item[1].expression is None):
+        members = list(group)
+        if not python:
+            for number, stage in members:
+                work = _expression_stage(work, number, stage)
+        elif spread:
+            for number, stage in members:
+                work = _spread_stage(work, number, stage, rule, tasks)
+        else:
+            work = _python_stages(work, members, rule, tasks)
+    return _answered(work)
+
+
+def _begun(df: DataFrame, admitted: Column) -> DataFrame:
+    """Requests before the first stage; those without inputs take no part in it."""
+    alive = admitted & F.coalesce(F.size("inputs") > 0, F.lit(False))
+    return df.withColumns(
         {
+            "_empty": admitted & F.coalesce(F.size("inputs") == 0, F.lit(False)),
             "_work": F.when(alive, F.col("inputs")),
             "success": alive,
             "last_stage": F.lit(-1),
-            "error": F.lit(None).cast("string"),
+            "error": F.when(admitted & F.col("inputs").isNull(), F.lit(NO_INPUTS)),
         }
     )
-    hot = None
-    for python, group in groupby(_numbered(stages), lambda item: item[1].expression is None):
-        members = list(group)
-        if not python:
-            for number, stage in members:
-                work = _expression_stage(work, number, stage)
-            continue
-        if hot is None:
-            hot = hot_keys(df, key, hot_key_rows)
-        work = _python_group(work, members, rule, hot, hot_key_rows)
-    return work.withColumnRenamed("_work", "outputs")
 
 
-def _python_group(
-    work: DataFrame, members: list[tuple[int, Stage]], rule: PackRule, hot: list, hot_rows: int
-) -> DataFrame:
-    if not hot:
-        return _python_stages(work, members, rule)
-    test = is_hot(rule.key, hot)
-    spread = work.filter(test)
-    for number, stage in members:
-        spread = _python_stage_packed(spread, number, stage, rule, hot_rows)
-    return _python_stages(work.filter(~test), members, rule).unionByName(spread)
+def _answered(work: DataFrame) -> DataFrame:
+    nothing = F.array().cast(work.schema["_work"].dataType)
+    return work.withColumns(
+        {
+            "_work": F.when(F.col("_empty"), nothing).otherwise(F.col("_work")),
+            "success": F.col("_empty") | F.col("success"),
+        }
+    ).drop("_empty").withColumnRenamed("_work", "outputs")
 
 
 def chain_as_read(
@@ -456,18 +466,11 @@ def chain_as_read(
 ) -> DataFrame:
     """:func:`chain` without a queue order: batches are packed from each partition as it is read.
 
-    Nothing is shuffled or counted, so this also runs on a stream.
+    Nothing is shuffled or counted, so this also runs on a stream. Which requests share a batch then depends
+    on how the source is split; with a stage that fails for some inputs use :func:`chain` per trigger.
     """
     rule = PackRule(1, None, "_lane", time_column, request_id)
-    work = df.withColumns(
-        {
-            "_lane": F.lit(0),
-            "_work": F.col("inputs"),
-            "success": F.lit(True),
-            "last_stage": F.lit(-1),
-            "error": F.lit(None).cast("string"),
-        }
-    )
+    work = _begun(df, F.lit(True)).withColumn("_lane", F.lit(0))
     for python, group in groupby(_numbered(stages), lambda item: item[1].expression is None):
         members = list(group)
         if python:
@@ -482,7 +485,7 @@ def chain_as_read(
         else:
             for number, stage in members:
                 work = _expression_stage(work, number, stage)
-    return work.drop("_lane").withColumnRenamed("_work", "outputs")
+    return _answered(work.drop("_lane"))
 
 
 def predict_isolated(
@@ -518,6 +521,23 @@ def infer_output_schema(example: list, functions: Iterable[Predictor]) -> list[T
     return types
 
 
+def output_types(examples: DataFrame, functions: Sequence[Predictor], inputs: str = "inputs") -> DataFrame:
+    """:func:`infer_output_schema` on an executor, for the example in each row: stage, type (as DDL text).
+
+    Give one example request; the functions see it whole.
+    """
+
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for example in batch.column(0).to_pylist():
+                types = [t.simpleString() for t in infer_output_schema(example, functions)]
+                yield pa.RecordBatch.from_pydict(
+                    {"stage": pa.array(range(len(types)), pa.int32()), "type": pa.array(types, pa.string())}
+                )
+
+    return examples.select(inputs).mapInArrow(infer, "stage int, type string")
+
+
 def _value_type(values: list) -> T.DataType:
     """Spark type of some answers; tuples become structs with fields ``_1``, ``_2``, ..."""
     if values and all(isinstance(v, tuple) and len(v) == len(values[0]) for v in values):

@@ -5,19 +5,17 @@ A call row is ``connection_id, seq, latency_ms, success, error, is_warmup``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuemill.operators.ordering import ROWS_PER_SEGMENT, global_index
+from queuemill.operators.ordering import global_index
 
 # The percentiles of the report and how many errors it lists.
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 LISTED_ERRORS = 10
-IN_ONE_BUFFER = 1_000_000  # latencies that the built-in exact percentile may hold in one task
 
 
 def exclude_warmup(calls: DataFrame) -> DataFrame:
@@ -53,36 +51,26 @@ def _percentile_name(p: float) -> str:
 def latency_percentiles(
     calls: DataFrame,
     percentiles: Sequence[float] = PERCENTILES,
-    in_one_buffer: int = IN_ONE_BUFFER,
-    rows_per_segment: int = ROWS_PER_SEGMENT,
+    segments: int | None = None,
 ) -> DataFrame:
-    """Exact percentiles of the successful calls, linear between neighbours.
+    """Exact percentiles of the successful calls, linear between neighbours; no row without any.
 
-    Spark's ``percentile`` keeps every distinct value in one buffer. Beyond ``in_one_buffer`` calls the
-    latencies are sorted across the cluster instead, and only the neighbours of each rank are read.
+    The latencies are sorted across the cluster, and only the neighbours of each rank are read.
     """
     ok = calls.filter("success and latency_ms is not null")
-    rows = ok.count()
-    if rows <= in_one_buffer:
-        wanted = [
-            F.percentile("latency_ms", p).alias(_percentile_name(p)) for p in percentiles
-        ]
-        return ok.agg(*wanted).filter(F.col(_percentile_name(percentiles[0])).isNotNull())
     order = ["latency_ms", "connection_id", "seq"]
-    ranked = global_index(ok.select(*order), order, "rank", rows_per_segment, rows)
-    ranks = [p * (rows - 1) for p in percentiles]
-    near = sorted({math.floor(r) for r in ranks} | {math.ceil(r) for r in ranks})
+    ranked = global_index(ok.select(*order), order, "rank", segments, total="calls")
 
-    def at(rank: int) -> Column:
+    def at(rank: Column) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col("latency_ms")))
 
-    def between(rank: float) -> Column:
-        low, high = math.floor(rank), math.ceil(rank)
-        return at(low) + (at(high) - at(low)) * (rank - low)
+    def between(p: float) -> Column:
+        rank = p * (F.col("calls") - 1)
+        part = F.max(rank - F.floor(rank))
+        return at(F.floor(rank)) + (at(F.ceil(rank)) - at(F.floor(rank))) * part
 
-    return ranked.filter(F.col("rank").isin(near)).agg(
-        *[between(rank).alias(_percentile_name(p)) for p, rank in zip(percentiles, ranks)]
-    )
+    wanted = [between(p).alias(_percentile_name(p)) for p in percentiles]
+    return ranked.agg(*wanted).filter(F.col(_percentile_name(percentiles[0])).isNotNull())
 
 
 def _throughput_columns(duration_seconds: float) -> list[Column]:

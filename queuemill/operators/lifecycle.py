@@ -13,11 +13,14 @@ from queuemill.functions.match import match, no_match
 from queuemill.functions.scalars import MICROS
 from queuemill.operators.table import search_update, upsert
 from queuemill.operators.validation import status_of
+from queuemill.session import shuffle_partitions
 
 # Seconds.
 CLIENT_TIMEOUT_SECONDS = 480
 RETENTION_SECONDS = 40
 
+PRUNED_RANK = 1_000  # up to here Spark prunes ranks before the shuffle
+
 
 def _eligible_query(stage: int) -> dict:
     return {
@@ -39,13 +42,20 @@ def claim(
     """The first ``n`` eligible requests per queue, marked as taken by ``stage``.
 
     Only the claimed rows come back (write them with :func:`queuemill.operators.table.upsert`).
-    Rank and limit sit next to each other, so Spark keeps at most ``n`` rows per key and partition
-    before the shuffle, however full one queue is.
+    Rank and limit sit next to each other, so for ``n`` up to 1,000 Spark keeps at most ``n`` rows per key and
+    partition before the shuffle, however full one queue is. For more, queues are dealt over all tasks
+    first and each share gives its first ``n``.
     """
-    fifo = W.partitionBy(key).orderBy("received_us", "request_id")
+    order = ("received_us", "request_id")
+    fifo = W.partitionBy(key).orderBy(*order)
+    waiting = eligible(df, stage)
+    if n > PRUNED_RANK:
+        shares = shuffle_partitions(df.sparkSession)
+        share = W.partitionBy(key, F.pmod(F.xxhash64("request_id"), F.lit(shares))).orderBy(*order)
+        ranked = waiting.withColumn("_share_rank", F.row_number().over(share))
+        waiting = ranked.filter(F.col("_share_rank") <= n).drop("_share_rank")
     first = (
-        eligible(df, stage)
-        .withColumn("fifo_rank", F.row_number().over(fifo))
+        waiting.withColumn("fifo_rank", F.row_number().over(fifo))
         .filter(F.col("fifo_rank") <= n)
     )
     return first.withColumns(
@@ -99,9 +109,12 @@ def purge_delivered(
     return df.filter(no_match(gone))
 
 
-def apply_results(df: DataFrame, results: DataFrame, version: Column | None = None) -> DataFrame:
-    """Write stage answers, times, batch size and success back to the request table."""
-    return upsert(df, results, F.lit(0) if version is None else version)
+def apply_results(df: DataFrame, results: DataFrame, version: Column) -> DataFrame:
+    """Write stage answers, times, batch size and success back to the request table.
+
+    ``version`` says which of several results for one request counts, such as when it was predicted.
+    """
+    return upsert(df, results, version)
 
 
 def mark_delivered(df: DataFrame, last_stage: int, as_of_us: int) -> DataFrame:

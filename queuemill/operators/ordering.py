@@ -14,21 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuemill.session import cut_lineage
+from queuemill.session import cut_lineage, shuffle_partitions
 
-ROWS_PER_SEGMENT = 1_000_000
-MAX_SEGMENTS = 100_000  # bounds everything that is kept, broadcast or folded per segment
 ROW_BITS = 33  # layout of monotonically_increasing_id: partition number above 33 bits of row number
 
 
-def segment_count(rows: int, rows_per_segment: int = ROWS_PER_SEGMENT) -> int:
-    return max(1, min(MAX_SEGMENTS, -(-rows // rows_per_segment)))
-
-
 def ordered_segments(df: DataFrame, order: Sequence[str], segments: int) -> DataFrame:
     """Sort ``df`` globally into ``segments`` partitions; adds ``segment`` and ``segment_row``.
 
-    ``order`` must be unique per row. The result is checkpointed: range bounds are sampled, so a
+    ``segments`` is the number of tasks, and bounds everything that is kept or broadcast per segment; rows
+    that are equal in ``order`` share a segment. The result is checkpointed: range bounds are sampled, so a
     second evaluation could cut elsewhere, and both columns must mean the same to every reader.
     """
     numbered = (
@@ -49,20 +44,27 @@ def global_index(
     df: DataFrame,
     order: Sequence[str],
     name: str = "index",
-    rows_per_segment: int = ROWS_PER_SEGMENT,
-    rows: int | None = None,
+    segments: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """0-based position of every row in the total order, without a single-task window."""
-    rows = df.count() if rows is None else rows
-    ordered = ordered_segments(df, order, segment_count(rows, rows_per_segment))
+    """0-based position of every row in the total order, without a single-task window.
+
+    ``segments`` is the session's number of shuffle partitions by default; ``total`` names a column for the number
+    of all rows.
+    """
+    ordered = ordered_segments(df, order, segments or shuffle_partitions(df.sparkSession))
     before = W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         ordered.groupBy("segment")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select("segment", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+        .select(
+            "segment",
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
+            *([F.sum("_size").over(W.partitionBy()).alias(total)] if total else []),
+        )
     )
     return (
-        ordered.join(F.broadcast(offsets), "segment")  # at most MAX_SEGMENTS rows
+        ordered.join(F.broadcast(offsets), "segment")  # one row per segment
         .withColumn(name, F.col("_base") + F.col("segment_row"))
         .drop("segment", "segment_row", "_base")
     )

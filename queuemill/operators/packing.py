@@ -4,15 +4,12 @@ Per queue key and in arrival order, requests join the open batch until it holds
 batch size, or until a request arrives ``max_wait_us`` after the batch's first one; the next request
 then opens a new batch. A batch may overshoot, and a large request makes a batch of its own.
 
-Where a batch ends depends only on where it began. Two ways follow from that:
-
-* **Keys of ordinary size** are packed in one pass: one hash shuffle on the key, a sort inside each
-  partition, and a scan that carries the open batch from one Arrow batch to the next.
-* **Hot keys** (one queue with a third of all rows) would make that scan a single long task. Their rows
-  are cut into segments of the global order. Each segment is summarised for every request at its head
-  that could open a batch (at most 0.8 of the batch size + 1 of them), the small summaries are chained per
-  key, and each segment is then packed from its now known starting state. The result is the same, row
-  by row, as that of the one-pass scan.
+Where a batch ends depends only on where it began, so any number of tasks can pack one key. Rows are cut
+into segments of the order (key, time, id). Keys inside a segment are packed there. A run of rows that touches a
+segment's border is summarised for every request at its head that could open a batch (at most 0.8 of the
+batch size + 1 of them); these summaries, two per segment at most whatever the keys look like, are folded in
+order, and each segment is then packed from its now known starting state. The result is the same, row by row,
+as that of one scan per key.
 """
 
 from __future__ import annotations
@@ -29,15 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from queuemill.operators.ordering import ordered_segments, segment_count
-from queuemill.session import cut_lineage
+from queuemill.operators.ordering import ordered_segments
+from queuemill.session import cut_lineage, shuffle_partitions
 
 # Fixed value: a batch takes no more requests once it holds more than 4/5 of its size.
 FULL_SHARE = (4, 5)
 
 NO_WAIT_LIMIT = 1 << 60
-HOT_KEY_ROWS = 2_000_000
-MAX_HOT_KEYS = 1_000
 
 
 @dataclass(frozen=True)
@@ -186,27 +181,17 @@ def _append_batches(table: pa.Table, numbers: np.ndarray, offsets: np.ndarray) -
     )
 
 
+def check_rows(table: pa.Table, rule: PackRule) -> None:
+    if table[rule.time].null_count:
+        raise ValueError(f"packing needs a value in {rule.time!r} of every request")
+    check_sizes(_ints(table[rule.size]))
+
+
 def check_sizes(sizes: np.ndarray) -> None:
     if len(sizes) and sizes.min() < 1:
         raise ValueError("packing needs at least one input per request; answer empty ones first")
 
 
-def _pack_sorted(batches: Iterator[pa.RecordBatch], rule: PackRule) -> Iterator[pa.RecordBatch]:
-    key, state = None, None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        table = pa.Table.from_batches([batch])
-        sizes, times = _ints(table[rule.size]), _ints(table[rule.time])
-        check_sizes(sizes)
-        same_key = state is not None and table[rule.key][0].as_py() == key
-        numbers, offsets, state = number_batches(
-            sizes, times, key_runs(table[rule.key]), state if same_key else None, rule
-        )
-        key = table[rule.key][-1].as_py()
-        yield from _append_batches(table, numbers, offsets).to_batches()
-
-
 def _packed_schema(df: DataFrame) -> T.StructType:
     return T.StructType(
         [*df.schema.fields, T.StructField("batch_id", T.LongType()),
@@ -220,35 +205,7 @@ def sorted_by_queue(df: DataFrame, rule: PackRule, tasks: int | None = None) ->
     return spread.sortWithinPartitions(*rule.order)
 
 
-def _pack_by_key(df: DataFrame, rule: PackRule) -> DataFrame:
-    return sorted_by_queue(df, rule).mapInArrow(partial(_pack_sorted, rule=rule), _packed_schema(df))
-
-
-# --- hot keys -------------------------------------------------------------------------------------
-
-
-def hot_keys(df: DataFrame, key: str, max_rows: int = HOT_KEY_ROWS) -> list:
-    """Keys with more than ``max_rows`` rows, the ``MAX_HOT_KEYS`` largest at most.
-
-    A key beyond that number holds less than 1/1000 of all rows, a fair share of one task, so it may
-    stay on the ordinary path. The count is partially aggregated before its shuffle.
-    """
-    rows = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > max_rows)
-        .orderBy(F.desc("_rows"), key)
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-    return [(row[0], row["_rows"]) for row in rows]
-
-
-def is_hot(key: str, hot: list) -> Column:
-    """Null-safe membership test for the values of :func:`hot_keys`."""
-    values = [value for value, _ in hot if value is not None]
-    test = F.coalesce(F.col(key).isin(values), F.lit(False))
-    return test | F.col(key).isNull() if any(value is None for value, _ in hot) else test
+# --- segments -------------------------------------------------------------------------------------
 
 
 def _summary_schema(key_type: T.DataType) -> T.StructType:
@@ -257,6 +214,7 @@ def _summary_schema(key_type: T.DataType) -> T.StructType:
         [
             T.StructField("_key", key_type),
             T.StructField("_segment", T.IntegerType()),
+            T.StructField("_run", T.IntegerType()),
             T.StructField("head_sizes", longs),
             T.StructField("head_times", longs),
             T.StructField("exit_length", longs),
@@ -304,24 +262,40 @@ def summarise_run(sizes: np.ndarray, times: np.ndarray, rule: PackRule) -> dict:
 def _summarise_segments(
     batches: Iterator[pa.RecordBatch], rule: PackRule, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    parts = [batch for batch in batches if batch.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    sizes, times = _ints(table[rule.size]), _ints(table[rule.time])
-    check_sizes(sizes)
-    segment = table["segment"][0].as_py()
-    runs = key_runs(table[rule.key])
-    for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist()):
-        summary = summarise_run(sizes[lo:hi], times[lo:hi], rule)
-        row = {"_key": table[rule.key][lo].as_py(), "_segment": segment, **summary}
-        yield pa.RecordBatch.from_pylist([row], schema=schema)
+    """The first and the last run of a segment, which may be one; what lies between needs no summary."""
+    first: list[pa.Table] = []
+    last: list[pa.Table] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        table = pa.Table.from_batches([batch])
+        check_rows(table, rule)
+        runs = key_runs(table[rule.key]).tolist()
+        for lo, hi in [(runs[0], runs[1]), *([(runs[-2], runs[-1])] if len(runs) > 2 else [])]:
+            part = table.slice(lo, hi - lo)
+            if not last and (not first or _same_key(first, part, rule)):
+                first.append(part)
+            elif last and _same_key(last, part, rule):
+                last.append(part)
+            else:
+                last = [part]
+    for number, parts in enumerate((first, last)):
+        if parts:
+            table = pa.concat_tables(parts)
+            summary = summarise_run(_ints(table[rule.size]), _ints(table[rule.time]), rule)
+            place = {"_segment": table["segment"][0].as_py(), "_run": number}
+            row = {"_key": table[rule.key][0].as_py(), **place, **summary}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+
+def _same_key(parts: list[pa.Table], part: pa.Table, rule: PackRule) -> bool:
+    return parts[-1][rule.key][-1].as_py() == part[rule.key][0].as_py()
 
 
 def _chain_summaries(
     batches: Iterator[pa.RecordBatch], rule: PackRule, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    """Walk each key's summaries in segment order; emit the open batch each segment begins with."""
+    """Walk the summaries in segment order; emit the open batch that each segment's first run begins with."""
     key, state, fresh = None, None, True
     for batch in batches:
         entries = []
@@ -329,15 +303,16 @@ def _chain_summaries(
             row = batch.slice(at, 1).to_pylist()[0]
             if fresh or row["_key"] != key:
                 key, state, fresh = row["_key"], None, False
-            entries.append(
-                {
-                    "_key": key,
-                    "_segment": row["_segment"],
-                    "_number": None if state is None else state.number,
-                    "_length": None if state is None else state.length,
-                    "_opened": None if state is None else state.opened,
-                }
-            )
+            if state is not None and row["_run"] == 0:
+                entries.append(
+                    {
+                        "_key": key,
+                        "_segment": row["_segment"],
+                        "_number": state.number,
+                        "_length": state.length,
+                        "_opened": state.opened,
+                    }
+                )
             entry = 0
             if state is not None:
                 entry = _entry_row(row, state, rule)
@@ -380,9 +355,10 @@ def _pack_segments(batches: Iterator[pa.RecordBatch], rule: PackRule) -> Iterato
         yield from _append_batches(table.drop_columns(extra), numbers, offsets).to_batches()
 
 
-def _pack_hot(df: DataFrame, rule: PackRule, rows: int, rows_per_segment: int) -> DataFrame:
-    ordered = ordered_segments(df, rule.order, segment_count(rows, rows_per_segment))
-    key_type = df.schema[rule.key].dataType
+def pack_ordered(ordered: DataFrame, rule: PackRule) -> DataFrame:
+    """Pack rows that :func:`ordered_segments` put in order; rows may have been filtered out since."""
+    columns = [name for name in ordered.columns if name not in ("segment", "segment_row")]
+    key_type = ordered.schema[rule.key].dataType
     summary_schema = _summary_schema(key_type)
     entry_schema = T.StructType(
         [
@@ -398,19 +374,21 @@ def _pack_hot(df: DataFrame, rule: PackRule, rows: int, rows_per_segment: int) -
         summary_schema,
     )
     entries = cut_lineage(
-        summaries.repartition("_key")
-        .sortWithinPartitions("_key", "_segment")
+        summaries.repartition(1)  # two rows per segment at most
+        .sortWithinPartitions("_segment", "_run")
         .mapInArrow(
             partial(_chain_summaries, rule=rule, schema=_arrow_schema(entry_schema)), entry_schema
         )
     )
-    # one row per segment and hot key: at most MAX_SEGMENTS + MAX_HOT_KEYS rows
     begun = ordered.join(
-        F.broadcast(entries),
+        F.broadcast(entries),  # one row per segment at most
         ordered[rule.key].eqNullSafe(entries["_key"])
         & (ordered["segment"] == entries["_segment"]),
+        "left",
     ).drop("_key", "_segment")
-    return begun.mapInArrow(partial(_pack_segments, rule=rule), _packed_schema(df))
+    return begun.mapInArrow(
+        partial(_pack_segments, rule=rule), _packed_schema(ordered.select(*columns))
+    )
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -422,23 +400,17 @@ def pack_batches(
     batch_size: int,
     max_wait_us: int | None = None,
     key: str = "queue_key",
-    hot_key_rows: int = HOT_KEY_ROWS,
-    rows_per_segment: int | None = None,
+    tasks: int | None = None,
     **columns: str,
 ) -> DataFrame:
     """Add ``batch_id`` (0-based per key) and ``batch_offset`` (inputs before this request).
 
-    Counts the keys first (one small aggregation); keys above ``hot_key_rows`` rows take the
-    segmented way. Select only the columns you need: all of them travel through the shuffle.
+    Rows are sorted once into ``tasks`` segments (the session's shuffle partitions by default) and stored in that order.
+    Select only the columns you need: all of them travel. Equal ids are fine, an arrival time is needed.
     """
     rule = PackRule(batch_size, max_wait_us, key, **columns)
-    hot = hot_keys(df, key, hot_key_rows)
-    if not hot:
-        return _pack_by_key(df, rule)
-    hot_test = is_hot(key, hot)
-    rows = sum(n for _, n in hot)
-    packed = _pack_hot(df.filter(hot_test), rule, rows, rows_per_segment or hot_key_rows)
-    return _pack_by_key(df.filter(~hot_test), rule).unionByName(packed)
+    segments = tasks or shuffle_partitions(df.sparkSession)
+    return pack_ordered(ordered_segments(df, rule.order, segments), rule)
 
 
 def slice_batches(df: DataFrame, items: str, batch_size: int, name: str = "item") -> DataFrame:

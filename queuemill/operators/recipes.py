@@ -41,11 +41,11 @@ def order_stages(names: DataFrame, name: str = "name", recipe: str = "recipe") -
 
 
 def stage_registry(stages: DataFrame, tuning: DataFrame, key: str = "queue_key") -> DataFrame:
-    """One row per stage with its batch size, time per example and the wait that follows from it."""
+    """One row per stage with its batch size, time per example (ms) and the wait that follows from it (s)."""
     return stages.join(tuning, key, "left").withColumns(
         {
             "request_poll_time": F.lit(0.01),
-            "max_wait_seconds": max_wait_seconds(F.col("time_per_example")),
+            "max_wait_seconds": max_wait_seconds(F.col("time_per_example") / 1000),
             "status": F.when(F.col("optimal_batch_size").isNull(), "starting").otherwise("running"),
         }
     )

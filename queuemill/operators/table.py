@@ -64,13 +64,17 @@ def get(
 def upsert(df: DataFrame, updates: DataFrame, version: Column, key: str = "request_id") -> DataFrame:
     """Merge ``updates`` by key: the write with the highest ``version`` wins, new keys are added.
 
+    A NULL version is lower than any other; of writes of one version the one whose values, as JSON text, sort
+    last wins, so that reruns agree.
+
     Columns that ``updates`` lacks keep their value. Repeated writes to one key shrink in the
     map-side half of the aggregation, so a much-written key costs no more than any other.
     """
     columns = [name for name in updates.columns if name != key and name in df.columns]
+    ties = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     latest = (
         updates.groupBy(key)
-        .agg(F.max_by(F.struct(*columns), version).alias("_new"))
+        .agg(F.max_by(F.struct(*columns), F.struct(version.alias("v"), ties.alias("t"))).alias("_new"))
         .withColumnRenamed(key, "_key")
     )
     joined = df.join(latest, df[key] == latest["_key"], "full_outer")

@@ -9,13 +9,14 @@ from queuemill.sources.requests import read_requests_json
 
 # Texts and codes a client sees.
 PICKLE_REFUSED = "pickle input disallowed, use msgpack or json"
-UNSUPPORTED_BEFORE, UNSUPPORTED_AFTER = "input_type ", " not supported"
+UNSUPPORTED = "input_type %s not supported"
 UNDECODABLE = "undecodable"
 NO_INPUTS = "inputs have to be  msgpack or json"
 NO_INPUTS_WITH_PICKLE = "inputs have to be pickle, msgpack or json"
 NOT_A_LIST = "inputs have to be a list or tuple"
 EMPTY = "empty inputs"
-FAILED_BEFORE = "prediction failed predictor "
+TOO_LARGE = "more than %d inputs in one request"
+FAILED = "prediction failed predictor %s"
 TIMEOUT = "timeout"
 CLIENT_TIMEOUT = "client_timeout"
 INPUT_TYPES = ["pickle", "msgpack", "json"]
@@ -28,30 +29,36 @@ COMPRESSED_CONTENT_TYPE = "application/octet-stream"
 
 
 def validate_requests(
-    df: DataFrame, allow_pickle: bool = False, payload: str = "payload"
+    df: DataFrame,
+    allow_pickle: bool = False,
+    payload: str = "payload",
+    max_request_batch_size: int = 0,
 ) -> DataFrame:
     """Decode the payload and apply the admission rules in order.
 
+    Payloads are JSON text. Other input types are known but not read here, so theirs are undecodable. Requests
+    of more than ``max_request_batch_size`` inputs are refused (0: no limit).
+
     Adds ``inputs`` (``array<variant>``, NULL if refused), ``n_inputs``, ``reason``, ``success`` and
     ``is_valid``. An empty list is a success that needs no prediction, so it is not valid to queue.
     """
     decoded = read_requests_json(df, payload, "_inputs")
     items = F.expr("try_variant_get(_inputs, '$', 'array<variant>')")
     kind = F.col("input_type")
-    refused_type = F.concat(
-        F.lit(UNSUPPORTED_BEFORE), F.coalesce(kind, F.lit("None")), F.lit(UNSUPPORTED_AFTER)
-    )
+    refused_type = F.format_string(UNSUPPORTED, F.coalesce(kind, F.lit("None")))
     reason = F.when(
         (kind == "pickle") & F.lit(not allow_pickle), F.lit(PICKLE_REFUSED)
     ).when(
         ~F.coalesce(kind.isin(INPUT_TYPES), F.lit(False)), refused_type
     ).when(
-        F.col("_inputs").isNull(), F.lit(UNDECODABLE)
+        (kind != "json") | F.col("_inputs").isNull(), F.lit(UNDECODABLE)
     ).when(
         F.expr("is_variant_null(_inputs)"), F.lit(NO_INPUTS_WITH_PICKLE if allow_pickle else NO_INPUTS)
     ).when(
         F.col("_items").isNull(), F.lit(NOT_A_LIST)
-    ).when(F.size("_items") == 0, F.lit(EMPTY))
+    ).when(F.size("_items") == 0, F.lit(EMPTY)).when(
+        _too_large(F.size("_items"), max_request_batch_size), F.lit(TOO_LARGE % max_request_batch_size)
+    )
     checked = decoded.withColumn("_items", items).withColumn("reason", reason)
     answered_well = F.col("reason").isNull() | (F.col("reason") == EMPTY)
     return checked.select(
@@ -69,14 +76,14 @@ def split_requests(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.filter("is_valid"), validated.filter("not is_valid")
 
 
+def _too_large(n_inputs: Column, limit: int) -> Column:
+    return n_inputs > limit if limit > 0 else F.lit(False)
+
+
 def limit_request_size(df: DataFrame, max_request_batch_size: int = 0) -> DataFrame:
     """Refuse requests with more inputs than allowed (0 = no limit); needs ``inputs``."""
-    too_large = (
-        F.coalesce(F.size("inputs"), F.lit(0)) > max_request_batch_size
-        if max_request_batch_size > 0
-        else F.lit(False)
-    )
-    text = F.lit(f"more than {max_request_batch_size} inputs in one request")
+    too_large = _too_large(F.coalesce(F.size("inputs"), F.lit(0)), max_request_batch_size)
+    text = F.lit(TOO_LARGE % max_request_batch_size)
     return df.withColumn("size_reason", F.when(too_large, text)).withColumn(
         "size_ok", F.col("size_reason").isNull()
     )
@@ -85,10 +92,11 @@ def limit_request_size(df: DataFrame, max_request_batch_size: int = 0) -> DataFr
 def assign_request_id(df: DataFrame, content: list[str], request_id: str = "request_id") -> DataFrame:
     """Keep a given id as text; else derive one from the content, so that a retried task agrees.
 
-    ``content`` must name what tells two requests apart, such as the arrival time beside the payload.
+    ``content`` must name what tells two arrivals apart, such as the source's key or offset beside the payload;
+    two rows that agree in all of it are taken for one request and get one id.
     """
     given = F.nullif(F.col(request_id).cast("string"), F.lit(""))
-    digest = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in content]), 256)
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
     return df.withColumn(request_id, F.coalesce(given, digest))
 
 
@@ -133,7 +141,7 @@ def build_response(df: DataFrame, last_stage: int, prediction: str = "outputs")
         .when(status == "timed_out", F.lit(TIMEOUT))
         .when(
             status == "failed",
-            F.concat(F.lit(FAILED_BEFORE), F.col("last_stage").cast("string")),
+            F.format_string(FAILED, F.col("last_stage").cast("string")),
         )
     )
     answered = resolve_status(df, last_stage).withColumns(

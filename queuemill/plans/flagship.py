@@ -11,7 +11,7 @@ from queuemill.plans.registry import query
 from queuemill.plans.requests import VALIDATED_SQL
 from queuemill.plans.views import Tables
 
-QUEUES = 4096
+REQUESTS_PER_QUEUE = 16
 
 
 def square(inputs: list, batch_size: int = 1) -> list:
@@ -60,7 +60,7 @@ def answer_requests(raw: DataFrame, stages: list[Stage]) -> DataFrame:
 )
 def flagship(t: Tables) -> DataFrame:
     raw = t.raw_requests.withColumns(
-        {"queue_key": F.col("conv_id") % QUEUES, "received_us": F.col("conv_id") * 1000}
+        {"queue_key": F.floor(F.col("conv_id") / REQUESTS_PER_QUEUE), "received_us": F.col("conv_id") * 1000}
     )
     stages = [
         Stage.from_function(square, "bigint", 32),

@@ -254,7 +254,7 @@ def latency_percentiles(t: Tables) -> DataFrame:
 @query("i3_percentiles_by_rank", f"with {COUNTED_SQL} select {MARKS_SQL} from counted where success")
 def percentiles_by_rank(t: Tables) -> DataFrame:
     """The same answer by the distributed sort that larger data takes."""
-    return rounded(B.latency_percentiles(counted(t), in_one_buffer=0, rows_per_segment=50_000))
+    return rounded(B.latency_percentiles(counted(t), segments=16))
 
 
 @query(

@@ -26,7 +26,7 @@ VALIDATED_SQL = (
     + """, reasoned as (select *, case
     when input_type = 'pickle' then 'pickle input disallowed, use msgpack or json'
     when input_type not in ('msgpack', 'json') then concat('input_type ', input_type, ' not supported')
-    when inputs is null then 'undecodable'
+    when input_type <> 'json' or inputs is null then 'undecodable'
     when json_type(inputs) = 'NULL' then 'inputs have to be  msgpack or json'
     when json_type(inputs) <> 'ARRAY' then 'inputs have to be a list or tuple'
     when json_array_length(inputs) = 0 then 'empty inputs' end as reason from decoded),
@@ -78,10 +78,21 @@ def read_request_array_file(t: Tables) -> DataFrame:
     )
 
 
-@query("a3_read_binary_requests")
+@query(
+    "a3_read_binary_requests",
+    """select item_id, 'txt' as type, octet_length(encode(text)) + 1 as n_bytes, md5(text || chr(10)) as content_md5,
+      'output_file_' || row_number() over (order by cast(item_id as varchar)) as output_name from benchmark""",
+)
 def read_binary_requests(t: Tables) -> DataFrame:
-    files = R.read_binary_requests(t.spark, t.sf_dir, "*.parquet", recursive=True)
-    return files.select("name", "type", "n_bytes", "output_name")
+    """One text file per benchmark item, read back as binary requests."""
+    path = scratch_path(t.spark, "binary-requests")
+    items = t.spark.read.parquet(f"{t.sf_dir}/benchmark.parquet").select("item_id", "text")
+    items.repartition("item_id").write.partitionBy("item_id").text(path)
+    files = R.read_binary_requests(t.spark, path, "*.txt", recursive=True)
+    return files.select(
+        F.regexp_extract("path", r"item_id=(-?\d+)", 1).cast("bigint").alias("item_id"),
+        "type", "n_bytes", F.md5("content").alias("content_md5"), "output_name",
+    )
 
 
 @query(
@@ -169,7 +180,8 @@ def limit_request_size(t: Tables) -> DataFrame:
 @query(
     "b4_assign_request_id",
     f"""with {RAW_SQL} select conv_id, case when conv_id % 3 = 0
-      then sha256(concat_ws('|', payload, input_type)) else request_id end as request_id
+      then sha256(cast(to_json({{'conv_id': conv_id, 'payload': payload, 'input_type': input_type}}) as varchar))
+      else request_id end as request_id
       from raw_requests""",
 )
 def assign_request_id(t: Tables) -> DataFrame:
@@ -177,7 +189,7 @@ def assign_request_id(t: Tables) -> DataFrame:
         F.col("request_id")
     )
     raw = t.raw_requests.withColumn("request_id", given)
-    return V.assign_request_id(raw, ["payload", "input_type"]).select("conv_id", "request_id")
+    return V.assign_request_id(raw, ["conv_id", "payload", "input_type"]).select("conv_id", "request_id")
 
 
 @query(

@@ -27,7 +27,6 @@ from queuemill.session import shuffle_partitions
 
 BATCH = 32
 SECOND_BATCH = 16
-HOT_ROWS = 2_000  # small enough that the segmented way also runs on small tables
 
 
 def text_length(inputs: list, batch_size: int = 1) -> list:
@@ -91,7 +90,7 @@ def pack_hot_queue(t: Tables) -> DataFrame:
     """One queue takes a third of all requests and is packed in segments."""
     lane = F.when(F.col("queue_key") % 3 == 0, 0).otherwise(F.col("queue_key")).cast("bigint")
     log = t.request_log.select(lane.alias("lane"), "request_id", "received_us", "n_inputs")
-    packed = P.pack_batches(log, BATCH, SIX_HOURS_US, key="lane", hot_key_rows=HOT_ROWS)
+    packed = P.pack_batches(log, BATCH, SIX_HOURS_US, key="lane")
     return packed.select("lane", "request_id", "batch_id", "batch_offset")
 
 
@@ -187,11 +186,9 @@ def chained_sql(source: str) -> str:
     )
 
 
-def chain_of_three(requests: DataFrame, hot_key_rows: int) -> DataFrame:
+def chain_of_three(requests: DataFrame, spread: bool) -> DataFrame:
     tenfold = I.Stage.from_expression(lambda x: x * 10, "int", "tenfold")
-    scored = I.chain(
-        requests, [DOUBLE, SUCCESSOR, tenfold], SIX_HOURS_US, hot_key_rows=hot_key_rows
-    )
+    scored = I.chain(requests, [DOUBLE, SUCCESSOR, tenfold], SIX_HOURS_US, spread=spread)
     return _with_output_sum(scored).select(
         "request_id", "success", "last_stage", "stage0_batch_id", "stage1_batch_id", "output_sum"
     )
@@ -199,7 +196,7 @@ def chain_of_three(requests: DataFrame, hot_key_rows: int) -> DataFrame:
 
 @query("d7_chain", f"with recursive {LOG_SQL}, {chained_sql('request_log')}")
 def chain(t: Tables) -> DataFrame:
-    return chain_of_three(t.numbered_requests, I.HOT_QUEUE_REQUESTS)
+    return chain_of_three(t.numbered_requests, spread=False)
 
 
 @query(
@@ -211,7 +208,7 @@ def chain(t: Tables) -> DataFrame:
 def chain_hot_queue(t: Tables) -> DataFrame:
     """One queue takes a third of all requests; its batches are spread over all tasks."""
     lane = F.when(F.col("queue_key") % 3 == 0, 0).otherwise(F.col("queue_key"))
-    return chain_of_three(t.numbered_requests.withColumn("queue_key", lane), HOT_ROWS)
+    return chain_of_three(t.numbered_requests.withColumn("queue_key", lane), spread=True)
 
 
 @query(
@@ -251,6 +248,21 @@ def tag_stages(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "d10_infer_output_schema",
+    f"""with {REQUESTS_SQL}, example as (select inputs from requests order by conv_id limit 1)
+    select cast(0 as int) as stage, case when len(inputs) > 0 then 'bigint' end as type from example
+    union all select 1, 'array<double>' from example""",
+)
+def infer_output_schema(t: Tables) -> DataFrame:
+    """The first conversation is the example: text lengths, then a vector of each."""
+
+    def vector(inputs: list, batch_size: int = 1) -> list:
+        return [[float(x), 1.0] for x in inputs]
+
+    return I.output_types(t.requests.orderBy("conv_id").limit(1), [text_length, vector])
+
+
 @query(
     "d11_embed_text",
     """with words as (select doc_id, unnest(string_split(text, ' ')) as word from documents),
@@ -307,7 +319,7 @@ def tuned(t: Tables) -> DataFrame:
       0 as predictor_sequence from marked)
     select queue_key, predictor_name, predictor_sequence, optimal_batch_size,
       round(time_per_example + 1e-9, 6) as time_per_example, 'running' as status,
-      round(greatest(0.003, time_per_example * 0.51) + 1e-9, 6) as max_wait_seconds
+      round(greatest(0.003, time_per_example / 1000 * 0.51) + 1e-9, 6) as max_wait_seconds
       from stages left join tuned using (queue_key)""",
 )
 def stage_registry(t: Tables) -> DataFrame:

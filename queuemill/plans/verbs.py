@@ -205,16 +205,31 @@ def purge_delivered(t: Tables) -> DataFrame:
       as success, case when last_stage = -1 then received_us + 5 else stage0_received_us end
       as stage0_received_us, case when last_stage = -1 then received_us + 5 + k
       else stage0_predicted_us end as stage0_predicted_us,
-      case when last_stage = -1 then n_inputs * 2 end as stage0_batch_inputs from queue_log""",
+      case when last_stage = -1 then n_inputs * 2 end as stage0_batch_inputs,
+      cast(case when last_stage = -1 then n_inputs * k end as bigint) as output_sum from queue_log""",
 )
 def apply_results(t: Tables) -> DataFrame:
-    log = t.queue_log.withColumn("stage0_batch_inputs", F.lit(None).cast("int"))
+    """Two results for each request; the later prediction counts."""
+    log = t.queue_log.withColumns(
+        {"stage0_batch_inputs": F.lit(None).cast("int"), "outputs": F.lit(None).cast("array<bigint>")}
+    )
     results = log.filter("last_stage = -1").selectExpr(
         "request_id", "false as success", "received_us + 5 as stage0_received_us",
         "received_us + 5 + k as stage0_predicted_us", "n_inputs * 2 as stage0_batch_inputs",
+        "array_repeat(cast(k as bigint), cast(n_inputs as int)) as outputs",
+    )
+    earlier = results.withColumns(
+        {
+            "success": F.lit(True),
+            "stage0_predicted_us": F.col("stage0_predicted_us") - 1,
+            "outputs": F.lit(None).cast("array<bigint>"),
+        }
     )
-    return L.apply_results(log, results).select(
-        "request_id", "success", "stage0_received_us", "stage0_predicted_us", "stage0_batch_inputs"
+    done = L.apply_results(log, results.unionByName(earlier), F.col("stage0_predicted_us"))
+    total = F.aggregate("outputs", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return done.select(
+        "request_id", "success", "stage0_received_us", "stage0_predicted_us", "stage0_batch_inputs",
+        total.alias("output_sum"),
     )
 
 

@@ -109,7 +109,7 @@ class Tables:
                when 3 then concat('{"data":', p, '}') when 4 then '{"x":1}'
                when 5 then 'not json' else p end as payload""",
             """case when conv_id % 16 = 6 then 'pickle' when conv_id % 16 = 14 then 'xml'
-               else 'json' end as input_type""",
+               when conv_id % 16 = 7 then 'msgpack' else 'json' end as input_type""",
         )
 
     @property
@@ -232,8 +232,8 @@ raw_requests as (select conv_id, request_id,
   case conv_id % 8 when 0 then 'null' when 1 then '[]' when 2 then '"text"'
     when 3 then concat('{"data":', p, '}') when 4 then '{"x":1}' when 5 then 'not json'
     else p end as payload,
-  case when conv_id % 16 = 6 then 'pickle' when conv_id % 16 = 14 then 'xml' else 'json' end
-    as input_type from good)"""
+  case when conv_id % 16 = 6 then 'pickle' when conv_id % 16 = 14 then 'xml'
+    when conv_id % 16 = 7 then 'msgpack' else 'json' end as input_type from good)"""
 )
 
 TIMES_SQL = (

@@ -35,16 +35,17 @@ def read_binary_requests(
 ) -> DataFrame:
     """Files as inputs, in path order; answer i goes to ``output_file_{i+1}``.
 
-    Names are numbered from the file listing alone, so the contents never take part in the sort.
+    Names are numbered from the file listing alone, so the contents never take part in the sort. A listing
+    of up to ``BROADCAST_FILES`` files is broadcast, and the contents then stay where they are read; the
+    contents of more files travel once, to be joined with it.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
     paths = files.select("path")
-    count = paths.count()
-    numbered = global_index(paths, ["path"], name="index", rows=count)
-    if count <= BROADCAST_FILES:  # the contents then stay where they were read
+    numbered = global_index(paths, ["path"], name="index")
+    if paths.count() <= BROADCAST_FILES:
         numbered = F.broadcast(numbered)
     return files.join(numbered, "path").select(
         "path",

@@ -76,15 +76,14 @@ def test_batches_seen_by_the_function_are_those_logged(requests):
     ).first()[0]
 
 
-@pytest.mark.parametrize("hot_rows", [50])
-def test_hot_queues_give_the_same_answers(tables, hot_rows):
+def test_hot_queues_give_the_same_answers(tables):
     hot_tables = tables.numbered_requests.withColumn(
         "queue_key", F.when(F.col("queue_key") % 3 == 0, 0).otherwise(F.col("queue_key"))
     )
     columns = ["request_id", "success", "last_stage", "stage0_batch_id", "stage1_batch_id", "outputs"]
     stages = [DOUBLE, SUCCESSOR, I.Stage.from_expression(lambda x: x * 10, "int")]
     one = I.chain(hot_tables, stages, SIX_HOURS_US).select(columns)
-    spread = I.chain(hot_tables, stages, SIX_HOURS_US, hot_key_rows=hot_rows).select(columns)
+    spread = I.chain(hot_tables, stages, SIX_HOURS_US, spread=True).select(columns)
     assert one.exceptAll(spread).count() == 0 and spread.exceptAll(one).count() == 0
     assert spread.count() == hot_tables.count()
 
@@ -156,3 +155,45 @@ def test_numpy_answers(spark):
     for row in rows:
         assert sum(x * x for x in row.embedding) == pytest.approx(1.0)
         assert row.embedding[0] == pytest.approx(row.id / (row.id**2 + 1) ** 0.5, rel=1e-6)
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_repeated_and_missing_ids_keep_their_rows(spark, spread):
+    rows = [(i % 20 if i % 5 else None, 0, i, [i, i + 100]) for i in range(40)]
+    df = spark.createDataFrame(rows, "request_id int, queue_key int, received_us bigint, inputs array<int>")
+    stages = [I.Stage.from_function(plus_one, "int", 8), I.Stage.from_function(plus_one, "int", 4)]
+    scored = I.chain(df, stages, spread=spread)
+    assert scored.count() == 40
+    assert scored.filter("outputs != transform(inputs, x -> x + 2) or outputs is null").count() == 0
+
+
+@pytest.mark.parametrize("run", ["one pass", "spread", "as read"])
+def test_requests_without_inputs(spark, run):
+    rows = [(1, [1]), (2, []), (3, None), (4, [2, 3])]
+    df = spark.createDataFrame(rows, "request_id int, inputs array<int>").selectExpr(
+        "*", "0 as queue_key", "cast(request_id as bigint) as received_us"
+    )
+    stages = [I.Stage.from_function(plus_one, "int", 8)]
+    scored = I.chain_as_read(df, stages) if run == "as read" else I.chain(df, stages, spread=run == "spread")
+    got = {r.request_id: (r.success, r.outputs, r.error) for r in scored.collect()}
+    assert got == {1: (True, [2], None), 2: (True, [], None), 3: (False, None, "no inputs"), 4: (True, [3, 4], None)}
+
+
+def test_answers_of_a_wrong_type_fail_their_batch(requests):
+    def odd(inputs, batch_size=1):
+        return ["text" if 5 in inputs else x for x in inputs]
+
+    scored = I.chain(requests, [I.Stage.from_function(odd, "int", 8)])
+    assert scored.filter("not success").count() > 0 and scored.filter("success").count() > 0
+    assert scored.filter("not success and error is null").count() == 0
+
+
+def test_building_a_plan_runs_nothing(requests):
+    def never(inputs, batch_size=1):
+        raise AssertionError("called")
+
+    group = requests.sparkSession.sparkContext
+    group.setJobGroup("plan-only", "no job may start")
+    I.chain(requests, [I.Stage.from_function(never, "int", 8)])._jdf.queryExecution().executedPlan()
+    assert not group.statusTracker().getJobIdsForGroup("plan-only")
+    group.setJobGroup("", "")

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queuemill.operators import packing as P
 
@@ -37,6 +38,12 @@ def batches_of(keys, sizes, times, cuts):
     ]
 
 
+def split(batch):
+    """The batch in two, as Arrow may hand it over."""
+    half = batch.num_rows // 2
+    return iter([batch.slice(0, half), batch.slice(half)])
+
+
 @settings(max_examples=300, deadline=None)
 @given(
     rows=st.lists(
@@ -51,11 +58,34 @@ def test_scan_equals_loop(rows, batch_size, wait, cuts):
     sizes = [r[1] for r in rows]
     times = np.cumsum([r[2] for r in rows]).tolist()
     rule = P.PackRule(batch_size, wait)
-    got = [
-        (row["batch_id"], row["batch_offset"])
-        for out in P._pack_sorted(iter(batches_of(keys, sizes, times, cuts)), rule)
-        for row in out.to_pylist()
+    segments = batches_of(keys, sizes, times, cuts)
+    summary_schema = P._arrow_schema(P._summary_schema(T.IntegerType()))
+    entry_schema = pa.schema(
+        [("_key", pa.int64()), ("_segment", pa.int32()), ("_number", pa.int64()), ("_length", pa.int64()),
+         ("_opened", pa.int64())]
+    )
+    named = [
+        batch.append_column("segment", pa.array([i] * batch.num_rows, pa.int32())) for i, batch in enumerate(segments)
     ]
+    summaries = [row for batch in named for row in P._summarise_segments(split(batch), rule, summary_schema)]
+    assert len(summaries) <= 2 * len(segments)
+    entries = {
+        row["_segment"]: row
+        for out in P._chain_summaries(iter(summaries), rule, entry_schema)
+        for row in out.to_pylist()
+    }
+    got = []
+    for i, batch in enumerate(named):
+        entry = entries.get(i)
+        first_key = batch["queue_key"][0].as_py() if batch.num_rows else None
+        begun = [entry is not None and k == first_key for k in batch["queue_key"].to_pylist()]
+        assert entry is None or entry["_key"] == first_key
+        for name in ("_number", "_length", "_opened"):
+            values = [entry[name] if known else None for known in begun]
+            batch = batch.append_column(name, pa.array(values, pa.int64()))
+        batch = batch.append_column("segment_row", pa.array(range(batch.num_rows), pa.int64()))
+        for out in P._pack_segments(split(batch), rule):
+            got += [(row["batch_id"], row["batch_offset"]) for row in out.to_pylist()]
     assert got == row_by_row(keys, sizes, times, batch_size, wait)
 
 
@@ -91,10 +121,10 @@ def skewed_requests(spark, rows=6_000, hot_share=3):
     ).repartition(7)
 
 
-@pytest.mark.parametrize("wait", [None, 60_000])
-def test_hot_queue_in_segments_equals_loop(spark, wait):
+@pytest.mark.parametrize("wait, tasks", [(None, 40), (60_000, 40), (60_000, 3), (None, 1)])
+def test_segments_equal_loop(spark, wait, tasks):
     df = skewed_requests(spark)
-    packed = P.pack_batches(df, 32, wait, hot_key_rows=300, rows_per_segment=150).collect()
+    packed = P.pack_batches(df, 32, wait, tasks=tasks).collect()
     assert len(packed) == 6_000
     rows = sorted(packed, key=lambda r: (str(r.queue_key), r.received_us, r.request_id))
     expected = row_by_row(
@@ -105,14 +135,31 @@ def test_hot_queue_in_segments_equals_loop(spark, wait):
 
 
 def test_hot_queue_is_spread_over_partitions(spark):
-    df = skewed_requests(spark)
-    hot = df.filter("queue_key = 0")
-    rule = P.PackRule(32)
-    packed = P._pack_hot(hot, rule, hot.count(), 150)
+    hot = skewed_requests(spark).filter("queue_key = 0")
+    packed = P.pack_batches(hot, 32, tasks=12)
     sizes = [r["count"] for r in packed.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= 10 and max(sizes) < hot.count() / 4
 
 
+def test_many_keys_and_repeated_ids(spark):
+    """More keys than any list of hot keys would have, each on a segment border somewhere; ids occur twice."""
+    rows = spark.range(30_000).selectExpr(
+        "id % 5000 as queue_key", "cast(id div 2 as string) as request_id", "id as received_us", "1 + id % 7 as n_inputs"
+    )
+    packed = P.pack_batches(rows, 16, tasks=64)
+    assert packed.count() == 30_000
+    one = P.pack_batches(rows, 16, tasks=1)
+    assert packed.exceptAll(one).count() == 0
+
+
+def test_arrival_is_needed(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", None, 1)], "queue_key int, request_id string, received_us bigint, n_inputs int"
+    )
+    with pytest.raises(Exception, match="received_us"):
+        P.pack_batches(rows, 8).collect()
+
+
 def test_batches_hold_whole_requests_and_stay_below_the_limit(spark):
     packed = P.pack_batches(skewed_requests(spark), 32)
     last = packed.groupBy("queue_key", "batch_id").agg(F.max("batch_offset").alias("before_last"))

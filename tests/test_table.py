@@ -100,5 +100,27 @@ def test_averages_are_zero_without_requests_and_null_without_successes(spark):
 
 def test_global_index_numbers_equal_values_across_segments(spark):
     df = spark.range(3_000).select((F.col("id") % 2).alias("v"), "id").repartition(5)
-    rows = global_index(df, ["v", "id"], rows_per_segment=200).orderBy("v", "id").collect()
+    rows = global_index(df, ["v", "id"], segments=15).orderBy("v", "id").collect()
     assert [r["index"] for r in rows] == list(range(3_000))
+
+
+def test_upsert_versions(spark):
+    base = spark.createDataFrame([(1, 5), (2, 6)], "request_id int, v int")
+    writes = spark.createDataFrame(
+        [(1, 7, None), (2, 1, None), (2, 8, 1), (2, 9, 1), (2, None, 0)], "request_id int, v int, version int"
+    )
+    merged = T.upsert(base, writes, F.col("version")).collect()
+    assert sorted(tuple(r) for r in merged) == [(1, 7), (2, 9)]
+
+
+@pytest.mark.parametrize("n", [3, 1_500])
+def test_claims_of_any_number(spark, n):
+    log = spark.range(4_000).selectExpr(
+        "id as request_id", "cast(id % 2 as int) as queue_key", "id div 3 as received_us",
+        "cast(null as bigint) as delivered_us", "true as success", "-1 as last_stage", "cast(null as boolean) as timed_out",
+    )
+    claimed = L.claim(log, 0, n, 10)
+    wanted = {q: set(range(q, 4_000, 2)) for q in (0, 1)}
+    for q, ids in wanted.items():
+        got = {r.request_id for r in claimed.filter(F.col("queue_key") == q).collect()}
+        assert got == set(sorted(ids)[:n])
