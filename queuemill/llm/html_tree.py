@@ -14,7 +14,7 @@ HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-h
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp template".split())
 INLINE = frozenset(
-    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
+    "a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
 #: A start tag of the key's set ends an open element of the key.

@@ -1,8 +1,9 @@
 """Substring de-duplication by sliding sentence spans.
 
-A span is a run of consecutive sentences: from every sentence on, the shortest run of ``MIN_SENTENCES`` or more
-with ``MIN_WORDS`` or more words. Equal spans of all documents are found by 128-bit hashes; the first one, by document id
-and place, stays, and sentences that any other repeated span covers go.
+A span is a run of ``SENTENCES`` consecutive sentences, one from every sentence on. Equal spans of all documents are
+found by 128-bit hashes. The first one, by document id and place, stays; sentences that any other repeated span covers
+go, where such spans together cover ``MIN_WORDS`` words or more on end. So a short phrase may recur, and a passage goes
+whole, up to its last sentence.
 
 Span counts are combined before the shuffle, and rows are joined to the repeated spans only, so a passage that
 a third of all documents share is no long task.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from queuemill.llm.text import text_key
 from queuemill.session import stored
 
-MIN_SENTENCES = 2
+SENTENCES = 2
 MIN_WORDS = 20
 
 #: A sentence ends with a full stop, mark or ellipsis before white space, or with its line.
@@ -43,88 +44,92 @@ def sentences(text: str) -> list[str]:
     return found
 
 
-def spans(pieces: list[str], min_sentences: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """First sentence, number of sentences and hash of each span. Case and white space make no difference."""
+def spans(pieces: list[str], count: int) -> Iterator[bytes]:
+    """Hash of the span from each sentence on. Case and white space make no difference."""
     import xxhash
 
-    words = [piece.lower().split() for piece in pieces]
-    counts = [len(w) for w in words]
-    digests = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "replace")) for w in words]
-    end, held = 0, 0
-    for begin in range(len(pieces)):
-        while end < len(pieces) and (held < min_words or end - begin < min_sentences):
-            held += counts[end]
-            end += 1
-        if held < min_words or end - begin < min_sentences:
-            return
-        yield begin, end - begin, xxhash.xxh3_128_digest(b"".join(digests[begin:end]))
-        held -= counts[begin]
+    digests = [xxhash.xxh3_128_digest(" ".join(p.lower().split()).encode("utf-8", "replace")) for p in pieces]
+    for begin in range(len(pieces) - count + 1):
+        yield xxhash.xxh3_128_digest(b"".join(digests[begin : begin + count]))
 
 
-_SPANS = "doc_id bigint, text_key bigint, at int, length int, span_hash bigint, span_hash_2 bigint"
+_SPANS = "doc_id bigint, text_key bigint, at int, span_hash bigint, span_hash_2 bigint"
 
 
-def document_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def document_spans(docs: DataFrame, count: int = SENTENCES) -> DataFrame:
     """Spans of ``docs`` (doc_id, text_key, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(5)]
             for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))):
-                for at, length, digest in spans(sentences(text or ""), min_sentences, min_words):
+                for at, digest in enumerate(spans(sentences(text or ""), count)):
                     one, two = (int.from_bytes(d, "little", signed=True) for d in (digest[:8], digest[8:]))
-                    for column, value in zip(columns, (doc_id, key, at, length, one, two)):
+                    for column, value in zip(columns, (doc_id, key, at, one, two)):
                         column.append(value)
                 if len(columns[0]) > 100_000:
                     yield _rows(columns)
-                    columns = [[] for _ in range(6)]
+                    columns = [[] for _ in range(5)]
             yield _rows(columns)
 
     def _rows(columns: list[list]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["doc_id", "text_key", "at", "length", *KEY]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["doc_id", "text_key", "at", *KEY]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(find, _SPANS)
 
 
-def covered_sentences(found: DataFrame) -> DataFrame:
-    """Per document with repeats: doc_id, text_key, ``gone`` (sentence numbers). ``found`` has spans."""
+def repeated_spans(found: DataFrame) -> DataFrame:
+    """Per document with repeats: doc_id, text_key, ``repeats`` (first sentences of spans that others came before)."""
     place = F.struct("doc_id", "text_key", "at")
     repeated = found.groupBy(*KEY).agg(F.min(place).alias("first"), F.count("*").alias("times"))
     repeated = repeated.filter("times > 1").select(*KEY, "first")
     later = found.join(repeated, KEY).filter(~place.eqNullSafe(F.col("first")))
-    run = F.sequence("at", F.col("at") + F.col("length") - 1)
-    return later.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list(run))).alias("gone"))
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("repeats"))
+
+
+def covered(pieces: list[str], repeats: list[int], count: int, min_words: int) -> set[int]:
+    """Sentences that go: those of repeated spans, in stretches of ``min_words`` or more."""
+    gone: set[int] = set()
+    stretch: list[int] = []
+    marked = sorted({i for at in repeats for i in range(at, at + count)})
+    for place, i in enumerate(marked):
+        stretch.append(i)
+        if place + 1 == len(marked) or marked[place + 1] > i + 1:
+            if sum(len(pieces[k].split()) for k in stretch) >= min_words:
+                gone.update(stretch)
+            stretch = []
+    return gone
 
 
 def dedup_spans(
     docs: DataFrame,
     text_col: str = "text",
     id_col: str = "doc_id",
-    min_sentences: int = MIN_SENTENCES,
+    count: int = SENTENCES,
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Every row with its text shortened: doc_id, text, n_sentences, n_removed, removed_words.
 
-    Ids are whole numbers, NULL ones come before all others. Of equal rows (one id, one text) all spans but the
-    first of one count as repeats in all of them only if another document or place holds them too: equal rows are
-    one document with one result. NULL texts become empty; texts without a repeat are not touched.
+    Ids are whole numbers, NULL ones come before all others. Equal rows (one id, one text) are one document with one
+    result, and no repeats of each other; texts of one id that differ are in an order of their own. NULL texts become
+    empty; texts without a repeat are not touched.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_key", text_key(F.col("text")))
-    found = stored(document_spans(rows, min_sentences, min_words), "sentence-spans")
-    gone = covered_sentences(found).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone"
+    found = stored(document_spans(rows, count), "sentence-spans")
+    later = repeated_spans(found).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "repeats"
     )
-    marked = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_key"] == F.col("_key")), "left")
+    marked = rows.join(later, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_key"] == F.col("_key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, numbers, removed, words = [], [], [], []
-            for text, drops in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            for text, drops in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist()):
                 pieces = sentences(text or "")
-                out = set(drops or ())
+                out = covered(pieces, drops, count, min_words) if drops else set()
                 kept = [p for i, p in enumerate(pieces) if i not in out] if out else pieces
                 texts.append("".join(kept))
                 numbers.append(len(pieces))
@@ -135,6 +140,6 @@ def dedup_spans(
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed_words"],
             )
 
-    return marked.select("doc_id", "text", "gone").mapInArrow(
+    return marked.select("doc_id", "text", "repeats").mapInArrow(
         cut, "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed_words bigint"
     )
