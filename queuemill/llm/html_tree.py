@@ -46,6 +46,8 @@ APART_WORDS = frozenset(
     "pager pagination popup promo promotion related replies share sharing sidebar social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Those of them that an article can be by itself: then it is not the page's own.
+ASIDE_ARTICLES = frozenset("ad ads advert advertisement comment comments promo related sponsored".split())
 WORDS = re.compile(r"[a-z]+|\d+")
 WHITE = re.compile(r"\s+")
 
@@ -55,6 +57,8 @@ class Node:
     tag: str
     name: str = ""  # tag with its class words, which tells templates' parts apart
     apart: bool = False
+    by_words: bool = False  # apart for its class, id or role alone
+    holds_others: bool = False  # articles in it are not the page's own
     items: list = field(default_factory=list)  # nodes and strings in order
 
 
@@ -65,9 +69,10 @@ def _start(tag: str, attributes: str, inside_article: bool) -> Node:
         words = [w for value in said for w in WORDS.findall(value) if not w.isdigit()]
         if words:
             node.name = tag + "." + ".".join(dict.fromkeys(words))
-        node.apart = not APART_WORDS.isdisjoint(words) or bool(HIDDEN.search(attributes))
-        if tag in ("body", "html", "main", "article"):
-            node.apart = False
+        telling = APART_WORDS & ASIDE_ARTICLES if tag == "article" else APART_WORDS
+        node.by_words = tag not in ("body", "html", "main") and not telling.isdisjoint(words)
+        node.holds_others = node.by_words and not ASIDE_ARTICLES.isdisjoint(words)
+        node.apart = node.by_words or bool(HIDDEN.search(attributes))
     if tag in APART or tag == "header" and not inside_article:
         node.apart = True
     return node
@@ -112,6 +117,9 @@ def parse(source: str) -> Node:
             else:
                 break
         node = _start(tag, found[3], articles > 0)
+        if tag in ("article", "main") and not node.apart and not any(n.holds_others for n in stack):
+            for n in stack:  # a class such as "with-sidebar" around the article says nothing about it
+                n.apart = n.apart and not n.by_words
         stack[-1].items.append(node)
         if tag in RAW:
             end = re.compile(f"(?i)</{tag}").search(source, at)

@@ -30,6 +30,8 @@ def text_of(source):
         ("<header>site</header><article><header><h1>T</h1></header><p>x</p></article>", "T\nx"),
         ("<div class='sidebar left'>no</div><div id=comments>no</div><div class=cookie-notice>no</div><p>x", "x"),
         ("<div class='adventure'>yes</div><div class='ad-slot'>no</div><div hidden>no</div>", "yes"),
+        ("<div class='with-sidebar'><p>a</p><article class='post social'>b</article></div>", "a\nb"),
+        ("<article>a</article><div id=comments><article>b</article></div><article class=comment>c</article>", "a"),
         ("", ""),
         ("<", "<"),
         ("1 < 2 <p", "1 < 2 <p"),
