@@ -59,7 +59,7 @@ def score_stream(t: Tables) -> DataFrame:
     )
 
 
-def lifecycle_events(log: DataFrame) -> DataFrame:
+def lifecycle_events(log: DataFrame, *kept: str) -> DataFrame:
     """Received, claimed, finished and delivered events of every request."""
     claimed = F.col("last_stage") == 0
 
@@ -78,10 +78,10 @@ def lifecycle_events(log: DataFrame) -> DataFrame:
         event("delivered", "delivered_us", 0, none),
     )
     return (
-        log.select("request_id", F.inline(moments))
+        log.select("request_id", *kept, F.inline(moments))
         .filter(F.col("at_us").isNotNull())
         .select(
-            "request_id", F.timestamp_micros("at_us").alias("event_time"), "kind", "stage", "success"
+            "request_id", *kept, F.timestamp_micros("at_us").alias("event_time"), "kind", "stage", "success"
         )
     )
 
@@ -114,20 +114,38 @@ LIFECYCLE_SQL = (
 )
 
 
+HOUR_US = 3_600_000_000
+LONGEST_WAIT_SECONDS = 12 * 3600
+SLOW_SQL = LIFECYCLE_SQL.replace(
+    "'claimed', stage0_received_us,", f"'claimed', stage0_received_us + k % 9 * {HOUR_US},"
+).replace(
+    "'finished', stage0_predicted_us,", f"'finished', stage0_predicted_us + k % 9 * {HOUR_US},"
+).replace(
+    "'delivered', delivered_us,", f"'delivered', delivered_us + k % 9 * {HOUR_US},"
+)
+
+
 LIVES = "request_id, last_stage, success, received_us, delivered_us, version_us, n_events"
 SILENCE_SECONDS = 3600
 
 
 @query(
     "k2_lifecycle_stream",
-    f"""with {LIFECYCLE_SQL}, last_seen as (select request_id, max(at_us) as seen_us from moments
-      group by request_id)
-      select {LIVES} from lives join last_seen using (request_id)
-      where seen_us + {SILENCE_SECONDS * 1_000_000} <= {MARK_SQL}""",
+    f"""with {SLOW_SQL}, ends as (select request_id, max(at_us + case when kind = 'delivered'
+        then {SILENCE_SECONDS * 1_000_000} else {LONGEST_WAIT_SECONDS * 1_000_000} end) as end_us
+      from moments group by request_id)
+      select {LIVES} from lives join ends using (request_id) where end_us <= {MARK_SQL}""",
 )
 def lifecycle_stream(t: Tables) -> DataFrame:
-    events = lifecycle_events(queue_stream(t))
-    closed = lifecycle.closed_lifecycles(events, SILENCE_SECONDS, f"{DELAY_SECONDS} seconds")
+    """Requests wait up to eight hours for their claim; lives that may still go on stay inside."""
+    log = queue_stream(t)
+    wait = F.col("k") % 9 * HOUR_US
+    slow = log.withColumns(
+        {name: F.col(name) + wait for name in ("stage0_received_us", "stage0_predicted_us", "delivered_us")}
+    )
+    closed = lifecycle.closed_lifecycles(
+        lifecycle_events(slow), LONGEST_WAIT_SECONDS, SILENCE_SECONDS, f"{DELAY_SECONDS} seconds"
+    )
     return run_available(closed, "lifecycle")
 
 
@@ -151,6 +169,22 @@ def timeout_stream(t: Tables) -> DataFrame:
     return run_available(flagged.select("request_id", "received_us", "timed_out"), "timeouts")
 
 
+@query(
+    "k3_client_timeout_stream",
+    f"""with {LIFECYCLE_SQL}, limits as (select request_id, cast(case when k % 4 > 0 then k % 4 * 86400
+        else 480 end as bigint) as timeout_seconds from queue_log)
+      select request_id, received_us, timeout_seconds from lives join limits using (request_id)
+      where (delivered_us is null or delivered_us - received_us > timeout_seconds * 1000000)
+      and received_us + timeout_seconds * 1000000 <= {MARK_SQL}""",
+)
+def client_timeout_stream(t: Tables) -> DataFrame:
+    """Three of four requests bring a time-out of their own, of days."""
+    limit = F.when(F.col("k") % 4 > 0, F.col("k") % 4 * 86_400)
+    events = lifecycle_events(queue_stream(t).withColumn("timeout", limit), "timeout")
+    gone = lifecycle.client_timeout_stream(events, "timeout", delay=f"{DELAY_SECONDS} seconds")
+    return run_available(gone.select("request_id", "received_us", "timeout_seconds"), "client-timeouts")
+
+
 @query(
     "k4_dedupe_stream",
     f"with {LOG_SQL} select distinct concat(queue_key, '-', k) as request_key from request_log",

@@ -19,14 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from queuemill.operators.lifecycle import RETENTION_SECONDS
+from queuemill.operators.lifecycle import CLIENT_TIMEOUT_SECONDS, RETENTION_SECONDS
 
 STATE_SCHEMA = (
     "last_stage int, success boolean, received_us bigint, delivered_us bigint, "
     "timed_out boolean, version_us bigint, n_events bigint"
 )
-OUTPUT_SCHEMA = f"request_id bigint, {STATE_SCHEMA}"
-COLUMNS = [part.split()[0] for part in OUTPUT_SCHEMA.split(",")]
+COLUMNS = ["request_id", *(part.split()[0] for part in STATE_SCHEMA.split(","))]
 EMPTY_STATE = (None, None, None, None, None, None, 0)
 
 
@@ -82,7 +81,9 @@ def _fold(state: list, frame: pd.DataFrame) -> list:
             received = at
         elif kind == "delivered":
             delivered = at
-        further = at == version and (stage > last_stage or kind == "finished")
+        further = at == version and (
+            stage > last_stage or stage == last_stage and kind == "finished"
+        )
         if kind != "delivered" and (version is None or at > version or further):
             version, last_stage = at, int(stage)
             success = None if good is None or pd.isna(good) else bool(good)
@@ -104,6 +105,7 @@ def lifecycle_stream(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """The current row of every request that changed, as events come in and timers expire."""
+    id_type = stream.schema["request_id"].dataType.simpleString()
     advance = partial(
         step,
         timeout_ms=None if timeout_seconds is None else int(timeout_seconds * 1000),
@@ -114,16 +116,24 @@ def lifecycle_stream(
         _events(stream, delay)
         .groupBy("request_id")
         .applyInPandasWithState(
-            advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+            advance, f"request_id {id_type}, {STATE_SCHEMA}", STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
 
 def closed_lifecycles(
-    stream: DataFrame, silence_seconds: int, delay: str = "10 minutes"
+    stream: DataFrame, longest_wait_seconds: int, silence_seconds: int = RETENTION_SECONDS,
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """One row per request once nothing has happened to it for ``silence_seconds``."""
-    sessions = F.session_window("event_time", f"{silence_seconds} seconds")
+    """One row per request once its life is over.
+
+    An event of an open request keeps it open for ``longest_wait_seconds``, the longest time that may pass between
+    two of its events; a delivery, for ``silence_seconds``. So a life that waits for hours comes out in one row.
+    """
+    gap = F.when(F.col("kind") == "delivered", f"{silence_seconds} seconds").otherwise(
+        f"{longest_wait_seconds} seconds"
+    )
+    sessions = F.session_window("event_time", gap)
     return (
         stream.withWatermark("event_time", delay)
         .groupBy("request_id", sessions.alias("_session"))
@@ -158,6 +168,28 @@ def timeout_stream(
     )
 
 
+def client_timeout_stream(
+    stream: DataFrame, timeout: str | None = None,
+    default_seconds: int = CLIENT_TIMEOUT_SECONDS, delay: str = "10 minutes",
+) -> DataFrame:
+    """The requests whose client has gone: no answer was delivered within the request's own ``timeout``
+    (a column of seconds on ``received`` events), or the default where it has none."""
+    own = F.lit(None) if timeout is None else F.col(timeout)
+    seconds = F.coalesce(own.cast("bigint"), F.lit(default_seconds))
+    gap = F.when(
+        F.col("kind") == "received", F.concat(seconds.cast("string"), F.lit(" seconds"))
+    ).otherwise("1 millisecond")
+    given = F.max(F.when(F.col("kind") == "received", seconds)).alias("timeout_seconds")
+    late = F.col("delivered_us") - F.col("received_us") > F.col("timeout_seconds") * 1_000_000
+    return (
+        stream.withWatermark("event_time", delay)
+        .groupBy("request_id", F.session_window("event_time", gap).alias("_session"))
+        .agg(*_fold_columns(), given)
+        .filter(F.col("received_us").isNotNull() & (F.col("delivered_us").isNull() | late))
+        .drop("_session")
+    )
+
+
 def newest_rows(changes: DataFrame) -> DataFrame:
     """The last emitted row per request from a table of changes."""
     columns = [name for name in changes.columns if name != "request_id"]

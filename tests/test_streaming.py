@@ -69,7 +69,7 @@ def test_silent_requests_are_closed(spark):
     path = scratch_path(spark, "events")
     events.coalesce(1).write.parquet(path)
     stream = read_request_stream(spark, path, events.schema)
-    closed = run_available(lifecycle.closed_lifecycles(stream, 60, "1 second"), "closed")
+    closed = run_available(lifecycle.closed_lifecycles(stream, 60, 60, "1 second"), "closed")
     assert sorted(r.request_id for r in closed.collect()) == [1, 2, 3]
 
 
@@ -127,3 +127,34 @@ def test_late_rows_are_dropped_and_counted(spark):
     )
     query.awaitTermination()
     assert dropped_as_late(query) == 1
+
+
+def test_long_waits_are_one_life(spark):
+    """Claimed after two hours; ids are texts; events come in several files, not in order."""
+    rows = [
+        ("a", 0, "received", -1, True), ("a", 7_200, "claimed", 0, None), ("a", 7_260, "finished", 0, True),
+        ("a", 7_300, "delivered", 0, None), ("b", 10, "received", -1, True), ("c", 90_000, "received", -1, True),
+    ]
+    events = spark.createDataFrame(
+        rows, "request_id string, s int, kind string, stage int, success boolean"
+    ).select(
+        "request_id", F.timestamp_seconds(F.col("s") + 1_000_000).alias("event_time"), "kind", "stage", "success"
+    )
+    path = scratch_path(spark, "slow-events")
+    for part in (events.filter("kind = 'claimed'"), events.filter("kind <> 'claimed' and request_id < 'c'"), events.filter("request_id = 'c'")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = read_request_stream(spark, path, events.schema, max_files=1)
+    closed = run_available(lifecycle.closed_lifecycles(stream, 20_000, 3_600, "3 hours"), "closed")
+    wanted = lifecycle.fold_lifecycle(events.filter("request_id < 'c'"))
+    assert closed.count() == 2 and closed.exceptAll(wanted.select(closed.columns)).count() == 0
+    changes = run_available(lifecycle.lifecycle_stream(stream, delay="3 hours"), "changes")
+    assert {r.request_id for r in lifecycle.newest_rows(changes).collect()} == {"a", "b", "c"}
+
+
+def test_ties_do_not_depend_on_the_order():
+    import pandas as pd
+
+    events = [("claimed", 5, 1, None), ("finished", 5, 0, True), ("received", 5, -1, True)]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2], [1, 2, 0]):
+        frame = pd.DataFrame([events[i] for i in order], columns=["kind", "at_us", "stage", "success"])
+        assert lifecycle._fold(list(lifecycle.EMPTY_STATE), frame)[0] == 1
