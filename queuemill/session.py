@@ -63,8 +63,26 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared checkpoint folder."""
-    return os.path.join(checkpoint_root(spark), "queuemill", f"{label}-{uuid.uuid4().hex}")
+    """A fresh folder name below the shared checkpoint folder; :func:`clear_scratch` deletes it."""
+    path = os.path.join(checkpoint_root(spark), "queuemill", f"{label}-{uuid.uuid4().hex}")
+    context = spark.sparkContext
+    context._queuemill_scratch = [*getattr(context, "_queuemill_scratch", []), path]
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this session has made so far; returns how many there were.
+
+    Call it when the results that read them have been written: plans read scratch tables when they run.
+    """
+    context = spark.sparkContext
+    made = getattr(context, "_queuemill_scratch", [])
+    context._queuemill_scratch = []
+    settings = context._jsc.hadoopConfiguration()
+    for path in made:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(settings).delete(folder, True)
+    return len(made)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

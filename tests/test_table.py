@@ -124,3 +124,15 @@ def test_claims_of_any_number(spark, n):
     for q, ids in wanted.items():
         got = {r.request_id for r in claimed.filter(F.col("queue_key") == q).collect()}
         assert got == set(sorted(ids)[:n])
+
+
+def test_scratch_is_cleared(spark):
+    from queuemill.session import clear_scratch, stored
+
+    context = spark.sparkContext
+    others, context._queuemill_scratch = getattr(context, "_queuemill_scratch", []), []
+    table = stored(spark.range(5), "cleared")
+    assert table.count() == 5 and clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+    with pytest.raises(Exception):
+        table.collect()
+    context._queuemill_scratch = others
