@@ -62,9 +62,8 @@ def fit(
 ) -> DataFrame:
     """One row with ``weights array<double>``: the log ratio of each of the ``2 * buckets`` features.
 
-    ``trusted`` has ids in ``doc_id``, ``MAX_TRUSTED`` at most (it is broadcast). Without documents or
-    without trusted ones all weights are those of the smoothing alone, which is the same for every
-    feature of equal raw count. NULL and empty texts have no features.
+    ``trusted`` has ids in ``doc_id``, ``MAX_TRUSTED`` at most (it is broadcast). Without any trusted text all
+    weights are 0, so that nothing is refused for its score. NULL and empty texts have no features.
     """
     marks = F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good")))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
@@ -87,10 +86,10 @@ def fit(
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("rows"),
     )
     share = lambda n, total: (n + F.lit(smoothing)) / (total + F.lit(2 * buckets * smoothing))
+    ratio = lambda r: F.log(share(r["good"], F.col("goods"))) - F.log(share(r["raw"], F.col("raws")))
+    known = F.coalesce(F.col("goods") > 0, F.lit(False))
     return table.select(
-        F.transform(
-            "rows", lambda r: F.log(share(r["good"], F.col("goods"))) - F.log(share(r["raw"], F.col("raws")))
-        ).alias("weights")
+        F.transform("rows", lambda r: F.when(known, ratio(r)).otherwise(0.0)).alias("weights")
     )
 
 

@@ -108,3 +108,9 @@ def test_trusted_ids_are_bounded(spark):
 def test_repeated_words(spark, text):
     row = quality.base_counts(spark.createDataFrame([(text,)], "text string")).select(*FIELDS).first()
     assert tuple(row) == base(text)
+
+
+def test_without_trusted_texts_only_the_base_rules_count(spark, odd_documents):
+    nobody = spark.createDataFrame([], "doc_id bigint")
+    judged = quality.judge(odd_documents, quality.fit(odd_documents, nobody)).filter("llr is not null")
+    assert judged.filter("llr <> 0 or kept = base_failed").count() == 0 and judged.filter("kept").count() > 0
