@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from queuemill.functions.scalars import to_micros
 from queuemill.operators.inference import Stage
 from queuemill.plans.registry import query
-from queuemill.plans.views import LOG_SQL, QUEUE_SQL, Tables, log_of
+from queuemill.plans.views import LOG_SQL, QUEUE_SQL, Tables, log_of, rounded
 from queuemill.sources.requests import read_request_stream
 from queuemill.streaming import lifecycle, metrics, scoring
 from queuemill.streaming.runner import run_available, run_bounded
@@ -198,11 +198,16 @@ def dedupe_stream(t: Tables) -> DataFrame:
     return run_available(unique.select("request_key"), "deduped")
 
 
+ANSWERED_SQL = "kind = 'received' and delivered and timed_out is distinct from true"
+
+
 @query(
     "k5_metrics_stream",
     f"""with {LOG_SQL}, moments as (
-      select 'received' as kind, received_us as at_us, success, timed_out from request_log
-      union all select 'processed', delivered_us, success, timed_out from request_log
+      select 'received' as kind, received_us as at_us, success, timed_out, delivered_us is not null as delivered,
+        delivered_us - received_us as waited_us, stage0_predicted_us - stage0_received_us as ran_us
+        from request_log
+      union all select 'processed', delivered_us, success, timed_out, true, null, null from request_log
         where delivered_us is not null),
     placed as (select m.*, (at_us // {SLIDE_SECONDS * 1_000_000} - i) * {SLIDE_SECONDS * 1_000_000}
       as window_start_us from moments m
@@ -214,14 +219,23 @@ def dedupe_stream(t: Tables) -> DataFrame:
       count(*) filter (where kind = 'processed' and success is false) as processed_that_failed,
       count(*) filter (where kind = 'processed' and timed_out is true) as number_of_requests_timedout,
       count(*) filter (where kind = 'processed' and success is true and timed_out is distinct from true)
-        as processed_that_are_successful
+        as processed_that_are_successful,
+      count(*) filter (where kind = 'received' and not delivered and success is distinct from false)
+        as received_that_are_pending,
+      count(*) filter (where {ANSWERED_SQL} and success is true) as received_that_are_successful,
+      round(case when sum(waited_us) filter (where {ANSWERED_SQL}) is null then 0.0 else
+        cast(sum(waited_us) filter (where {ANSWERED_SQL}) as double) / 1000000
+        / nullif(count(*) filter (where {ANSWERED_SQL} and success is true), 0) end + 1e-9, 6) as avg_total_time,
+      round(case when sum(ran_us) filter (where {ANSWERED_SQL}) is null then 0.0 else
+        cast(sum(ran_us) filter (where {ANSWERED_SQL}) as double) / 1000000
+        / nullif(count(*) filter (where {ANSWERED_SQL} and success is true), 0) end + 1e-9, 6) as avg_actual_total_time
     from placed group by window_start_us
     having window_end_us <= (select max(at_us) from moments) - {DELAY_SECONDS * 1_000_000}""",
 )
 def metrics_stream(t: Tables) -> DataFrame:
     moments = metrics.request_moments(log_stream(t))
     counters = metrics.metrics_stream(moments, WINDOW_SECONDS, SLIDE_SECONDS, DELAY_SECONDS)
-    return run_available(counters, "metrics")
+    return rounded(run_available(counters, "metrics"))
 
 
 @query(
