@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -46,15 +49,15 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_trigger(
-    stream: DataFrame, batch_size: int, max_wait_seconds: float, checkpoint: str | None = None
+    stream: DataFrame, max_wait_seconds: float, checkpoint: str | None = None
 ) -> DataStreamWriter:
-    """A writer that waits ``max_wait_seconds`` at most for more input, and hands batches of
-    ``batch_size`` rows to Python.
+    """A writer that waits ``max_wait_seconds`` at most for more input.
 
-    How much one trigger takes in is set at the source (``maxFilesPerTrigger``).
+    How much one trigger takes in is set at the source (``maxFilesPerTrigger``); how many inputs a model gets at a time,
+    by the stage's own batch size. A stream takes the session's settings when it starts: wrap
+    ``start()`` in :func:`rows_per_batch` to set how many requests go to Python at a time, or use :func:`run_bounded`.
     """
     spark = stream.sparkSession
-    spark.conf.set(ARROW_RECORDS, str(batch_size))
     writer = stream.writeStream.outputMode("append").trigger(
         processingTime=f"{max(1, round(max_wait_seconds * 1000))} milliseconds"
     )
@@ -63,21 +66,26 @@ def bounded_trigger(
     )
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Streams started inside hand ``rows`` rows at a time to Python; the session keeps its own setting."""
+    before = spark.conf.get(ARROW_RECORDS)
+    spark.conf.set(ARROW_RECORDS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_RECORDS, before)
+
+
 def run_bounded(
     stream: DataFrame, label: str, batch_size: int, max_wait_seconds: float
 ) -> DataFrame:
     """Run a stream under :func:`bounded_trigger` until it has caught up; return its table."""
     spark = stream.sparkSession
-    out, before = scratch_path(spark, label), spark.conf.get(ARROW_RECORDS)
-    try:
-        query = (
-            bounded_trigger(stream, batch_size, max_wait_seconds)
-            .format("parquet")
-            .option("path", out)
-            .start()
-        )
-        query.processAllAvailable()
-        query.stop()
-    finally:
-        spark.conf.set(ARROW_RECORDS, before)
+    out = scratch_path(spark, label)
+    with rows_per_batch(spark, batch_size):
+        writer = bounded_trigger(stream, max_wait_seconds)
+        query = writer.format("parquet").option("path", out).start()
+    query.processAllAvailable()
+    query.stop()
     return spark.read.schema(stream.schema).parquet(out)

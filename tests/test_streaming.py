@@ -9,7 +9,7 @@ from queuemill.plans.streams import lifecycle_events, queue_stream, triple
 from queuemill.session import scratch_path
 from queuemill.sources.requests import read_request_stream
 from queuemill.streaming import lifecycle, metrics, scoring
-from queuemill.streaming.runner import bounded_trigger, dropped_as_late, run_available
+from queuemill.streaming.runner import bounded_trigger, dropped_as_late, rows_per_batch, run_available
 
 
 def test_scored_stream_equals_batch_over_many_triggers(spark, tables):
@@ -86,16 +86,24 @@ def test_bounded_trigger_settings_and_run(spark, tables):
     tables.request_log.repartition(3).write.parquet(path)
     stream = read_request_stream(spark, path, tables.request_log.schema, max_files=1)
     out = scratch_path(spark, "bounded-out")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        query = bounded_trigger(stream, 64, 0.05).format("parquet").option("path", out).start()
-        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "64"
-        query.processAllAvailable()
-        query.stop()
-        assert len([p for p in query.recentProgress if p.numInputRows]) == 3
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert spark.read.parquet(out).count() == tables.request_log.count()
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64())})
+
+    with rows_per_batch(spark, 64):
+        sizes = stream.mapInArrow(counted, "rows bigint")
+        query = bounded_trigger(sizes, 0.05).format("parquet").option("path", out).start()
+    assert spark.conf.get(setting) == before
+    query.processAllAvailable()
+    query.stop()
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 3
+    rows = [r.rows for r in spark.read.parquet(out).collect()]
+    assert sum(rows) == tables.request_log.count() and max(rows) <= 64
 
 
 def test_repeated_request_ids_are_dropped(spark, tables):
