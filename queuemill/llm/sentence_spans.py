@@ -84,7 +84,8 @@ def repeated_spans(found: DataFrame) -> DataFrame:
     """Per document with repeats: doc_id, text_key, ``repeats`` (first sentences of spans that others came before)."""
     place = F.struct("doc_id", "text_key", "at")
     repeated = found.groupBy(*KEY).agg(F.min(place).alias("first"), F.count("*").alias("times"))
-    repeated = repeated.filter("times > 1").select(*KEY, "first")
+    # stored, so that both sides of the join are dealt anew and a hot span's rows can be split
+    repeated = stored(repeated.filter("times > 1").select(*KEY, "first"), "repeated-spans")
     later = found.join(repeated, KEY).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("repeats"))
 
