@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuemill.llm.text import ascii_lower, text_key
-from queuemill.session import scratch_path
+from queuemill.session import scratch_path, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -129,7 +129,8 @@ def dropped_lines(
     runs = LineRuns(spark, folder, fanout)
     for number in range(batches):
         runs.add(line_counts(lines.filter(F.col("batch") == number)))
-    repeated = runs.counts().filter(F.col("docs") >= min_docs).select(*KEY, "last_doc")
+    # stored, so that both sides of the join are dealt anew and a hot line's rows can be split
+    repeated = stored(runs.counts().filter(F.col("docs") >= min_docs).select(*KEY, "last_doc"), "repeated-lines")
     lost = lines.join(repeated, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return lost.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("drops"))
 
