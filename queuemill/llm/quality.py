@@ -152,13 +152,11 @@ def _repeated(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(hashed(w)))
 
 
-def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    Words are runs of anything but ASCII white space; a NULL text has none and counts 0 everywhere, so it
-    fails. Windows are compared by 64-bit hashes inside one text.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+
+def _base(text: Column) -> Column:
+    """The base counts of a text, and whether it fails for them, as a struct."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def counts(words: Column) -> Column:
@@ -170,11 +168,21 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             _repeated(words).cast("long").alias("n_repeat_words"),
         )
 
-    counted = docs.withColumn("_base", let(white_words(text), counts))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    found = counted.withColumns({name: F.col("_base")[name] for name in names}).drop("_base")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return found.withColumn("base_failed", failed)
+    def judged(c: Column) -> Column:
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED * c["n_words"])
+        return F.struct(*[c[name].alias(name) for name in BASE], failed.alias("base_failed"))
+
+    return let(let(white_words(text), counts), judged)
+
+
+def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added.
+
+    Words are runs of anything but ASCII white space; a NULL text has none and counts 0 everywhere, so it
+    fails. Windows are compared by 64-bit hashes inside one text.
+    """
+    counted = docs.withColumn("_base", _base(F.coalesce(F.col(text_col), F.lit(""))))
+    return counted.withColumns({name: F.col("_base")[name] for name in (*BASE, "base_failed")}).drop("_base")
 
 
 def judge(
@@ -187,12 +195,22 @@ def judge(
     """Every document with its base counts, ``llr double`` and ``kept boolean``.
 
     Kept are documents that pass the base rules and score ``threshold`` or more. Columns of ``docs`` with
-    the names of the added ones are replaced; other columns stay. Repeated rows get equal verdicts.
+    the names of the added ones are replaced; other columns stay. Repeated rows get equal verdicts. All fields come
+    from one expression, so that a filter on ``kept`` computes it once.
     """
-    scored = base_counts(docs, text_col).withColumn("_w", model.select("weights").scalar())
-    scored = scored.withColumn("llr", llr(F.col(text_col), F.col("_w"), buckets)).drop("_w")
-    passed = F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    return scored.withColumn("kept", ~F.col("base_failed") & passed)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def verdict(base: Column, score: Column) -> Column:
+        passed = F.coalesce(score >= threshold, F.lit(False))
+        fields = [base[name].alias(name) for name in (*BASE, "base_failed")]
+        return F.struct(*fields, score.alias("llr"), (~base["base_failed"] & passed).alias("kept"))
+
+    scored = docs.withColumn("_w", model.select("weights").scalar())
+    whole = let(_base(text), lambda base: let(llr(text, F.col("_w"), buckets), lambda score: verdict(base, score)))
+    found = scored.withColumn("_verdict", whole).withColumns(
+        {name: F.col("_verdict")[name] for name in (*BASE, "base_failed", "llr", "kept")}
+    )
+    return found.drop("_w", "_verdict")
 
 
 __all__ = ["WHITE", "base_counts", "fit", "judge", "llr", "trusted_ids"]
