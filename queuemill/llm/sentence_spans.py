@@ -5,6 +5,11 @@ found by 128-bit hashes. The first one, by document id and place, stays; sentenc
 go, where such spans together cover ``MIN_WORDS`` words or more on end. So a short phrase may recur, and a passage goes
 whole, up to its last sentence.
 
+A sentence of ``LONG_WORDS`` words or more counts as several: it is cut where the hash of two neighbouring words is a local
+minimum, so that a run of words is cut alike in every sentence that holds it. So a long sentence is found by itself,
+whatever stands beside it, and so is a passage of a text without end marks. A text with fewer sentences than a span is
+one span.
+
 Span counts are combined before the shuffle, and rows are joined to the repeated spans only, so a passage that
 a third of all documents share is no long task.
 """
@@ -12,7 +17,9 @@ a third of all documents share is no long task.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from operator import xor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,15 +31,74 @@ from queuemill.session import stored
 SENTENCES = 2
 MIN_WORDS = 20
 
+#: Sentences of so many words are cut, into pieces of ``LEAST_WORDS`` to ``MOST_WORDS`` (fewer at forced cuts).
+LONG_WORDS = 20
+LEAST_WORDS, MOST_WORDS = 5, 15
+
 #: A sentence ends with a full stop, mark or ellipsis before white space, or with its line.
-BORDER = re.compile(r"(?<=[.!?…。])\s+|(?<=[.!?…][\"')\]])\s+|\n\s*")
+BORDER = re.compile(r"[.!?…。\n](?:(?<=\n)\s*|\s+|(?<=[.!?…])[\"')\]]\s+)")
+#: Full-width marks need no white space; texts without them take the short way.
+FULL_WIDTH = re.compile("[。！？｡]")
+FULL_WIDTH_BORDER = re.compile(
+    BORDER.pattern + r"|(?<=[。！？｡])(?![。！？｡」』”’）】])\s*|(?<=[。！？｡][」』”’）】])(?![。！？｡」』”’）】])\s*"
+)
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han. Each of their characters counts as a word.
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+HAS_SPACELESS = re.compile(f"[{SPACELESS}]")
+WORD = re.compile(rf"[{SPACELESS}]\s*|[^\s{SPACELESS}]+\s*")
 KEY = ["span_hash", "span_hash_2"]
 
 
+def has_spaceless(text: str) -> bool:
+    return not text.isascii() and HAS_SPACELESS.search(text) is not None
+
+
+def count_words(text: str) -> int:
+    return sum(1 for _ in WORD.finditer(text)) if has_spaceless(text) else len(text.split())
+
+
+def cuts(words: list[bytes]) -> list[int]:
+    """Numbers of words after which a long sentence is cut; they depend on the words nearby only."""
+    hashes = list(map(zlib.crc32, words))
+    sums = list(map(xor, hashes, hashes[1:]))
+    found, last, reach = [], 0, LEAST_WORDS
+    for i in range(reach, len(words) - reach):
+        x = sums[i]
+        if i + 1 - last == MOST_WORDS or (
+            sums[i - 1] > x <= sums[i + 1] and min(sums[i - reach : i]) > x <= min(sums[i : i + reach + 1])
+        ):
+            found.append(i + 1)
+            last = i + 1
+    return found
+
+
+def bounded(sentence: str, spaceless: bool) -> list[str]:
+    """The sentence, cut into pieces if it is long; white space stays with the word before it."""
+    if len(sentence) < (LONG_WORDS if spaceless else 2 * LONG_WORDS - 1):
+        return [sentence]
+    if spaceless:
+        found = list(WORD.finditer(sentence))
+        words = [m[0].strip().lower().encode("utf-8", "replace") for m in found]
+    else:
+        words = " ".join(sentence.lower().split()).encode("utf-8", "replace").split(b" ")
+    if len(words) < LONG_WORDS:
+        return [sentence]
+    if spaceless:
+        borders = [found[n].start() for n in cuts(words)]
+        return [sentence[a:b] for a, b in zip([0, *borders], [*borders, len(sentence)])]
+    pieces, last = [], 0
+    for n in cuts(words):
+        rest = sentence.split(None, n - last)[-1]
+        pieces.append(sentence[: len(sentence) - len(rest)])
+        sentence, last = rest, n
+    return [*pieces, sentence]
+
+
 def sentences(text: str) -> list[str]:
-    """The text cut after its sentences; white space stays with the sentence before it."""
+    """The text cut after its sentences and inside long ones; white space stays with the sentence before it."""
     found, begin = [], 0
-    for border in BORDER.finditer(text):
+    wide = not text.isascii() and FULL_WIDTH.search(text)
+    for border in (FULL_WIDTH_BORDER if wide else BORDER).finditer(text):
         piece = text[begin : border.end()]
         begin = border.end()
         if found and not piece.strip():
@@ -41,15 +107,16 @@ def sentences(text: str) -> list[str]:
             found.append(piece)
     if begin < len(text):
         found.append(text[begin:])
-    return found
+    spaceless = has_spaceless(text)
+    return [piece for sentence in found for piece in bounded(sentence, spaceless)]
 
 
 def spans(pieces: list[str], count: int) -> Iterator[bytes]:
-    """Hash of the span from each sentence on. Case and white space make no difference."""
+    """Hash of the span from each sentence on; one of all, if they are fewer. Case and white space make no difference."""
     import xxhash
 
     digests = [xxhash.xxh3_128_digest(" ".join(p.lower().split()).encode("utf-8", "replace")) for p in pieces]
-    for begin in range(len(pieces) - count + 1):
+    for begin in range(max(len(pieces) - count + 1, min(len(pieces), 1))):
         yield xxhash.xxh3_128_digest(b"".join(digests[begin : begin + count]))
 
 
@@ -94,11 +161,11 @@ def covered(pieces: list[str], repeats: list[int], count: int, min_words: int) -
     """Sentences that go: those of repeated spans, in stretches of ``min_words`` or more."""
     gone: set[int] = set()
     stretch: list[int] = []
-    marked = sorted({i for at in repeats for i in range(at, at + count)})
+    marked = sorted({i for at in repeats for i in range(at, min(at + count, len(pieces)))})
     for place, i in enumerate(marked):
         stretch.append(i)
         if place + 1 == len(marked) or marked[place + 1] > i + 1:
-            if sum(len(pieces[k].split()) for k in stretch) >= min_words:
+            if sum(count_words(pieces[k]) for k in stretch) >= min_words:
                 gone.update(stretch)
             stretch = []
     return gone
@@ -113,6 +180,7 @@ def dedup_spans(
 ) -> DataFrame:
     """Every row with its text shortened: doc_id, text, n_sentences, n_removed, removed_words.
 
+    Each piece of a long sentence counts as a sentence.
     Ids are whole numbers, NULL ones come before all others. Equal rows (one id, one text) are one document with one
     result, and no repeats of each other; texts of one id that differ are in an order of their own. NULL texts become
     empty; texts without a repeat are not touched.
@@ -135,7 +203,7 @@ def dedup_spans(
                 texts.append("".join(kept))
                 numbers.append(len(pieces))
                 removed.append(len(out))
-                words.append(sum(len(pieces[i].split()) for i in out))
+                words.append(sum(count_words(pieces[i]) for i in out))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(texts, pa.string())] + [pa.array(x, pa.int64()) for x in (numbers, removed, words)],
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed_words"],

@@ -82,3 +82,34 @@ def test_query_is_the_definition(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op4_sentence_spans"](spark, sf_dir).select("doc_id", "text", "n_sentences", "n_removed").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+RUN = "a long sentence of more than forty words which has no full stop before its very end and which other texts quote between their own words as if it had been theirs from the start so that nobody can tell any more who wrote it first"
+
+
+def test_sentences_without_repeated_neighbours(spark):
+    """Exact copies of one sentence, a long sentence between others, a run inside a text without end marks."""
+    own = "Words of number {0} come {0} here."
+    rows = [(1, RUN + "."), (2, RUN + "."), (3, f"{own.format(3)} {RUN}. {own.format(33)}")]
+    before, after = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows.append((4, f"{before} {RUN} {after}"))
+    got = {r[0]: r[1] for r in found(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[1] == rows[0][1] and got[2] == "" and got[3] == f"{own.format(3)} {own.format(33)}"
+    assert "forty words" in RUN and len(got[4].split()) < len(rows[3][1].split()) - 20
+    assert got[4].startswith(before) and got[4].endswith(after)
+
+
+def test_a_short_text_is_one_span(spark):
+    rows = [(1, "Only a few words."), (2, "only a  few words."), (3, "Only a few words. And more.")]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"), min_words=3)
+    assert [r[3] for r in got] == [0, 1, 0]
+
+
+def test_full_width_marks_and_scripts_without_spaces(spark):
+    assert S.sentences("\u6cb3\u6d41\u3002\u5c71\u9ad8\uff01\u300c\u597d\u3002\u300d\u6d77") == ["\u6cb3\u6d41\u3002", "\u5c71\u9ad8\uff01", "\u300c\u597d\u3002\u300d", "\u6d77"]
+    text = "".join(chr(0x4E00 + i * 37 % 4001) for i in range(200))
+    other = "".join(chr(0x7000 + i * 53 % 4001) for i in range(60))
+    assert "".join(S.sentences(text)) == text and max(map(len, S.sentences(text))) <= S.MOST_WORDS + S.LEAST_WORDS
+    rows = [(1, text), (2, other + text)]
+    got = {r[0]: r[1] for r in found(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[1] == text and got[2].startswith(other) and len(got[2]) < 60 + 40
