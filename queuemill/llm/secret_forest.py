@@ -1,15 +1,17 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest trained on labelled findings.
 
-A candidate is a run of at least ``MIN_LENGTH`` key characters with a letter and a digit. Its features are its length,
+A candidate is a run of at least ``MIN_LENGTH`` key characters with a letter and a digit, ``=`` only as padding at its end;
+after the name of a credential also one without a digit or with other characters. Its features are its length,
 its transitions between character classes and between characters, how much of it the corpus' common words cover,
-its path and the words beside it. The forest is trained on ``MAX_LABELLED`` labelled findings at most (those with the
-smallest hashes); counting words, finding candidates and scoring cover every text.
+its path and the words beside it. The forest is trained on ``MAX_LABELLED`` labelled findings at most (of each label
+those with the smallest hashes, weighted by what they stand for); counting words, finding candidates and scoring cover every text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,13 +27,26 @@ MIN_LENGTH = 16
 MAX_LABELLED = 20_000
 #: Common words of the corpus that make the dictionary.
 DICTIONARY = 2_000
+#: Characters before a candidate that are its line.
+LINE = 60
 #: Words before and after a candidate that are looked at.
 BESIDE = 3
 BESIDE_BUCKETS = 16
 TREES, DEPTH, SEED = 30, 6, 7
 CUT = 0.5
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.~-])(?=[A-Za-z0-9+/_=.~-]*[A-Za-z])(?=[A-Za-z0-9+/_=.~-]*\d)[A-Za-z0-9+/_=.~-]{16,}")
+KEY_CHARS = "A-Za-z0-9+/_.~-"
+CANDIDATE = re.compile(
+    rf"(?<![{KEY_CHARS}])(?=[{KEY_CHARS}]*[A-Za-z])(?=[{KEY_CHARS}]*\d)[{KEY_CHARS}]{{{MIN_LENGTH},}}(?:={{1,2}}(?![={KEY_CHARS}]))?"
+)
+#: What stands before a value that a credential's name is given; for Python and Java.
+GIVEN = r"(?i)((token|key|secret|passw(or)?d|pwd|credential)[A-Za-z0-9_]*[\"']?\s*[=:]\s*|bearer\s+)[\"']?$"
+NAME_BEFORE = re.compile(GIVEN)
+#: Values of any characters, in quotes or up to a separator.
+VALUE = re.compile(
+    rf"(?:[=:]\s*|[Bb]earer\s+|BEARER\s+)(?:[\"'](?P<quoted>[^\s\"'=]{{{MIN_LENGTH},}}={{0,2}})(?=[\"'])"
+    rf"|(?P<bare>[^\s\"'=<>&,;#(){{}}\[\]]{{{MIN_LENGTH},}}(?:={{1,2}}(?![^\s\"'<>&,;#(){{}}\[\]]))?))"
+)
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Names that credentials are given, and words of placeholders.
@@ -78,7 +93,7 @@ def features(text: str, begin: int, end: int, path: str, words: frozenset[str])
     found = text[begin:end]
     kinds = [_kind(c) for c in found]
     n = len(found)
-    left, right = text[max(0, begin - 60) : begin], text[end : end + 40]
+    left, right = text[max(0, begin - LINE) : begin], text[end : end + 40]
     before = [w.lower() for w in WORD.findall(left)][-BESIDE:]
     after = [w.lower() for w in WORD.findall(right)][:BESIDE]
     runs = re.findall(r"[A-Za-z]+|\d+|[^A-Za-z\d]+", found)
@@ -107,6 +122,22 @@ def features(text: str, begin: int, end: int, path: str, words: frozenset[str])
     ]
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Begin and end of every candidate, in order; a credential's value is one whole."""
+    spans = [m.span() for m in CANDIDATE.finditer(text)]
+    values = [m.span(m.lastgroup) for m in VALUE.finditer(text)]
+    values = [v for v in values if NAME_BEFORE.search(text[max(0, v[0] - LINE) : v[0]])]
+    if values:
+        begins = [begin for begin, _ in values]
+
+        def inside(span: tuple[int, int]) -> bool:
+            at = bisect_left(begins, span[1]) - 1
+            return at >= 0 and values[at][1] > span[0]
+
+        spans = sorted([s for s in spans if not inside(s)] + values)
+    return spans
+
+
 _FINDINGS = "doc_id bigint, begin bigint, finding string, line string, features array<double>"
 
 
@@ -122,9 +153,8 @@ def findings(
         for batch in batches:
             rows = []
             for doc_id, text, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for m in CANDIDATE.finditer(text or ""):
-                    begin, end = m.span()
-                    row = (doc_id, begin, m[0], text[max(0, begin - 60) : begin])
+                for begin, end in candidates(text or ""):
+                    row = (doc_id, begin, text[begin:end], text[max(0, begin - LINE) : begin])
                     rows.append((*row, features(text, begin, end, path or "", words)))
             names = ["doc_id", "begin", "finding", "line", "features"]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())]
@@ -137,23 +167,37 @@ def findings(
 
 def reviewed(found: DataFrame) -> DataFrame:
     """Findings with ``label``, as a reviewer with the whole line would give it: 1 for a random value that a name of a
-    credential is given, else 0. Stands in for a table of reviewed findings, which has the same columns."""
-    given = F.lower("line").rlike(r"(token|key|secret|passw(or)?d|pwd|credential)\w*\s*[=:]\s*[\"']?$")
-    random = F.col("finding").rlike(r"^([0-9a-fA-F]{32,}|[A-Za-z0-9+/_-]{24,}={0,2})$")
-    return found.withColumn("label", (given & random).cast("double"))
+    credential is given or that has the form of an access key, else 0. Values made of common words, dotted names, URLs
+    and placeholders are not random. Stands in for a table of reviewed findings, which has the same columns."""
+    value = F.col("finding")
+    form = value.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$")
+    token = value.rlike(r"^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*$")
+    dotted = value.rlike(r"^[A-Za-z0-9+/_.~-]*[.~][A-Za-z0-9+/_.~-]*=*$") & ~token
+    spelled = F.col("features")[FEATURES.index("covered")] >= 0.5
+    random = value.rlike(r"^[!-~]+$") & ~dotted & ~spelled & ~value.rlike("^[A-Za-z]+://")
+    placeholder = value.rlike("(?i)example|sample|dummy|placeholder|changeme|redacted|your|x{4}")
+    return found.withColumn("label", ((form | (F.col("line").rlike(GIVEN) & random)) & ~placeholder).cast("double"))
 
 
 def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> RandomForestClassificationModel | None:
-    """The forest, from findings with ``features`` and ``label``; None unless both labels occur."""
-    key = F.xxhash64("doc_id", "begin", "finding")
-    rows = labelled.filter("label is not null").select("features", "label", key.alias("k"))
-    rows = rows.orderBy("k", "label").limit(limit).select(array_to_vector("features").alias("vector"), "label")
-    rows = rows.coalesce(1).cache()  # bounded; one order, so that reruns agree
+    """The forest, from findings with ``features`` and ``label``; None unless both labels occur.
+
+    Each label has half of the ``limit``, and what the other one leaves."""
+    rows = labelled.filter("label in (0, 1)").select("features", "label", F.xxhash64("doc_id", "begin", "finding").alias("k"))
+    counts = {row["label"]: row["count"] for row in rows.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return None
+    parts = []
+    for label, n in sorted(counts.items()):
+        part = max(1, limit // 2, limit - counts[1 - label])
+        chosen = rows.filter(F.col("label") == label).orderBy("k").limit(part)
+        parts.append(chosen.withColumn("weight", F.lit(max(1.0, n / part))))
+    rows = parts[0].unionAll(parts[1]).coalesce(1).sortWithinPartitions("label", "k")
+    rows = rows.select(array_to_vector("features").alias("vector"), "label", "weight")
+    rows = rows.cache()  # bounded; one order, so that reruns agree
     try:
-        if rows.select("label").distinct().count() < 2:
-            return None
         forest = RandomForestClassifier(
-            featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False
+            featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False
         )
         return forest.fit(rows)
     finally:

@@ -74,3 +74,35 @@ def test_without_both_labels_nothing_is_removed(scanned):
 )
 def test_dictionary_coverage(text, share):
     assert S.covered(text, frozenset(["the", "token"])) == pytest.approx(share)
+
+
+VALUE = "q7Zk2Xw9Lr4Tn8Vb"
+
+
+@pytest.mark.parametrize(
+    "text, finding, label",
+    [
+        (f"API_KEY={VALUE}", VALUE, 1),
+        (f"see https://a.io/x?token={VALUE}&page=2 now", VALUE, 1),
+        (f'{{"secret": "{VALUE}{VALUE}=="}}', f"{VALUE}{VALUE}==", 1),
+        (f"Authorization: Bearer {VALUE}{VALUE}", VALUE + VALUE, 1),
+        ("id AKIA" + "Q3ZX" * 4, "AKIA" + "Q3ZX" * 4, 1),
+        ("password = 'qZkXw$Lr!TnVb#mPs'", "qZkXw$Lr!TnVb#mPs", 1),
+        ("PASSWORD=qZkXwLrTnVbmPsGd", "qZkXwLrTnVbmPsGd", 1),
+        (f"commit {VALUE}", VALUE, 0),
+        ("api_key = settings.module2.value", "settings.module2.value", 0),
+        ("key: https://site.org/page/17", "https://site.org/page/17", 0),
+        ("token=your_token_goes_here_1", "your_token_goes_here_1", 0),
+    ],
+)
+def test_assigned_values_are_findings_of_their_own(spark, text, finding, label):
+    frame = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    rows = S.reviewed(S.findings(frame, frozenset())).collect()
+    assert [(r["finding"], r["label"]) for r in rows] == [(finding, label)]
+    assert text[rows[0]["begin"] :].startswith(finding)
+
+
+def test_rare_labels_are_in_the_sample(scanned):
+    found = S.reviewed(S.findings(scanned, frozenset()))
+    rare = found.filter("label = 0").unionAll(found.filter("label = 1").orderBy("doc_id").limit(3))
+    assert S.train(rare, limit=20) is not None
