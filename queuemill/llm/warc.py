@@ -7,10 +7,15 @@ record's block has HTTP headers whose Content-Length is that of the full payload
 The reader checks every record: gzip member, version line, header fields, lengths, and the block's digest. After
 a failed check it searches for the next gzip member (or, in plain archives, the next version line), goes on from
 there, and logs the bytes between as quarantined, with the reason. A record is never half returned.
+
+A gzip member may hold many records. After a failed check inside it the search goes on at the next version line of what
+it unpacks to, also of what a damaged or cut off member unpacks to before its damage. Of these only records with a
+block digest that fits are taken; where a checksum of the whole member fails, their header fields are not proved by it.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -35,6 +40,7 @@ FEED = 1 << 14
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
+DAMAGED = "gzip member is damaged"
 VERSION_LINE = re.compile(rb"^WARC/\d+\.\d+\r?$", re.M)
 
 RECORDS = (
@@ -102,29 +108,74 @@ def parse_record(content: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     if content[end : end + 4] != b"\r\n\r\n":
         raise Damage("length does not fit the block")
     block = content[begin:end]
-    named, _, digest = fields.get("warc-block-digest", "").partition(":")
-    if named == "sha256" and hashlib.sha256(block).hexdigest() != digest.lower():
+    if digest_fits(fields, block) is False:
         raise Damage("block digest differs")
     return fields, block, end + 4
 
 
-def _member_at(content: bytes, at: int) -> tuple[bytes, int]:
-    """What the gzip member at ``at`` holds, and where it ends."""
+def digest_fits(fields: dict, block: bytes) -> bool | None:
+    """None without a SHA-1 or SHA-256 digest; it may be in base 16 or 32."""
+    named, _, digest = fields.get("warc-block-digest", "").partition(":")
+    if named.lower() not in ("sha1", "sha256"):
+        return None
+    own = hashlib.new(named.lower(), block).digest()
+    return digest.lower().rstrip("=") in (own.hex(), base64.b32encode(own).decode().lower().rstrip("="))
+
+
+def _member_at(content: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, where it ends, and None or its damage: what was unpacked before that."""
     unpacker, view, fed, parts = zlib.decompressobj(31), memoryview(content), at, []
     try:
         while not unpacker.eof and fed < len(content):
             parts.append(unpacker.decompress(view[fed : fed + FEED]))
             fed += FEED
     except zlib.error:
-        raise Damage("gzip member is damaged") from None
+        return *_before_damage(view, at, fed), DAMAGED
     if not unpacker.eof:
-        raise Damage("gzip member is cut off")
-    return b"".join(parts), min(fed, len(content)) - len(unpacker.unused_data)
+        return b"".join(parts), len(content), "gzip member is cut off"
+    return b"".join(parts), min(fed, len(content)) - len(unpacker.unused_data), None
+
+
+def _before_damage(view: memoryview, at: int, failed: int) -> tuple[bytes, int]:
+    """The member at ``at`` up to its damage, which is in the bytes fed at ``failed``: these are fed one by one."""
+    unpacker, parts = zlib.decompressobj(31), []
+    for fed in range(at, failed, FEED):
+        parts.append(unpacker.decompress(view[fed : fed + FEED]))
+    end = failed
+    try:
+        while True:
+            parts.append(unpacker.decompress(view[end : end + 1]))
+            end += 1
+    except zlib.error:
+        return b"".join(parts), end
+
+
+def _records(data: bytes, damage: str | None) -> tuple[list[tuple[dict, bytes]], list[str]]:
+    """Sound records of an unpacked member, and a reason for each gap. With ``damage`` only those whose digest fits; as no
+    digest covers a header, those right before damage are not taken then, unless the member is just cut off."""
+    at, records, gaps, sound = 0, [], [], True
+    while at < len(data):
+        try:
+            fields, block, end = parse_record(data, at)
+            if damage and not digest_fits(fields, block):
+                raise Damage("record of a damaged member without a digest")
+            records.append((fields, block))
+            at, sound = end, True
+        except Damage as why:
+            if sound:
+                gaps.append(str(why))
+                if damage == DAMAGED and records:
+                    records.pop()
+            sound = False
+            line = VERSION_LINE.search(data, at + 1)
+            at = line.start() if line else len(data)
+    return records[:-1] if damage == DAMAGED and sound else records, gaps
 
 
 def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str | None]]:
     """Begin, end, fields, block and None for each sound record; begin, end, None, b"" and the reason for
-    each gap. Offsets are those of the archive file. Together they cover every byte."""
+    each gap. Offsets are those of the archive file. Together they cover every byte. Records of one member have its
+    offsets, and so has a gap inside it; a damaged member is part of a gap as a whole, also where records came from it."""
     packed = content.startswith(MEMBER) or (MEMBER in content and not VERSION_LINE.match(content))
     at, gap, reason = 0, 0, ""
 
@@ -139,14 +190,17 @@ def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str
     while at < len(content):
         try:
             if packed:
-                data, end = _member_at(content, at)
-                inner, records = 0, []
-                while inner < len(data):
-                    fields, block, inner = parse_record(data, inner)
-                    records.append((fields, block))
+                data, end, damage = _member_at(content, at)
+                records, gaps = _records(data, damage)
+                if damage:
+                    for fields, block in records:
+                        yield at, end, fields, block, None
+                    raise Damage(damage)
+                if gaps and not records:
+                    raise Damage(gaps[0])
             else:
                 fields, block, end = parse_record(content, at)
-                records = [(fields, block)]
+                records, gaps = [(fields, block)], []
         except Damage as why:
             reason = reason or str(why)
             at = next_start(at + 1)
@@ -155,6 +209,8 @@ def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str
             yield gap, at, None, b"", reason
         for fields, block in records:
             yield at, end, fields, block, None
+        for why in gaps:
+            yield at, end, None, b"", why
         at = gap = end
         reason = ""
     if gap < at:

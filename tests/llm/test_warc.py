@@ -103,3 +103,24 @@ def test_gap_rows(spark, tmp_path):
     assert sorted(r["page_id"] for r in rows if r["reason"] is None) == [0, 1]
     gaps = {os.path.basename(r["archive"]): r["length"] for r in rows if r["reason"]}
     assert gaps == {"a.warc.gz": 50, "b.warc": 14}
+
+
+def numbers(content):
+    found = list(warc.salvage(content))
+    return [int(f[2]["warc-x-page-id"]) for f in found if f[2]], [f[4] for f in found if not f[2]]
+
+
+def test_many_records_in_one_member():
+    plain = archive(False, 400)
+    assert numbers(warc._member(b"".join(plain))) == (list(range(400)), [])
+    broken = warc._member(b"".join([*plain[:2], plain[2].replace(b"page 2", b"page x"), *plain[3:]]))
+    assert numbers(broken) == ([0, 1, *range(3, 400)], ["block digest differs"])
+    whole = warc._member(b"".join(plain))
+    kept, gaps = numbers(whole[: len(whole) * 2 // 3])
+    assert kept == list(range(len(kept))) and 200 < len(kept) < 400 and gaps == ["gzip member is cut off"]
+    kept, gaps = numbers(whole[:-8] + bytes(8) + archive(True, 1)[0])
+    assert kept == [*range(399), 0] and gaps == ["gzip member is damaged"]
+    hurt = bytearray(whole)
+    hurt[len(hurt) // 2 : len(hurt) // 2 + 40] = b"\xff" * 40
+    kept, gaps = numbers(bytes(hurt))
+    assert 100 < len(kept) < 400 and kept[:100] == list(range(100)) and gaps == ["gzip member is damaged"]
