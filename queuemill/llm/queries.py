@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuemill.llm import decontaminate, html_wrappers, jaccard_join, line_runs, mixing, quality, secret_forest, sentence_spans, token_codes, warc
+from queuemill.llm import differencing, hilbert_blocks, spelling_variants
 from queuemill.llm.tables import ORACLES, QUERIES, query, table
 from queuemill.session import stored
 
@@ -75,4 +76,22 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"))
 
 
+@query("op11_spelling_variants", spelling_variants.SQL)
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.counted_words(table(spark, sf_dir, "documents"))
+    return spelling_variants.spelling_variants(words, min_length=spelling_variants.MIN_LENGTH)
+
+
+@query("op12_hilbert_negatives", hilbert_blocks.SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are disturbed and vectors scaled to whole numbers before mining, as the digest asks."""
+    vectors = hilbert_blocks.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return hilbert_blocks.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_differencing_shards")
+def differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differencing.shard_report(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
