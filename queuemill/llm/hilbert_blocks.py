@@ -144,36 +144,36 @@ def _placer(dims: int, axes: list[tuple[int, float, float]]):
     return put
 
 
-def _blocks_writer(folder: str, dims: int):
+def _blocks_writer(folder: str, dims: int, block: int):
     """Each task writes its rows, in the curve's order, as files of row groups, and returns their zone maps."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) >= BLOCK * BLOCKS_PER_FILE:
+            if sum(map(len, held)) >= block * BLOCKS_PER_FILE:
                 rows = pa.Table.from_batches(held)
-                yield _write(folder, dims, rows.slice(0, BLOCK * BLOCKS_PER_FILE))
-                held = rows.slice(BLOCK * BLOCKS_PER_FILE).to_batches()
+                yield _write(folder, dims, block, rows.slice(0, block * BLOCKS_PER_FILE))
+                held = rows.slice(block * BLOCKS_PER_FILE).to_batches()
         if sum(map(len, held)):
-            yield _write(folder, dims, pa.Table.from_batches(held))
+            yield _write(folder, dims, block, pa.Table.from_batches(held))
 
     return write
 
 
-def _write(folder: str, dims: int, rows: pa.Table) -> pa.RecordBatch:
+def _write(folder: str, dims: int, block: int, rows: pa.Table) -> pa.RecordBatch:
     rows = rows.combine_chunks()
     matrix = _dense(rows.column("vector").chunk(0), dims)
     sink = pa.BufferOutputStream()
     flat = pa.table({"vec_id": rows.column("vec_id"), "label": rows.column("label"), "vector": rows.column("vector")})
-    pq.write_table(flat, sink, row_group_size=BLOCK, compression="zstd", use_dictionary=["label", "vector"])
+    pq.write_table(flat, sink, row_group_size=block, compression="zstd", use_dictionary=["label", "vector"])
     content = sink.getvalue().to_pybytes()
     ids = np.sort(rows.column("_row").to_numpy())
     name = f"{ids[0]:020d}-{ids[-1]:020d}.parquet"  # the same rows give the same name when a task runs again
     write_file(folder, name, content)
-    begins = range(0, len(matrix), BLOCK)
-    lows = [matrix[b : b + BLOCK].min(0) for b in begins]
-    highs = [matrix[b : b + BLOCK].max(0) for b in begins]
+    begins = range(0, len(matrix), block)
+    lows = [matrix[b : b + block].min(0) for b in begins]
+    highs = [matrix[b : b + block].max(0) for b in begins]
     columns = {"file": [name] * len(lows), "block": list(range(len(lows))), "low": lows, "high": highs}
     return pa.RecordBatch.from_pydict(columns, schema=_ZONES_ARROW)
 
@@ -184,7 +184,7 @@ _ZONES_ARROW = pa.schema(
 )
 
 
-def write_blocks(vectors: DataFrame) -> tuple[str, str, int]:
+def write_blocks(vectors: DataFrame, block: int = BLOCK) -> tuple[str, str, int]:
     """Store ``vec_id, label, vector`` in Hilbert order (``_row`` tells equal rows apart); returns the folder of blocks,
     that of zone maps, and the number of components."""
     spark = vectors.sparkSession
@@ -193,7 +193,7 @@ def write_blocks(vectors: DataFrame) -> tuple[str, str, int]:
     placed = vectors.select("vec_id", "label", "vector", "_row").mapInArrow(_placer(dims, axes), schema)
     ordered = placed.repartitionByRange("curve", "vec_id", "_row").sortWithinPartitions("curve", "vec_id", "_row")
     blocks, zones = scratch_path(spark, "mining-blocks"), scratch_path(spark, "mining-zones")
-    ordered.mapInArrow(_blocks_writer(blocks, dims), ZONES).write.option("maxRecordsPerFile", ZONES_AT_ONCE).parquet(zones)
+    ordered.mapInArrow(_blocks_writer(blocks, dims, block), ZONES).write.option("maxRecordsPerFile", ZONES_AT_ONCE).parquet(zones)
     return blocks, zones, dims
 
 
@@ -379,7 +379,7 @@ def _long(score: int) -> int:
     return max(-(1 << 63), min(score, (1 << 63) - 1))
 
 
-def hard_negatives(vectors: DataFrame, is_anchor: Column) -> DataFrame:
+def hard_negatives(vectors: DataFrame, is_anchor: Column, block: int = BLOCK) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for ``vec_id, label, vector``.
 
     The positives of an anchor are the first ``POSITIVES`` other rows of its label by inner product; the negatives of a
@@ -387,7 +387,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column) -> DataFrame:
     """
     rows = vectors.select("vec_id", "label", "vector", F.monotonically_increasing_id().alias("_row"))
     vectors = stored(rows, "mining-input")
-    folder, zones, dims = write_blocks(vectors)
+    folder, zones, dims = write_blocks(vectors, block)
     anchors = vectors.filter(is_anchor & F.col("vec_id").isNotNull())
     cores, n = vectors.sparkSession.sparkContext.defaultParallelism, anchors.count()
     dealt = anchors.repartition(max(min(cores, n), -(-n // CHUNK), 1), F.xxhash64("vec_id", "_row"))
