@@ -10,9 +10,9 @@ import pytest
 TESTS = Path(__file__).parent
 os.environ["PYTHONPATH"] = f"{TESTS.parent}{os.pathsep}{TESTS}"  # for functions defined in tests
 
-from queuemill.session import get_session
+from compare import SMALL
 
-SMALL = "/root/testdata/sf0.001"
+from queuemill.session import get_session
 
 
 @pytest.fixture(scope="session")

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import difference, duck
-from conftest import SMALL
+from compare import SMALL, difference, duck
 
 from queuemill.plans.catalog import ORACLES, QUERIES
 
