@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from queuemill.operators.inference import Stage
 from queuemill.plans.registry import query
+from queuemill.plans.stages import BATCH, DOUBLE, ISOLATED_SQL
 from queuemill.plans.streams import LIFECYCLE_SQL, lifecycle_events
-from queuemill.plans.views import Tables
+from queuemill.plans.views import LOG_SQL, SIX_HOURS_US, Tables, pack_sql
 from queuemill.session import scratch_path
 from queuemill.sources.requests import read_request_stream
-from queuemill.streaming import lives
+from queuemill.streaming import lives, waiting
 from queuemill.streaming.runner import run_available
 
 FILES = 3
@@ -121,3 +123,54 @@ def client_timers(t: Tables) -> DataFrame:
 )
 def retention_timers(t: Tables) -> DataFrame:
     return _timer(t, "purged")
+
+
+MARK_OF_LOG = f"(select (max(received_us) // 1000 - {DELAY_SECONDS * 1000}) * 1000 from request_log)"
+
+
+def closed_batches(name: str, batch_size: int, wait_us: int) -> str:
+    """Batches of ``name`` (see ``pack_sql``) that no request behind the watermark can still join."""
+    return f"""{name}_closed as (select queue_key, batch_id from {name} join request_log using (queue_key, request_id)
+      group by queue_key, batch_id, opened having opened + {wait_us} <= {MARK_OF_LOG} + 1
+      or (sum({name}.n_inputs) > 0.8 * {batch_size} and max(received_us) <= {MARK_OF_LOG}))"""
+
+
+@query(
+    "k6_waiting_batches",
+    f"""with recursive {LOG_SQL}, {pack_sql('p', 'request_log', BATCH, SIX_HOURS_US)},
+      {closed_batches('p', BATCH, SIX_HOURS_US)}
+      select queue_key, request_id, cast(batch_id as bigint) as batch_id, cast(batch_offset as bigint) as batch_offset
+      from p join p_closed using (queue_key, batch_id)""",
+)
+def waiting_batches(t: Tables) -> DataFrame:
+    """Requests come late and in three triggers; batches are those of the whole log."""
+    log = t.request_log.select("queue_key", "request_id", "received_us", "n_inputs")
+    packed = waiting.pack_stream(
+        arriving(log, "received_us", "late-requests"), BATCH, SIX_HOURS_US, delay=f"{DELAY_SECONDS} seconds"
+    )
+    return run_available(packed.select("queue_key", "request_id", "batch_id", "batch_offset"), "waiting-batches")
+
+
+@query(
+    "k1_score_waiting",
+    f"""with recursive {ISOLATED_SQL}, {closed_batches('p', BATCH, SIX_HOURS_US)}
+      select request_id, cast(batch_id as bigint) as batch_id, cast(batch_inputs as bigint) as batch_inputs,
+      not failed as success, case when failed then '99 cannot be doubled' end as error,
+      cast(case when not failed then (k * 2 + 1) * n_inputs end as bigint) as output_sum
+      from isolated join p_closed using (queue_key, batch_id)""",
+)
+def score_waiting(t: Tables) -> DataFrame:
+    """A stage that fails for some inputs: the same requests fail as in batch, however they come in."""
+    requests = t.numbered_requests.select("request_id", "queue_key", "received_us", "inputs")
+    stages = [DOUBLE, Stage.from_expression(lambda x: x + 1, "int", "plus_one")]
+    scored = waiting.score_waiting_stream(
+        arriving(requests, "received_us", "late-inputs"), stages, SIX_HOURS_US, delay=f"{DELAY_SECONDS} seconds"
+    )
+    total = F.aggregate("outputs", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return run_available(
+        scored.select(
+            "request_id", F.col("stage0_batch_id").alias("batch_id"), F.col("stage0_batch_inputs").alias("batch_inputs"),
+            "success", "error", F.when(F.col("success"), total).alias("output_sum"),
+        ),
+        "scored-waiting",
+    )
