@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema, to_arrow_type
 
 from queuemill.functions.scalars import l2_normalize
+from queuemill.operators import models
 from queuemill.operators.packing import (
     PackRule,
     check_sizes,
@@ -52,6 +53,7 @@ class Stage:
     batch_size: int = 32
     load: Callable[[], Predictor] | None = None
     expression: Callable[[Column], Column] | None = None
+    key: str | None = None  # of a model that a worker keeps
 
     @classmethod
     def from_function(
@@ -65,8 +67,9 @@ class Stage:
         cls, load: Callable[[], Predictor], returns: T.DataType | str, batch_size: int = 32,
         name: str | None = None,
     ) -> Stage:
-        """``load()`` builds the predictor (reads a model) once per task, on the executor."""
-        return cls(name or load.__name__, returns, batch_size, load=load)
+        """``load()`` builds the predictor (reads a model) on the executor, once per Python worker: see
+        :mod:`queuemill.operators.models`."""
+        return cls(name or load.__name__, returns, batch_size, load=load, key=models.content_key(load))
 
     @classmethod
     def from_expression(
@@ -75,6 +78,10 @@ class Stage:
         """A pure function of one input as a Column: stays in the JVM and needs no batches."""
         return cls(name, returns, expression=expression)
 
+    def open(self) -> Predictor:
+        """The predictor, on the worker that calls it."""
+        return self.load() if self.key is None else models.loaded(self.key, self.load)
+
     def typed(self) -> Stage:
         """The same stage with its DDL text resolved, which needs a session."""
         return replace(self, returns=_type(self.returns))
@@ -130,7 +137,7 @@ class ContractError(ValueError):
 def _predict_flat(
     batches: Iterator[pa.RecordBatch], stage: Stage, column: str, out_type: pa.DataType
 ) -> Iterator[pa.RecordBatch]:
-    predictor = stage.load()
+    predictor = stage.open()
     for batch in batches:
         inputs = batch.column(batch.schema.get_field_index(column)).to_pylist()
         outputs: list = []
@@ -176,7 +183,7 @@ class StageRunner:
             stage.batch_size, rule.max_wait_us, rule.key, rule.time, rule.request_id, rule.size
         )
         self.packed = packed  # rows come with their batch_id
-        self.predictor = stage.load()
+        self.predictor = stage.open()
         self.out_type = to_arrow_type(stage.returns)
         self.waiting: pa.Table | None = None
         self.waiting_key: Any = None

@@ -40,7 +40,7 @@ def order_stages(names: DataFrame, name: str = "name", recipe: str = "recipe") -
     )
 
 
-def stage_registry(stages: DataFrame, tuning: DataFrame, key: str = "queue_key") -> DataFrame:
+def stage_registry(stages: DataFrame, tuning: DataFrame, key: str | list[str] = "queue_key") -> DataFrame:
     """One row per stage with its batch size, time per example (ms) and the wait that follows from it (s)."""
     return stages.join(tuning, key, "left").withColumns(
         {

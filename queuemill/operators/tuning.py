@@ -15,11 +15,11 @@ def time_per_example(
 
 
 def choose_batch_size(
-    measured: DataFrame, key: str = "queue_key", size: str = "batch_size"
+    measured: DataFrame, key: str | list[str] = "queue_key", size: str = "batch_size"
 ) -> DataFrame:
     """Walk the sizes upward while each beats the one before; stop at the first that does not.
 
-    One row per key and size comes in, so a window holds the sizes that were tried.
+    One row per key (a column or several) and size comes in, so a window holds the sizes that were tried.
     """
     upward = W.partitionBy(key).orderBy(size)
     slower = F.coalesce(

@@ -413,7 +413,7 @@ def stage_from_function(t: Tables) -> DataFrame:
 
 
 def load_square_root():
-    """Built once per task, as a model would be."""
+    """Built once per worker, as a model would be."""
 
     def predictor(inputs: list, batch_size: int = 1) -> list:
         return [math.sqrt(x) for x in inputs]
