@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from queuemill.operators.ordering import global_index
+from queuemill.sources.arrays import read_array_elements
 
 BROADCAST_FILES = 100_000  # paths and numbers of that many files are some tens of megabytes
 
@@ -22,12 +23,16 @@ def read_requests_json(df: DataFrame, payload: str = "payload", name: str = "inp
 
 
 def read_request_array_file(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files that each hold one array of inputs: one row per input, with its position."""
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.expr("try_variant_get(parse_json(value), '$', 'array<variant>')").alias("inputs"),
+    """JSON files that each hold one array of inputs: one row per input, with its position.
+
+    Large files are read by several tasks (see :mod:`queuemill.sources.arrays`). A file that holds something else than
+    an array gives no rows; an array that is broken off, or an element that is no JSON, ends the job.
+    """
+    # wrapped, since the parser does not look behind the end of a value
+    wrapped = F.parse_json(F.concat(F.lit('[{"x":'), "text", F.lit("}]")))
+    return read_array_elements(spark, path).select(
+        "path", "pos", F.variant_get(wrapped, "$[0].x", "variant").alias("input")
     )
-    return whole.select("path", F.posexplode("inputs").alias("pos", "input"))
 
 
 def read_binary_requests(
