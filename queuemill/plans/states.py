@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from queuemill.operators.inference import Stage
 from queuemill.plans.registry import query
 from queuemill.plans.stages import BATCH, DOUBLE, ISOLATED_SQL
-from queuemill.plans.streams import LIFECYCLE_SQL, lifecycle_events
+from queuemill.plans.streams import LIFECYCLE_SQL, lifecycle_events, triple
 from queuemill.plans.views import LOG_SQL, SIX_HOURS_US, Tables, pack_sql
 from queuemill.session import scratch_path
+from queuemill.sources import feeds
 from queuemill.sources.requests import read_request_stream
 from queuemill.streaming import lives, waiting
 from queuemill.streaming.runner import run_available
+from queuemill.streaming.scoring import score_stream
 
 FILES = 3
 #: Rows arrive up to twelve hours late, and the watermark waits for thirteen.
@@ -174,3 +176,27 @@ def score_waiting(t: Tables) -> DataFrame:
         ),
         "scored-waiting",
     )
+
+
+FEED_INPUTS = 500
+
+
+@query(
+    "k6_bounded_inputs",
+    f"""with {LOG_SQL} select request_id, cast(k * 3 * n_inputs as bigint) as output_sum, true as within_limit
+      from request_log""",
+)
+def bounded_inputs(t: Tables) -> DataFrame:
+    """A feed of at most ``FEED_INPUTS`` inputs a trigger, scored into one folder per epoch."""
+    requests = t.numbered_requests.select("request_id", "queue_key", "received_us", "inputs")
+    path, out = scratch_path(t.spark, "feed"), scratch_path(t.spark, "epochs")
+    share = FEED_INPUTS * max(1, t.events.count() // 1000)  # some ten triggers at any size
+    feeds.write_feed(requests.withColumn("n_inputs", F.size("inputs")), path, share)
+    stream = feeds.read_feed(t.spark, path, requests.schema)
+    scored = score_stream(stream, [Stage.from_function(triple, "int", 64)])
+    total = F.aggregate("outputs", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    answers = scored.select("request_id", F.size("inputs").alias("n"), total.alias("output_sum"))
+    feeds.write_epochs(answers, out).trigger(availableNow=True).start().awaitTermination()
+    written = feeds.read_epochs(t.spark, out)
+    sums = written.groupBy("epoch").agg((F.sum("n") <= share).alias("within_limit"))
+    return written.join(sums, "epoch").select("request_id", "output_sum", "within_limit")
