@@ -98,6 +98,12 @@ def get(t: Tables) -> DataFrame:
     from request_log l full outer join latest u on l.request_id = u.request_id""",
 )
 def upsert(t: Tables) -> DataFrame:
+    base, updates = upsert_inputs(t)
+    return T.upsert(base, updates, F.col("version"))
+
+
+def upsert_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A request table and updates of it: two versions of some rows, and new rows."""
     log = t.request_log
     first = log.filter("k % 3 = 0").selectExpr(
         "request_id", "received_us + k as delivered_us", "true as success", "1 as last_stage",
@@ -113,7 +119,7 @@ def upsert(t: Tables) -> DataFrame:
     )
     updates = first.unionByName(second).unionByName(new)
     base = log.select("request_id", "queue_key", "delivered_us", "success", "last_stage")
-    return T.upsert(base, updates, F.col("version"))
+    return base, updates
 
 
 @query(
