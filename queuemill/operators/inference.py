@@ -54,6 +54,7 @@ class Stage:
     load: Callable[[], Predictor] | None = None
     expression: Callable[[Column], Column] | None = None
     key: str | None = None  # of a model that a worker keeps
+    attempt: Callable[[Column], Column] | None = None
 
     @classmethod
     def from_function(
@@ -73,10 +74,16 @@ class Stage:
 
     @classmethod
     def from_expression(
-        cls, expression: Callable[[Column], Column], returns: T.DataType | str, name: str = "expression"
+        cls, expression: Callable[[Column], Column], returns: T.DataType | str, name: str = "expression",
+        attempt: Callable[[Column], Column] | None = None,
     ) -> Stage:
-        """A pure function of one input as a Column: stays in the JVM and needs no batches."""
-        return cls(name, returns, expression=expression)
+        """A pure function of one input as a Column: stays in the JVM and needs no batches.
+
+        An input for which ``expression`` raises ends the job. ``attempt`` is its twin that gives NULL there (made of
+        ``try_add``, ``try_cast`` and the like) and the same answers elsewhere: with it, a request with such an input
+        fails by itself. An input that is not NULL then may not have NULL as its answer.
+        """
+        return cls(name, returns, expression=expression, attempt=attempt)
 
     def open(self) -> Predictor:
         """The predictor, on the worker that calls it."""
@@ -157,7 +164,7 @@ def predict(
     """
     stage = stage.typed()
     if stage.expression is not None:
-        return df.withColumn("output", stage.expression(F.col(column)))
+        return df.withColumn("output", (stage.attempt or stage.expression)(F.col(column)))
     schema = T.StructType([*df.schema.fields, T.StructField("output", stage.returns)])
     spread = df.repartition(tasks) if tasks else df
     return spread.mapInArrow(
@@ -383,6 +390,8 @@ def _spread_stage(
 def _expression_stage(df: DataFrame, number: int, stage: Stage) -> DataFrame:
     alive = F.col("success")
     fields = {f.name: F.lit(None).cast("bigint") for f in _stage_fields(number)}
+    if stage.attempt is not None:
+        return _attempted_stage(df, number, stage).withColumns(fields)
     return df.withColumns(
         {
             "_work": F.when(alive, F.transform("_work", stage.expression)),
@@ -392,6 +401,25 @@ def _expression_stage(df: DataFrame, number: int, stage: Stage) -> DataFrame:
     )
 
 
+def _attempted_stage(df: DataFrame, number: int, stage: Stage) -> DataFrame:
+    """An expression stage by its twin: requests with an input that has no answer fail, all others go on."""
+    alive = F.col("success")
+    failed = alive & F.exists(
+        F.arrays_zip(F.col("_work").alias("x"), F.col("_tried").alias("y")),
+        lambda pair: pair["x"].isNotNull() & pair["y"].isNull(),
+    )
+    tried = df.withColumn("_tried", F.when(alive, F.transform("_work", stage.attempt)))
+    judged = tried.withColumn("_failed", F.coalesce(failed, F.lit(False)))
+    return judged.withColumns(
+        {
+            "_work": F.when(alive & ~F.col("_failed"), F.col("_tried")),
+            "last_stage": F.when(alive, F.lit(number)).otherwise(F.col("last_stage")),
+            "error": F.when(F.col("_failed"), F.lit(f"an input has no answer in stage {stage.name!r}")).otherwise(F.col("error")),
+            "success": alive & ~F.col("_failed"),
+        }
+    ).drop("_tried", "_failed")
+
+
 def _numbered(stages: Sequence[Stage]) -> list[tuple[int, Stage]]:
     return [(number, stage.typed()) for number, stage in enumerate(stages)]
 
@@ -412,8 +440,8 @@ def chain(
     Adds ``outputs``, ``success``, ``last_stage``, ``error`` and, per stage k, the batch it was
     predicted in: ``stage{k}_batch_id``, ``_batch_inputs``, ``_started_us``, ``_ended_us``. If a stage
     raises, all requests of that batch fail there and no later stage sees them; so do they if an answer has
-    not the stage's type. An error in an expression stage ends the job, as in any other column. ``max_wait_us``
-    counts by ``time_column`` at every stage.
+    not the stage's type. An error in an expression stage ends the job, as in any other column, unless the stage
+    has an ``attempt``: then only the requests with such inputs fail. ``max_wait_us`` counts by ``time_column`` at every stage.
 
     By default all stages run in one pass with one task per queue, and building the plan runs nothing.
     ``spread`` gives the same answers when one queue is too much for a task: each stage's batches are numbered
