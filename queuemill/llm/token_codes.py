@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -188,16 +189,37 @@ MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 TOGETHER = 200
 
 
-def split_marks(word: str) -> tuple[str, str]:
-    """The word without the marks at its end, and those marks, where their ids are those of the two in turn.
+_AT_END = "".join("\\" + c for c in MARKS)
+#: Letters and digits that no normal form changes.
+STEADY = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]$"
+
+
+def split_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The words without the marks at their ends, and those marks, where their ids are those of the two in turn: where the
+    tokenizer's normal form of the word ends with a letter or digit (a combining mark joins the marks).
 
     Pure ASCII parts are lower-cased as the tokenizer does, unless they may hold a special token.
     """
-    base = word.rstrip(MARKS)
-    if not base or len(base) == len(word) or not base[-1].isalnum():
-        base = word
-    marks = word[len(base) :]
-    return (base.lower() if base.isascii() and "<|" not in base else base), marks
+    base = pc.utf8_rtrim(words, characters=MARKS)
+    cut = pc.less(pc.binary_length(base), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+    cut &= pc.greater(pc.binary_length(base), 0).to_numpy(zero_copy_only=False)
+    steady = pc.match_substring_regex(base, STEADY).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(cut & ~steady).tolist():
+        cut[i] = unicodedata.normalize("NFC", base[i].as_py()).lower()[-1].isalnum()
+    marks = pc.replace_substring_regex(words, f"(?s)^.*[^{_AT_END}]", "")
+    base = pc.if_else(pa.array(cut), base, words)
+    lower = pc.and_(pc.string_is_ascii(base), pc.invert(pc.match_substring(base, "<|")))
+    base = pc.if_else(lower, pc.ascii_lower(base), base)
+    return base, pc.if_else(pa.array(cut), marks, pa.scalar("", marks.type))
+
+
+def _gathered(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``pool[b : b + n]`` of all begins and sizes, one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    number = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    shift = (begins - (ends - sizes)).astype(number)
+    return pool[np.repeat(shift, sizes) + np.arange(total, dtype=number)]
 
 
 class Encoder:
@@ -240,25 +262,30 @@ class Encoder:
         """Ids of all texts, each followed by ``end_id``, and where each text ends."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct = [split_marks(w) for w in coded.dictionary.to_pylist()]
+        bases, marks = (part.dictionary_encode() for part in split_marks(coded.dictionary))
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        known = self.known
-        self._learn(list({part for both in distinct for part in both if part not in known}))
-        pieces = [known[base] + known[marks] if marks else known[base] for base, marks in distinct]
-        sizes = np.array([len(p) for p in pieces], np.int64) // 4
-        pool, begins = np.frombuffer(b"".join(pieces), np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+        parts = [text for part in (bases, marks) for text in part.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        self._learn(list({part for part in parts if part not in self.known}))
+        raw = [self.known[part] for part in parts]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begins = np.cumsum(lengths) - lengths
+        both = np.empty(2 * len(coded.dictionary), np.int64)  # a word is its base and its marks
+        both[0::2] = bases.indices.to_numpy()
+        both[1::2] = marks.indices.to_numpy() + len(bases.dictionary)
+        pool = _gathered(np.frombuffer(b"".join(raw), np.uint32), begins[both], lengths[both])
+        sizes = lengths[both[0::2]] + lengths[both[1::2]]
+        begins = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[which] if len(which) else np.zeros(0, np.int64)
+        counts = sizes[which]
         after = np.concatenate(([0], np.cumsum(counts)))
         total = int(after[-1])
-        from_pool = np.repeat(begins[which] - after[:-1], counts) + np.arange(total) if total else np.zeros(0, np.int64)
         offsets = words.offsets.to_numpy().astype(np.int64)
         ends = after[offsets[1:] - offsets[0]] + np.arange(1, len(texts) + 1)
         ids = np.full(total + len(texts), end_id, np.uint32)
         place = np.ones(len(ids), bool)
         place[ends - 1] = False
-        ids[place] = pool[from_pool]
+        ids[place] = _gathered(pool, begins[which], counts)
         return ids, ends
 
 

@@ -91,3 +91,25 @@ def test_odd_rows_in_small_files(odd_documents, odd_rows, clashing, no_documents
         sums = sorted(((r[0], *r[2:]) for r in got), key=str)
         assert sums == sorted(((r[0], *r[2:]) for r in expected([r[:2] for r in odd_rows])), key=str)
     assert C.token_index(no_documents, PATH).count() == 0
+
+
+def test_every_letter_and_digit_before_a_mark():
+    """Letters whose lower case or normal form ends with a combining mark stay joined with what follows."""
+    import sys
+    import unicodedata
+
+    tokenizer = Tokenizer.from_file(PATH)
+    encoder = C.Encoder(PATH)
+    characters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    solid = [c for c in characters if c.isalnum() or unicodedata.category(c)[0] == "M"]
+    changing = [c for c in solid if unicodedata.normalize("NFC", c).lower() != c]
+    words = [f"{c}{C.MARKS[i % len(C.MARKS)]}" for i, c in enumerate(solid)]
+    words += [f"a{c}{mark}" for c in changing for mark in C.MARKS[::4]]
+    words += ["TARİHİ.", "হয়য়,", "साफ़.", "שׁ!", "é.", "İ)", "≠=", "x≠", "́.", "...", "a..b.."]
+    for begin in range(0, len(words), 20_000):
+        part = words[begin : begin + 20_000]
+        ids, ends = encoder(pa.array(part, pa.large_string()), 1)
+        wanted = [w.ids for w in tokenizer.encode_batch(part, add_special_tokens=False)]
+        begins = np.concatenate(([0], ends[:-1]))
+        wrong = [w for w, b, e, right in zip(part, begins, ends, wanted) if ids[b : e - 1].tolist() != right]
+        assert wrong == []
