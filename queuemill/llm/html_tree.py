@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-TAG = re.compile(r"""<(?:(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|!--|[!?][^>]*>)""")
+TAG = re.compile(r"<(?:(/?)([A-Za-z][A-Za-z0-9:_-]*)|!--|[!?])")
+SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
 
@@ -78,57 +80,129 @@ def _start(tag: str, attributes: str, inside_article: bool) -> Node:
     return node
 
 
+class _TagEnds:
+    """Where tags end: at the first ``>`` outside quotes. Remembers what it has seen, so that all questions of a page
+    together take time in proportion to its length."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.begun, self.special = 0, -1  # the last search of a special character, and what it found
+        self.closing: dict[int, int] = {}
+        self.dead: set[int] = set()  # places outside quotes from which no end follows
+
+    def _special(self, at: int) -> int:
+        if not self.begun <= at <= self.special:
+            found = SPECIAL.search(self.source, at)
+            self.begun, self.special = at, found.start() if found else len(self.source)
+        return self.special
+
+    def __call__(self, at: int) -> int:
+        """The place of the ``>`` for a tag whose name ends at ``at``, or -1: then it is no tag."""
+        if at > self.last:
+            return -1
+        first = self._special(at)
+        here, passed = first, []
+        while here < len(self.source) and here not in self.dead:
+            if self.source[here] == ">":
+                return here
+            passed.append(here)
+            if here not in self.closing:
+                self.closing[here] = self.source.find(self.source[here], here + 1)
+            close = self.closing[here]
+            if close < 0:
+                break
+            found = SPECIAL.search(self.source, close + 1)
+            here = found.start() if found else len(self.source)
+        self.dead.update(passed)
+        return -1
+
+
+class _Open:
+    """The open elements, and what has to be known of them without looking through all."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.near = [0]  # for each, the place of the nearest one that is not inline
+        self.tags = Counter()
+        self.holders = 0
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.near.append(self.near[-1] if node.tag in INLINE else at)
+        self.nodes.append(node)
+        self.tags[node.tag] += 1
+        self.holders += node.holds_others
+
+    def cut(self, depth: int) -> None:
+        for node in self.nodes[depth:]:
+            self.tags[node.tag] -= 1
+            self.holders -= node.holds_others
+        del self.nodes[depth:], self.near[depth:]
+
+    def end(self, tag: str) -> None:
+        """An end tag: an inline one does not reach out of the element that is not inline around it."""
+        if not self.tags[tag]:
+            return
+        for depth in range(len(self.nodes) - 1, 0, -1):
+            if self.nodes[depth].tag == tag:
+                return self.cut(depth)
+            if tag in INLINE and self.nodes[depth].tag not in INLINE:
+                return
+
+    def imply_ends(self, tag: str) -> None:
+        while len(self.nodes) > 1:
+            depth = self.near[-1]
+            if not depth or tag not in ENDS.get(self.nodes[depth].tag, ()):
+                return
+            self.cut(depth)
+
+
 def parse(source: str) -> Node:
-    """The tree of a page. Comments go; unknown or unclosed tags are taken as they come."""
+    """The tree of a page. Comments go; unknown or unclosed tags are taken as they come; what looks like a tag but has no
+    end is text. Takes time in proportion to the length of the page, however it is nested."""
     root = Node("", "")
-    stack = [root]
-    at = 0
-    articles = 0
+    held, ends = _Open(root), _TagEnds(source)
+    at = looked = 0
     while True:
-        found = TAG.search(source, at)
-        text = source[at : found.start() if found else len(source)]
-        if text:
-            stack[-1].items.append(text)
+        found = TAG.search(source, looked)
         if not found:
+            if at < len(source):
+                held.nodes[-1].items.append(source[at:])
             return root
-        at = found.end()
-        tag = found[2]
+        looked, tag = found.end(), found[2]
+        if tag is not None:
+            close = ends(looked)
+        elif source.startswith("<!--", found.start()):
+            close = source.find("-->", found.start() + 2) + 2
+            close = len(source) if close < 2 else close
+        else:
+            close = source.find(">", looked) if looked <= ends.last else -1
+        if close < 0:
+            continue
+        if found.start() > at:
+            held.nodes[-1].items.append(source[at : found.start()])
+        attributes = source[looked:close]
+        at = looked = close + 1
         if tag is None:
-            if source.startswith("<!--", found.start()):
-                end = source.find("-->", found.start() + 2)
-                at = len(source) if end < 0 else end + 3
             continue
         tag = tag.lower()
         if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    articles -= sum(node.tag == "article" for node in stack[depth:])
-                    del stack[depth:]
-                    break
-                if tag in INLINE and stack[depth].tag not in INLINE:
-                    break
+            held.end(tag)
             continue
-        while len(stack) > 1:
-            depth = len(stack) - 1
-            while depth > 0 and stack[depth].tag in INLINE:
-                depth -= 1
-            if depth and tag in ENDS.get(stack[depth].tag, ()):
-                del stack[depth:]
-            else:
-                break
-        node = _start(tag, found[3], articles > 0)
-        if tag in ("article", "main") and not node.apart and not any(n.holds_others for n in stack):
-            for n in stack:  # a class such as "with-sidebar" around the article says nothing about it
+        held.imply_ends(tag)
+        node = _start(tag, attributes, held.tags["article"] > 0)
+        if tag in ("article", "main") and not node.apart and not held.holders:
+            for n in held.nodes:  # a class such as "with-sidebar" around the article says nothing about it
                 n.apart = n.apart and not n.by_words
-        stack[-1].items.append(node)
+        held.nodes[-1].items.append(node)
         if tag in RAW:
             end = re.compile(f"(?i)</{tag}").search(source, at)
-            at = len(source) if end is None else end.start()
-            close = source.find(">", at)
-            at = len(source) if end is None or close < 0 else close + 1
-        elif tag not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append(node)
-            articles += tag == "article"
+            begin = len(source) if end is None else end.start()
+            close = source.find(">", begin)
+            at = looked = len(source) if end is None or close < 0 else close + 1
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+            held.push(node)
 
 
 def blocks(node: Node) -> list[str]:

@@ -31,6 +31,9 @@ BROADCAST_BYTES = 32 << 20
 #: Share of the slots' text that a region must hold to be entered.
 MOST = 0.6
 
+#: Wrappers tell elements apart down to this depth; the text of deeper ones counts to the element there, none is lost.
+DEPTH = 150
+
 # A skeleton node: [name, repeated, optional, children]. A group of neighbours that repeats has the name "()".
 
 
@@ -91,25 +94,30 @@ def fold(nodes: list) -> list:
 
 
 def skeleton(page: Node) -> list:
-    """Children of a page as skeleton nodes, without inline elements and parts that stand apart."""
+    """Children of a page as skeleton nodes, without inline elements and parts that stand apart, ``DEPTH`` levels deep."""
 
-    def inner(node: Node) -> list:
+    def inner(node: Node, depth: int) -> list:
         found = []
         for item in node.items:
             if isinstance(item, str) or item.tag in INLINE or item.tag == "br":
                 continue
-            found.append([item.name, 0, 0, [] if item.apart else inner(item)])
+            found.append([item.name, 0, 0, [] if item.apart or depth >= DEPTH else inner(item, depth + 1)])
         return fold(found)
 
-    return inner(page)
+    return inner(page, 1)
 
 
 def slots(page: Node) -> dict[str, list[str]]:
-    """Texts by path of names, own text of each element only."""
+    """Texts by path of names, own text of each element only; below ``DEPTH`` levels that of all it holds."""
     found: dict[str, list[str]] = {}
-    todo = [(page, "")]
+    todo = [(page, "", 0)]
     while todo:
-        node, path = todo.pop()
+        node, path, depth = todo.pop()
+        if depth >= DEPTH:
+            text = " ".join(" ".join(blocks(node)).split())
+            if text:
+                found.setdefault(path, []).append(text)
+            continue
         own = []
         for item in node.items:
             if isinstance(item, str):
@@ -117,7 +125,7 @@ def slots(page: Node) -> dict[str, list[str]]:
             elif item.tag in INLINE:
                 own += blocks(item)
             elif not item.apart:
-                todo.append((item, f"{path}/{item.name}"))
+                todo.append((item, f"{path}/{item.name}", depth + 1))
         text = " ".join(" ".join(own).split())
         if text:
             found.setdefault(path, []).append(text)

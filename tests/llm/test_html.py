@@ -3,6 +3,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import time
 
 import pytest
 
@@ -118,3 +119,28 @@ def test_query_finds_the_articles(spark):
     for row in got:
         assert row["text"] == article(pages[row["page_id"]]["html"])
         assert row["url"] == pages[row["page_id"]]["url"] and row["n_chars"] == len(row["text"])
+
+
+def test_deep_and_broken_pages_end_no_job(spark):
+    """Ten thousand nested elements, a megabyte of tags without ends, beside an ordinary page of the same host."""
+    deep = "<div>" * 10_000 + "at the bottom" + "</div>" * 10_000
+    inline = "<b>" * 10_000 + "bold"
+    broken = ["<b " * 350_000, '<a x="' * 170_001 + ">", "<!x" * 300_000, "</z>" * 200_000, "<" * 500_000]
+    sound = "<html><body><nav>menu</nav><article><p>One.</p><p>Two.</p></article></body></html>"
+    rows = [(i, "https://h.example/x", source) for i, source in enumerate([deep, inline, *broken, sound])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    begun = time.monotonic()
+    found = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert time.monotonic() - begun < 120
+    assert found[0] == "at the bottom" and found[1] == "bold"
+    assert found[len(rows) - 1] == "One.\nTwo."
+    alone = spark.createDataFrame([(1, "https://deep.example/", deep), (2, "https://deep.example/", deep.replace("bottom", "end"))], pages.schema)
+    assert [r.text for r in H.extract(alone).orderBy("page_id").collect()] == ["at the bottom", "at the end"]
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<b one", "<b one"), ("a<b c>d</b>", "ad"), ('<a x=">">y</a>', "y"), ('<a x="y>z', '<a x="y>z'), ("x <!-- <p> y", "x"),
+    ("<p a='>' b=\">\">t", "t"), ("1 < 2 > 0", "1 < 2 > 0"), ("<!doctype html>t", "t"), ("<!x", "<!x"), ("a<br/>b", "a b"),
+])
+def test_what_is_a_tag(source, text):
+    assert text_of(source) == text
