@@ -2,8 +2,9 @@
 
 The windows of all items (ten words, or the whole of a shorter item) form a hash table that is broadcast
 in blocks of ``MAX_BLOCK`` windows at most; a larger benchmark takes more passes over the documents, never
-a larger broadcast. Each document window is looked up by hash and every hit is verified word by word. Texts
-are never shuffled for the scan: only hits and one short row per document are.
+a larger broadcast. Each document window is looked up by hash and every hit is verified word by word. A text is scanned
+in pieces of ``PIECE`` windows, which overlap by the words that a window may reach over, so the work grows with its length
+and no more. Texts are never shuffled for the scan: only hits and one short row per document are.
 
 Rows of one id with different texts are different documents; equal rows share one result. NULL texts have
 no words, items without words no windows. An item whose id is NULL counts for hits, but not as an item.
@@ -21,6 +22,8 @@ from queuemill.llm.text import ascii_lower, text_key
 WINDOW = 10
 #: Windows in one broadcast table: at about 300 bytes each, some 60 MB.
 MAX_BLOCK = 200_000
+#: Windows that begin in one piece of a text. Every window's row holds its piece until it has been looked up.
+PIECE = 512
 
 #: What separates words: ASCII other than letters and digits (in a lower-cased text, and in any text).
 GAP_LOWER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -65,33 +68,41 @@ def scan(
     words = docs.select(
         F.col(id_col).alias("doc_id"),
         text_key(F.col(text_col)).alias("text_key"),
-        item_words(F.col(text_col)).alias("_words"),
-    ).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+        item_words(F.col(text_col)).alias("_all"),
+    )
+    begins = F.sequence(F.lit(0), F.greatest(F.size("_all") - 1, F.lit(0)), F.lit(PIECE))
+    piece = lambda i: F.struct(i.alias("base"), F.slice("_all", i + 1, F.lit(PIECE + WINDOW - 1)).alias("words"))
+    pieces = words.select(
+        "doc_id", "text_key", F.size("_all").alias("_n"), F.explode(F.transform(begins, piece)).alias("_p")
+    ).select("doc_id", "text_key", "_n", F.col("_p.base").alias("_base"), F.col("_p.words").alias("_words"))
+    pieces = pieces.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
 
     def at(i: Column, width: int | Column, hashed: Column) -> Column:
         return F.struct(i.cast("int").alias("at"), F.lit(width).alias("width"), hashed.alias("hash"))
 
     def windows(width: int) -> Column:
-        starts = F.sequence(F.lit(0), F.size("_hashes") - width)
+        starts = F.sequence(F.lit(0), F.least(F.size("_hashes") - width, F.lit(PIECE - 1)))
         one = lambda i: at(i, width, F.xxhash64(F.slice("_hashes", i + 1, F.lit(width))))
         return F.when(F.size("_hashes") >= width, F.transform(starts, one)).otherwise(F.array())
 
     #: Stands for the document itself, so that documents without hits stay; its width is the word count.
-    whole = F.array(at(F.lit(-1), F.size("_words"), F.lit(None).cast("bigint")))
+    one_row = F.array(at(F.lit(-1), F.col("_n"), F.lit(None).cast("bigint")))
+    whole = F.when(F.col("_base") == 0, one_row).otherwise(F.array())
 
     def block(number: int) -> DataFrame:
         table = F.broadcast(grams.filter(F.pmod("gram_hash", F.lit(blocks)) == number))
         every = F.concat(whole, *(windows(width) for width in widths))
-        rows = words.select("doc_id", "text_key", "_words", F.explode(every).alias("_w"))
+        rows = pieces.select("doc_id", "text_key", "_base", "_words", F.explode(every).alias("_w"))
         same = (F.col("_w.hash") == F.col("gram_hash")) & (
             F.slice("_words", F.greatest("_w.at", F.lit(0)) + 1, F.col("_w.width")) == F.col("gram")
         )
         keep = F.col("gram").isNotNull() | (F.col("_w.at") < 0)
-        return rows.join(table, same, "left").filter(keep).select("doc_id", "text_key", "_w", "items")
+        return rows.join(table, same, "left").filter(keep).select("doc_id", "text_key", "_base", "_w", "items")
 
     found = reduce(DataFrame.unionAll, (block(number) for number in range(blocks)))
     hit = F.col("_w.at") >= 0
-    covered = F.sequence("_w.at", F.col("_w.at") + F.col("_w.width") - 1)
+    first = F.col("_base") + F.col("_w.at")
+    covered = F.sequence(first, first + F.col("_w.width") - 1)
     return (
         found.groupBy("doc_id", "text_key")
         .agg(

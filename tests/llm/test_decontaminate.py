@@ -76,3 +76,30 @@ def test_removal(clashing, odd_rows, benchmark):
     assert spans[1] == " ".join(first[:5] + first[25:40] + first[50:])
     with pytest.raises(ValueError):
         decontaminate.remove(clashing, frame, mode="lines")
+
+
+@pytest.mark.parametrize("piece", [1, 7, 10, 512])
+def test_windows_across_the_borders_of_pieces(spark, monkeypatch, piece):
+    """A long text is scanned in pieces; windows that begin in one and end in another are found once."""
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    items = [(1, " ".join(f"q{i}" for i in range(13))), (2, "two words"), (3, "alone"), (None, "q5 q6 q7 q8 q9 q10 q11 q12 q13 q14")]
+    filler = [f"f{i % 83}" for i in range(1_300)]
+    for at in (0, 3, 505, 511, 512, 521, 1_020, 1_285):
+        filler[at : at + 15] = [f"q{i}" for i in range(15)]
+    for at in (40, 600):
+        filler[at : at + 3] = ["two", "words", "alone"]
+    texts = [" ".join(filler), " ".join(filler[:9]), "alone", None, "", " ".join(filler[500:530])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, benchmark).collect()}
+    for doc_id, text in enumerate(texts):
+        words, hit, named = (text or "").split(), set(), set()
+        for item_id, item in items:
+            own = item.split()
+            width = min(10, len(own))
+            for k in range(len(own) - width + 1):
+                for i in range(len(words) - width + 1):
+                    if words[i : i + width] == own[k : k + width]:
+                        hit |= set(range(i, i + width))
+                        named |= {item_id} - {None}
+        assert found[doc_id] == (len(words), len(hit), len(named))
