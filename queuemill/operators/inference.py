@@ -34,10 +34,11 @@ from queuemill.operators.packing import (
     sorted_by_queue,
 )
 from queuemill.operators.ordering import ordered_segments
-from queuemill.session import shuffle_partitions
+from queuemill.session import cut_lineage, shuffle_partitions
 
 Predictor = Callable[..., Sequence[Any]]
 NO_INPUTS = "no inputs"
+HOT_REQUESTS = 50_000  # a queue of so few is soon done by one task; sorting and storing it first costs more
 
 
 def _type(returns: T.DataType | str) -> T.DataType:
@@ -432,7 +433,7 @@ def chain(
     time_column: str = "received_us",
     request_id: str = "request_id",
     admit: Column | None = None,
-    spread: bool = False,
+    spread: bool | None = None,
     tasks: int | None = None,
 ) -> DataFrame:
     """Run every request's ``inputs`` through the stages; stage k reads what stage k-1 answered.
@@ -443,10 +444,12 @@ def chain(
     not the stage's type. An error in an expression stage ends the job, as in any other column, unless the stage
     has an ``attempt``: then only the requests with such inputs fail. ``max_wait_us`` counts by ``time_column`` at every stage.
 
-    By default all stages run in one pass with one task per queue, and building the plan runs nothing.
-    ``spread`` gives the same answers when one queue is too much for a task: each stage's batches are numbered
-    in a global order and spread over all tasks. Its rows are stored before every stage, so earlier stages run
-    while the plan is built. ``tasks`` is the number of tasks of both (the session's shuffle partitions).
+    Without ``spread`` all stages run in one pass with one task per queue, and building the plan runs nothing.
+    With it one queue may be more than a task can take: each stage's batches are numbered in a global order and
+    spread over all tasks. Its rows are stored before every stage, so earlier stages run while the plan is built.
+    The answers are the same. By default (None) requests are counted by queue, and those of hot queues
+    (:func:`hot_queues`) are spread, all others go in one pass. ``tasks`` is the number of tasks of both (the
+    session's shuffle partitions).
 
     Rows for which ``admit`` is not true pass by every stage (``success`` false, ``last_stage`` -1), so
     refused requests need no second read of the source. An empty list is answered at once with success and
@@ -456,7 +459,36 @@ def chain(
     admitted = F.lit(True) if admit is None else F.coalesce(admit, F.lit(False))
     tasks = tasks or shuffle_partitions(df.sparkSession)
     work = _begun(df, admitted)
-    for python, group in groupby(_numbered(stages), lambda item: item[1].expression is None):
+    numbered = _numbered(stages)
+    if spread is None and not df.isStreaming and any(stage.expression is None for _, stage in numbered):
+        hot = hot_queues(df, key, tasks)
+        if not hot.isEmpty():
+            same = work[key].eqNullSafe(hot["_hot"])
+            parts = [
+                _through(work.join(F.broadcast(hot), same, how), numbered, rule, tasks, how == "left_semi")
+                for how in ("left_semi", "left_anti")  # fewer hot queues than tasks
+            ]
+            return _answered(parts[0].unionByName(parts[1]))
+    return _answered(_through(work, numbered, rule, tasks, bool(spread)))
+
+
+def hot_queues(df: DataFrame, key: str, tasks: int, least: int | None = None) -> DataFrame:
+    """Queues (``_hot``) with more requests than an equal share for each of ``tasks`` tasks, so fewer than those.
+
+    Queues of up to ``least`` requests (``HOT_REQUESTS``) are never hot. Reads the key column alone, counted
+    before it is shuffled; the counts are stored.
+    """
+    least = HOT_REQUESTS if least is None else least
+    counts = cut_lineage(df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_requests")))
+    share = counts.agg(F.sum("_requests") / tasks).scalar()
+    return counts.filter((F.col("_requests") > share) & (F.col("_requests") > least)).select("_hot")
+
+
+def _through(
+    work: DataFrame, stages: list[tuple[int, Stage]], rule: PackRule, tasks: int, spread: bool
+) -> DataFrame:
+    """Rows after all stages, either spread or in one pass per run of Python stages."""
+    for python, group in groupby(stages, lambda item: item[1].expression is None):
         members = list(group)
         if not python:
             for number, stage in members:
@@ -466,7 +498,7 @@ def chain(
                 work = _spread_stage(work, number, stage, rule, tasks)
         else:
             work = _python_stages(work, members, rule, tasks)
-    return _answered(work)
+    return work
 
 
 def _begun(df: DataFrame, admitted: Column) -> DataFrame:

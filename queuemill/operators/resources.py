@@ -79,7 +79,10 @@ def rolling_stats(
 
 
 def latest_by_role(samples: DataFrame, values: Sequence[str], rolled: DataFrame) -> DataFrame:
-    """Per role the newest tick: ``n_pids``, ``current`` numbers and their rolling ``stats``."""
+    """Per role the newest tick: ``n_pids``, the sorted ``pids``, ``current`` numbers and their rolling ``stats``.
+
+    The ids in one row are those of one tick, so there are no more of them than a kernel gives out, 2**22.
+    """
     parts = [
         F.struct(
             F.col(f"{v}_min").alias("min"), F.col(f"{v}_max").alias("max"),
@@ -93,7 +96,9 @@ def latest_by_role(samples: DataFrame, values: Sequence[str], rolled: DataFrame)
             "ts",
         ).alias("_last")
     )
-    counted = running_pids(samples).groupBy("role").agg(F.count(F.lit(1)).alias("n_pids"))
+    counted = running_pids(samples).groupBy("role").agg(
+        F.count(F.lit(1)).alias("n_pids"), F.sort_array(F.collect_list("pid")).alias("pids")
+    )
     return newest.select(
         "role", "_last.ts", F.col("_last.current").alias("current"), F.col("_last.stats").alias("stats")
     ).join(counted, "role")

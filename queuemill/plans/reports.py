@@ -380,10 +380,11 @@ def rolling_stats(t: Tables) -> DataFrame:
     "a8_resource_snapshot_json",
     f"""with {ROLLED_SQL}, newest as (select * from rolled where (role, ts) in
         (select (role, max(ts)) from samples group by role)),
-      pids as (select role, count(distinct pid) as n from samples where (role, ts) in
-        (select (role, max(ts)) from samples group by role) group by role)
+      pids as (select role, count(distinct pid) as n, min(pid) as first, string_agg(distinct pid, ',' order by pid)
+        as ids from samples where (role, ts) in (select (role, max(ts)) from samples group by role) group by role)
       select g.name, case when n.role is null then 'not_running' else 'running' end as status,
-        p.n as n_pids, round(n.cpu, 4) as cpu, round(n.ram_mb_max, 4) as ram_mb_max
+        p.n as n_pids, case when g.role = 'loop' then p.first end as pid,
+        case when g.role <> 'loop' then '[' || p.ids || ']' end as pids, round(n.cpu, 4) as cpu, round(n.ram_mb_max, 4) as ram_mb_max
       from (values ('loop', 'loop_process'), ('rest', 'rest_processes'), ('none', 'other_processes'))
         as g(role, name) left join newest n on n.role = g.role left join pids p on p.role = g.role""",
 )
@@ -394,7 +395,7 @@ def resource_snapshot(t: Tables) -> DataFrame:
     latest = J.latest_by_role(samples, values, rolled)
     groups = {"loop": "loop_process", "rest": "rest_processes", "none": "other_processes"}
     stamp = F.date_format(F.timestamp_micros(F.lit(AS_OF_US)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    document = resource_snapshot_json(latest, groups, stamp)
+    document = resource_snapshot_json(latest, groups, stamp, single=["loop"])
     names = F.explode(F.array(*[F.lit(name) for name in groups.values()]))
 
     def part(path: str, kind: str):
@@ -402,6 +403,7 @@ def resource_snapshot(t: Tables) -> DataFrame:
 
     return document.select("json", names.alias("name")).select(
         "name", part(".status", "string").alias("status"), part(".n_pids", "bigint").alias("n_pids"),
+        part(".pid", "bigint").alias("pid"), part(".pids", "string").alias("pids"),
         F.round(part(".current.cpu", "double"), 4).alias("cpu"),
         F.round(part(".stats.ram_mb.max", "double"), 4).alias("ram_mb_max"),
     )

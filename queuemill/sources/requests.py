@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from queuemill.operators.ordering import global_index
+from queuemill.session import stored
 from queuemill.sources.arrays import read_array_elements
 
-BROADCAST_FILES = 100_000  # paths and numbers of that many files are some tens of megabytes
-
 
 def read_requests_json(df: DataFrame, payload: str = "payload", name: str = "inputs") -> DataFrame:
     """Parse the JSON text of each request into a ``variant``; ``{"data": X}`` is unwrapped to X.
@@ -40,18 +39,15 @@ def read_binary_requests(
 ) -> DataFrame:
     """Files as inputs, in path order; answer i goes to ``output_file_{i+1}``.
 
-    Names are numbered from the file listing alone, so the contents never take part in the sort. A listing
-    of up to ``BROADCAST_FILES`` files is broadcast, and the contents then stay where they are read; the
-    contents of more files travel once, to be joined with it.
+    Names are numbered from the file listing alone, so the contents never take part in the sort. The numbers are
+    stored as a table, whose size the planner knows: up to its broadcast threshold the contents stay where they are
+    read, beyond it they travel once, to be joined.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
-    paths = files.select("path")
-    numbered = global_index(paths, ["path"], name="index")
-    if paths.count() <= BROADCAST_FILES:
-        numbered = F.broadcast(numbered)
+    numbered = stored(global_index(files.select("path"), ["path"], name="index"), "file-numbers")
     return files.join(numbered, "path").select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,30 +80,40 @@ def write_report_json(
     ).write.mode(mode).text(path)
 
 
-def resource_snapshot_json(latest: DataFrame, groups: dict[str, str], timestamp: Column) -> DataFrame:
+def resource_snapshot_json(
+    latest: DataFrame, groups: dict[str, str], timestamp: Column, single: Collection[str] = ()
+) -> DataFrame:
     """One JSON document over the given process groups; an absent group is ``not_running``.
 
-    ``latest`` has at most one row per role with ``n_pids`` and the structs ``current`` and
+    ``latest`` has at most one row per role with ``n_pids``, ``pids`` and the structs ``current`` and
     ``stats`` (see :func:`queuemill.operators.resources.latest_by_role`); ``groups`` maps a role to
-    its name in the document. The process ids themselves stay rows (``running_pids``).
+    its name in the document. A group lists its process ids in ``pids``; one of the roles in ``single`` is run as one
+    process and has ``pid``, the smallest, instead. The document holds the ids of one tick, 2**22 a role at most.
     """
+    fields = ("n_pids", "pids", "current", "stats")
     found = latest.agg(
         *[
             F.max_by(
-                F.when(F.col("role") == role, F.struct("n_pids", "current", "stats")),
+                F.when(F.col("role") == role, F.struct(*fields)),
                 F.when(F.col("role") == role, F.lit(1)),
             ).alias(name)
             for role, name in groups.items()
         ]
     )
+
+    def ids(role: str, name: str) -> Column:
+        pids = F.col(f"{name}.pids")
+        return F.get(pids, 0).alias("pid") if role in single else pids.alias("pids")
+
     parts = [
         F.struct(
             F.col(f"{name}.n_pids").alias("n_pids"),
+            ids(role, name),
             F.when(F.col(name).isNull(), "not_running").otherwise("running").alias("status"),
             F.col(f"{name}.current").alias("current"),
             F.col(f"{name}.stats").alias("stats"),
         ).alias(name)
-        for name in groups.values()
+        for role, name in groups.items()
     ]
     return found.select(
         F.to_json(F.struct(timestamp.alias("timestamp"), *parts)).alias("json")

@@ -82,12 +82,28 @@ def test_hot_queues_give_the_same_answers(tables):
     )
     columns = ["request_id", "success", "last_stage", "stage0_batch_id", "stage1_batch_id", "outputs"]
     stages = [DOUBLE, SUCCESSOR, I.Stage.from_expression(lambda x: x * 10, "int")]
-    one = I.chain(hot_tables, stages, SIX_HOURS_US).select(columns)
+    one = I.chain(hot_tables, stages, SIX_HOURS_US, spread=False).select(columns)
     spread = I.chain(hot_tables, stages, SIX_HOURS_US, spread=True).select(columns)
     assert one.exceptAll(spread).count() == 0 and spread.exceptAll(one).count() == 0
     assert spread.count() == hot_tables.count()
 
 
+def test_counted_hot_queues_are_spread_by_default(tables, monkeypatch):
+    monkeypatch.setattr(I, "HOT_REQUESTS", 10)
+    lane = F.when(F.col("queue_key") % 3 != 0, F.col("queue_key"))  # the hot queue has no name
+    requests = tables.numbered_requests.withColumn("queue_key", lane)
+    total = requests.count()
+    shares = {r[0]: r[1] for r in requests.groupBy("queue_key").count().collect()}
+    hot = [r[0] for r in I.hot_queues(requests, "queue_key", 8).collect()]
+    assert set(hot) == {q for q, n in shares.items() if 8 * n > total and n > 10} and None in hot
+    assert I.hot_queues(requests, "queue_key", 8, least=total).isEmpty()
+    stages = [DOUBLE, SUCCESSOR, I.Stage.from_expression(lambda x: x * 10, "int")]
+    columns = ["request_id", "success", "last_stage", "stage0_batch_id", "stage1_batch_id", "outputs"]
+    one = I.chain(requests, stages, SIX_HOURS_US, spread=False).select(columns)
+    default = I.chain(requests, stages, SIX_HOURS_US).select(columns)
+    assert one.exceptAll(default).count() == 0 and default.exceptAll(one).count() == 0
+
+
 def test_not_admitted_rows_pass_by(requests):
     scored = I.chain(
         requests, [I.Stage.from_function(plus_one, "int", 8)], admit=F.col("received_us") % 2 == 0

@@ -145,6 +145,18 @@ def test_absent_group_is_not_running(spark, tables):
     assert parsed["g"] == {"status": "not_running"} and parsed["l"]["status"] == "running"
 
 
+def test_snapshot_names_the_processes_of_the_newest_tick(spark):
+    rows = [("rest", 1, 9), ("rest", 2, 12), ("rest", 2, 4), ("rest", 2, 7), ("loop", 2, 5), ("loop", 1, 6)]
+    samples = spark.createDataFrame([(*r, 1.5, 1024) for r in rows], "role string, ts long, pid long, cpu double, ram_kb long")
+    rolled = J.rolling_stats(J.sum_by_role(samples), ["cpu"])
+    latest = J.latest_by_role(samples, ["cpu"], rolled)
+    groups = {"loop": "loop_process", "rest": "rest_processes", "gone": "other"}
+    parsed = json.loads(sinks.resource_snapshot_json(latest, groups, F.lit("now"), single=["loop", "gone"]).first().json)
+    assert parsed["rest_processes"]["pids"] == [4, 7, 12] and parsed["rest_processes"]["n_pids"] == 3
+    assert parsed["loop_process"]["pid"] == 5 and "pids" not in parsed["loop_process"]
+    assert parsed["other"] == {"status": "not_running"}
+
+
 def test_binary_files_are_numbered_in_path_order(spark, tmp_path):
     for name in ("b.png", "a.txt", "noext"):
         (tmp_path / name).write_bytes(name.encode())
@@ -156,6 +168,24 @@ def test_binary_files_are_numbered_in_path_order(spark, tmp_path):
     assert bytes(rows[0].content) == b"a.txt"
 
 
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_files_are_numbered_whatever_join_the_planner_takes(spark, tmp_path, threshold):
+    for number in range(30):
+        (tmp_path / f"{number:02}.bin").write_bytes(bytes([number]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        files = R.read_binary_requests(spark, str(tmp_path))
+        plan = files._jdf.queryExecution().executedPlan().toString()
+        rows = files.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("BroadcastHashJoin" in plan) == (threshold == "10MB")
+    assert sorted((r.output_name, bytes(r.content)) for r in rows) == sorted(
+        (f"output_file_{n + 1}", bytes([n])) for n in range(30)
+    )
+
+
 def test_array_file_gives_inputs_of_any_kind(spark, tmp_path):
     (tmp_path / "inputs.json").write_text('[1, "two", {"three": [3]}, null]')
     rows = R.read_request_array_file(spark, str(tmp_path / "inputs.json")).orderBy("pos")
