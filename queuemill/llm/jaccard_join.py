@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -515,6 +516,20 @@ def near_duplicates(
     Ids are whole numbers; rows of one id are rows of their own, and a component whose ids are all NULL
     has a NULL id. Empty and NULL texts have an empty set and link with nothing.
     """
+    steps = joined(docs, text_col, id_col, width, percent)
+    return _named(steps.found, steps.labels)
+
+
+class Joined(NamedTuple):
+    """Stored steps of the join: documents, sets that may link, their index lists, components of linked sets."""
+
+    found: DataFrame
+    sets: DataFrame
+    lists: DataFrame
+    labels: DataFrame
+
+
+def joined(docs: DataFrame, text_col: str, id_col: str, width: int, percent: int) -> Joined:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_key", text_key(F.col("text")))
     found = stored(documents_and_hot(rows, width), "jaccard-documents")
@@ -526,7 +541,7 @@ def near_duplicates(
     rest = stored(rest_links(sets, open_blocks(members, percent), percent), "jaccard-links")
     if not rest.isEmpty():
         labels = components(first.unionAll(rest))
-    return _named(found, labels)
+    return Joined(found, sets, lists, labels)
 
 
 def _named(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuemill.llm import decontaminate, html_wrappers, jaccard_join, line_runs, mixing, quality, secret_forest, sentence_spans, token_codes, warc
-from queuemill.llm import differencing, hilbert_blocks, spelling_variants
+from queuemill.llm import differencing, hilbert_blocks, set_links, spelling_variants
 from queuemill.llm.tables import ORACLES, QUERIES, query, table
 from queuemill.session import stored
 
@@ -72,8 +72,8 @@ def token_codes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_jaccard_join")
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"))
+    found, _ = set_links.jaccard_join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"), "n_links")
 
 
 @query("op11_spelling_variants", spelling_variants.SQL)
