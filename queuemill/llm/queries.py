@@ -72,7 +72,7 @@ def token_codes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_jaccard_join")
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = set_links.jaccard_join(table(spark, sf_dir, "documents"))
+    found = set_links.jaccard_join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"), "n_links")
 
 

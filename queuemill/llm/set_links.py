@@ -11,19 +11,24 @@ is compared as a whole, so that no link between two classes is lost:
    moving from set z to set x, an overlap with y falls by at most ``|z - x|`` and grows by at most ``|x - z|``. Overlaps
    are kept as intervals; an answer that the interval decides is taken as it is, the others are compared.
 
+3. Two sets may meet in the lists of several leaders. They count in those of the least leader only: sets that share
+   a prefix shingle whose list has a lesser leader are left out before anything is compared, so no pair has to be
+   told apart later and a task sends on one number per set.
+
 Classes are documents of equal sets, so copies are never expanded; a document's links are the copies of all classes
-that its own links with, and the other copies of its own. A group of m *different* sets that all link has m * m / 2 links,
-and so many rows of ``class_pairs``: that is the size of the answer.
+that its own links with, and the other copies of its own. Links are counted where they are found; ``class_pairs`` lists them
+for those who want them, as many rows as there are links between different sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from queuemill.llm import jaccard_join as J
@@ -75,11 +80,12 @@ def block_pairs(members: DataFrame, percent: int = J.PERCENT, block_sets: int =
 
 def block_links(
     names: np.ndarray, n: np.ndarray, component: np.ndarray, asks: np.ndarray, held: np.ndarray,
-    spots: tuple, sets: tuple, percent: int,
+    spots: tuple, sets: tuple, earlier: tuple, percent: int,
 ) -> tuple[np.ndarray, np.ndarray]:
     """All links of those that ask with those held (places of sets); two that both do both meet once.
 
-    ``spots`` and ``sets`` are flat: offsets, then values (shingles and positions; shingles).
+    ``spots``, ``sets`` and ``earlier`` are flat: offsets, then values (shingles and positions; shingles; prefix
+    shingles of lesser leaders). Sets that share one of ``earlier`` meet elsewhere.
     """
     n = n.astype(np.int64)
     spot_offsets, spot_shingles, spot_pos = spots
@@ -89,6 +95,8 @@ def block_links(
     lists = J.Lists(spot_shingles[inside], spot_pos[inside], owner[inside], n[owner[inside]])
     distinct, codes = np.unique(values, return_inverse=True)
     mine = np.zeros(len(distinct), bool)
+    early_offsets, early = earlier[0], np.unique(earlier[1], return_inverse=True)[1]
+    elsewhere = np.zeros(len(early), bool)
     low, high = np.zeros(len(n), np.int64), np.full(len(n), UNKNOWN, np.int64)  # overlap with ``last``
     last = None
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -96,6 +104,14 @@ def block_links(
         entries = slice(spot_offsets[x], spot_offsets[x + 1])
         there = lists.candidates(spot_shingles[entries], spot_pos[entries], int(n[x]), percent)
         there = there[~(asks[there] & held[x]) | (names[there] < names[x])]
+        ours = early[early_offsets[x] : early_offsets[x + 1]]
+        if len(ours) and len(there):
+            elsewhere[ours] = True
+            lengths = early_offsets[there + 1] - early_offsets[there]
+            hits = elsewhere[early[J._expand(early_offsets[there], lengths)]]
+            met = np.bincount(np.repeat(np.arange(len(there)), lengths)[hits], minlength=len(there))
+            elsewhere[ours] = False
+            there = there[met == 0]
         if not len(there):
             continue
         own = codes[offsets[x] : offsets[x + 1]]
@@ -124,48 +140,86 @@ def block_links(
     return tuple(np.concatenate(side) for side in zip(*found))
 
 
-def _linker(percent: int) -> Callable:
+def _found_in(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a pair of blocks, and the places of those that link."""
+    offsets, values = J._flat(table["shingles"])
+    spot_offsets, spots = J._flat(table["spots"])
+    spots = (spot_offsets, spots.field(0).to_numpy(), spots.field(1).to_numpy().astype(np.int64))
+    first_offsets, firsts = J._flat(table["firsts"])
+    less = firsts.field(1).to_numpy() < table["lead"][0].as_py()
+    earlier = (np.concatenate(([0], np.cumsum(less)))[first_offsets], firsts.field(0).to_numpy()[less])
+    sig, n, component, asks, held = (table[name].to_numpy() for name in ("sig", "n", "component", "asks", "held"))
+    sets = (offsets, values.to_numpy())
+    return sig, *block_links(sig, n, component, asks, held, spots, sets, earlier, percent)
+
+
+def _pairs(percent: int) -> Callable:
     def link(table: pa.Table) -> pa.Table:
-        offsets, values = J._flat(table["shingles"])
-        spot_offsets, spots = J._flat(table["spots"])
-        spots = (spot_offsets, spots.field(0).to_numpy(), spots.field(1).to_numpy().astype(np.int64))
-        sig, n, component, asks, held = (
-            table[name].to_numpy() for name in ("sig", "n", "component", "asks", "held")
-        )
-        one, two = block_links(sig, n, component, asks, held, spots, (offsets, values.to_numpy()), percent)
+        sig, one, two = _found_in(table, percent)
         a, b = np.minimum(sig[one], sig[two]), np.maximum(sig[one], sig[two])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return link
 
 
-def class_pairs(
-    sets: DataFrame, lists: DataFrame, labels: DataFrame, percent: int = J.PERCENT, block_sets: int | None = None
-) -> DataFrame:
+def _counts(percent: int) -> Callable:
+    def link(table: pa.Table) -> pa.Table:
+        sig, one, two = _found_in(table, percent)
+        copies = table["copies"].to_numpy()
+        links = np.zeros(len(sig), np.int64)
+        np.add.at(links, one, copies[two])
+        np.add.at(links, two, copies[one])
+        some = links > 0
+        return pa.table({"sig": pa.array(sig[some], pa.int64()), "links": pa.array(links[some], pa.int64())})
+
+    return link
+
+
+class Meetings(NamedTuple):
+    """Stored members of the lists, and the sets that they name."""
+
+    members: DataFrame
+    sets: DataFrame
+
+    def blocks(self, percent: int, block_sets: int | None) -> GroupedData:
+        """Pairs of blocks with all that is compared: one group each."""
+        members = self.members
+        each = F.transform("spots", lambda spot: F.struct(spot["shingle"].alias("shingle"), F.col("lead").alias("lead")))
+        firsts = members.groupBy("sig").agg(F.flatten(F.collect_list(each)).alias("firsts"))
+        rows = block_pairs(members, percent, block_sets or J.BLOCK_SETS)
+        return rows.join(self.sets.join(firsts, "sig"), "sig").groupBy("lead", "one", "two")
+
+
+def meetings(steps: J.Joined) -> Meetings:
+    copies = steps.found.filter("n > 0").groupBy("sig").agg(F.count("*").alias("copies"))
+    members = stored(list_members(steps.lists, steps.labels), "jaccard-members")
+    return Meetings(members, steps.sets.select("sig", "shingles").join(copies, "sig"))
+
+
+def class_pairs(steps: J.Joined, percent: int = J.PERCENT, block_sets: int | None = None) -> DataFrame:
     """Every link (a, b), a < b, between two different classes, once."""
-    members = stored(list_members(lists, labels), "jaccard-members")
-    blocks = block_pairs(members, percent, block_sets or J.BLOCK_SETS)
-    rows = blocks.join(sets.select("sig", "shingles"), "sig")
-    return rows.groupBy("lead", "one", "two").applyInArrow(_linker(percent), "a bigint, b bigint").distinct()
+    return meetings(steps).blocks(percent, block_sets).applyInArrow(_pairs(percent), "a bigint, b bigint")
 
 
 def jaccard_join(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = J.WIDTH, percent: int = J.PERCENT,
     block_sets: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Membership and links: one row per document as :func:`jaccard_join.near_duplicates` gives it, with ``n_links``
-    (documents that it links with, copies included); and the pairs (a, b) of classes that link.
+) -> DataFrame:
+    """One row per document as :func:`jaccard_join.near_duplicates` gives it, with ``n_links``: the documents that it
+    links with, copies included. :func:`class_pairs` has the links themselves.
 
     Empty and NULL texts link with nothing, so they have 0 links; rows of one id, also repeated rows, are documents of their
     own; NULL ids stay. Other columns of ``docs`` are not read.
     """
-    steps = J.joined(docs, text_col, id_col, width, percent)
-    pairs = stored(class_pairs(steps.sets, steps.lists, steps.labels, percent, block_sets), "jaccard-pairs")
+    return with_links(J.joined(docs, text_col, id_col, width, percent), percent, block_sets)
+
+
+def with_links(steps: J.Joined, percent: int = J.PERCENT, block_sets: int | None = None) -> DataFrame:
+    found = meetings(steps).blocks(percent, block_sets).applyInArrow(_counts(percent), "sig bigint, links bigint")
+    others = found.groupBy(F.col("sig").alias("_own")).agg(F.sum("links").alias("_others"))
     copies = steps.found.filter("n > 0").groupBy(F.col("sig").alias("class")).agg(F.count("*").alias("_copies"))
-    both = pairs.unionAll(pairs.select("b", "a")).toDF("_own", "class")
-    others = both.join(copies, "class").groupBy("_own").agg(F.sum("_copies").alias("_others"))
     totals = copies.join(others, F.col("class") == F.col("_own"), "left").select(
         "class", (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links")
     )
     named = J._named(steps.found, steps.labels).join(totals, "class", "left")
-    return named.withColumn("n_links", F.coalesce("_links", F.lit(0)).cast("long")).drop("_links"), pairs
+    return named.withColumn("n_links", F.coalesce("_links", F.lit(0)).cast("long")).drop("_links")

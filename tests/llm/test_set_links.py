@@ -29,12 +29,14 @@ def links(rows):
 
 
 def check(frame, rows, **options):
-    found, pairs = L.jaccard_join(frame, **options)
-    got = found.collect()
+    steps = L.J.joined(frame, "text", "doc_id", 5, 80)
+    got = L.with_links(steps, **options).collect()
+    pairs = L.class_pairs(steps, **options).cache()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows)
     wanted, n_pairs = links(rows)
     assert Counter((r["doc_id"], r["n_links"]) for r in got) == wanted
     assert pairs.count() == n_pairs and pairs.filter("a >= b").count() == 0
+    assert pairs.distinct().count() == n_pairs
 
 
 def test_odd_rows(odd_documents, odd_rows, clashing, no_documents):
@@ -73,8 +75,9 @@ def test_query_keeps_all_links(spark):
     two=st.lists(st.booleans(), min_size=16, max_size=16),
     diagonal=st.booleans(),
     percent=st.sampled_from([40, 60, 80, 100]),
+    before=st.integers(0, 6),
 )
-def test_block_links(sets, two, diagonal, percent):
+def test_block_links(sets, two, diagonal, percent, before):
     """One block with itself, or two blocks of which one asks the other; every shingle is in a list."""
     two = np.array(two[: len(sets)])
     asks, held = (np.ones(len(sets), bool),) * 2 if diagonal else (~two, two)
@@ -84,11 +87,15 @@ def test_block_links(sets, two, diagonal, percent):
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(values)
     names = np.random.default_rng(len(flat)).permutation(len(sets))
-    one, other = L.block_links(names, n, names % 3, asks, held, (offsets, flat, pos), (offsets, flat), percent)
+    early = [v[v < before] for v in values]  # shingles below ``before`` are in lists of lesser leaders
+    earlier = (np.concatenate(([0], np.cumsum([len(e) for e in early]))), np.concatenate(early))
+    one, other = L.block_links(
+        names, n, names % 3, asks, held, (offsets, flat, pos), (offsets, flat), earlier, percent
+    )
     got = Counter(frozenset(p) for p in zip(one.tolist(), other.tolist()))
     similar = lambda x, y: 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])
     wanted = {
         frozenset((x, y)) for x in range(len(sets)) for y in range(len(sets))
-        if x != y and asks[x] and held[y] and similar(x, y)
+        if x != y and asks[x] and held[y] and similar(x, y) and min(sets[x] & sets[y]) >= before
     }
     assert got == Counter(wanted)
