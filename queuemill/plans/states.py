@@ -17,7 +17,8 @@ from queuemill.streaming import lives, waiting
 from queuemill.streaming.runner import run_available
 from queuemill.streaming.scoring import score_stream
 
-FILES = 3
+STEPS = 3
+MAX_FILES = 200  # of one trigger
 #: Rows arrive up to twelve hours late, and the watermark waits for thirteen.
 LATENESS_SECONDS = 12 * 3600
 LATE_STEPS = 4
@@ -26,15 +27,21 @@ FIRST_US, SPAN_US = 1_704_067_200_000_000, 31 * 24 * 3600 * 1_000_000  # January
 
 
 def arriving(rows: DataFrame, at_us: str, label: str) -> DataFrame:
-    """``rows`` as a stream of ``FILES`` triggers: by time, but each row up to ``LATENESS_SECONDS`` late."""
+    """``rows`` as a stream of ``STEPS`` triggers: by time, but each row up to ``LATENESS_SECONDS`` late.
+
+    Every trigger takes the same number of files, one per partition of ``rows``; where there are fewer, empty ones follow.
+    """
     spark = rows.sparkSession
     late = F.pmod(F.xxhash64("request_id", at_us), F.lit(LATE_STEPS)) * (LATENESS_SECONDS * 1_000_000 // LATE_STEPS)
-    number = F.least(F.greatest(F.expr("0"), (F.col(at_us) + late - FIRST_US) * FILES / SPAN_US), F.lit(FILES - 1))
+    number = F.least(F.greatest(F.expr("0"), (F.col(at_us) + late - FIRST_US) * STEPS / SPAN_US), F.lit(STEPS - 1))
     path = scratch_path(spark, label)
-    for file in range(FILES):
-        part = rows.filter(number.cast("int") == file)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return read_request_stream(spark, path, rows.schema, max_files=1)
+    files = min(rows.rdd.getNumPartitions(), MAX_FILES)
+    for step in range(STEPS):
+        rows.filter(number.cast("int") == step).coalesce(files).write.mode("append").parquet(path)
+        written = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+        for _ in range(written, files * (step + 1)):
+            rows.filter("false").coalesce(1).write.mode("append").parquet(path)
+    return read_request_stream(spark, path, rows.schema, max_files=files)
 
 
 QUEUE_TIMEOUT_SECONDS = 3 * 24 * 3600

@@ -12,8 +12,9 @@ that begins a life of its own. All rules look at event times alone, never at the
 before the timer but happened after the deadline does not save the request, one that happened in time does, even if it
 comes in late. So the last row of every request does not depend on how events are split into files and triggers.
 
-State is a typed value per request, its events as a list and its open deadlines as a map, in RocksDB. Time to live is not
-used: Spark offers it for processing time only, and here the retention timer does its work by event time.
+State is a typed value per request, its events as a list and its open deadlines as a map, in RocksDB, where requests share
+groups (:mod:`queuemill.streaming.grouped`). Time to live is not used: Spark offers it for processing time only, and here the
+retention timer does its work by event time.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
 
 from queuemill.operators.lifecycle import CLIENT_TIMEOUT_SECONDS, RETENTION_SECONDS
+from queuemill.streaming.grouped import GROUPS, transform_groups
 from queuemill.streaming.runner import use_rocksdb
 
 LIFE = "seq bigint, timed_out boolean, reason string, closed_us bigint"
@@ -146,15 +148,16 @@ class RequestLife(StatefulProcessor):
                 self.life.update((seq, True, REASONS[name], at))
                 yield self._row(key, f"{name}_timeout", at, moves)
 
-    def _within(self, moves: list[Move]) -> list[Move]:
-        """The events of this life: those up to the end of its retention."""
-        closing = standing(moves, self.rules).closing
-        if closing is None:
-            return moves
-        return [m for m in moves if m.at_us <= closing[0] + self.rules.keep_us]
+    def _standing(self, moves: list[Move]) -> Standing:
+        """Of the events of this life: those up to the end of its retention."""
+        found = standing(moves, self.rules)
+        if found.closing is None:
+            return found
+        within = [m for m in moves if m.at_us <= found.closing[0] + self.rules.keep_us]
+        return found if len(within) == len(moves) else standing(within, self.rules)
 
     def _row(self, key: tuple, change: str, at: int, moves: list[Move]) -> Row:
-        found = standing(self._within(moves), self.rules)
+        found = self._standing(moves)
         seq, timed_out, reason, closed = self.life.get() or NEW
         self.life.update((seq + 1, timed_out, reason, closed))
         wanted = dict(found.deadlines)
@@ -166,7 +169,7 @@ class RequestLife(StatefulProcessor):
 
     def _purge(self, key: tuple, at: int, moves: list[Move]) -> Iterator[Row]:
         """Drop the life; events after its retention are the first ones of another."""
-        found = standing(self._within(moves), self.rules)
+        found = self._standing(moves)
         seq, timed_out, reason, _ = self.life.get() or NEW
         self._set({})
         yield _change(key, "purged", at, found, timed_out, reason, seq)
@@ -215,11 +218,13 @@ def request_changes(
     keep_seconds: float = RETENTION_SECONDS,
     delay: str = "10 minutes",
     timeout: str | None = None,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """A row per request and trigger that brings events of it (``change`` is ``updated``) and per timer that fires
     (``queue_timeout``, ``client_timeout``, ``purged``), numbered by ``seq`` within a request.
 
-    ``timeout`` names a column of seconds on ``received`` events. Rows with a NULL id or time are ignored.
+    ``timeout`` names a column of seconds on ``received`` events. Rows with a NULL id or time are ignored. The state of all
+    requests is kept in ``groups`` groups.
     """
     use_rocksdb(events.sparkSession)
     rules = Rules(
@@ -236,13 +241,9 @@ def request_changes(
         (own.cast("double") * 1_000_000).cast("bigint").alias("timeout_us"),
     )
     id_type = events.schema["request_id"].dataType.simpleString()
-    return (
-        moves.filter("request_id is not null and event_time is not null")
-        .groupBy("request_id")
-        .transformWithState(
-            RequestLife(rules), T.StructType.fromDDL(f"request_id {id_type}, {CHANGE}"), "Append", "EventTime"
-        )
-    )
+    out = T.StructType.fromDDL(f"request_id {id_type}, {CHANGE}")
+    known = moves.filter("request_id is not null and event_time is not null")
+    return transform_groups(known, ["request_id"], RequestLife(rules), out, "EventTime", groups)
 
 
 def last_changes(changes: DataFrame) -> DataFrame:
@@ -255,5 +256,7 @@ def last_changes(changes: DataFrame) -> DataFrame:
 def open_lives(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What a stream of changes keeps at its last checkpoint: ``request_id, at_us, stage, kind, success`` of every event of
     a request whose retention is not over. Read from the state store, without running the stream."""
-    state = spark.read.format("statestore").option("stateVarName", "moves").load(checkpoint)
-    return state.select("key.request_id", "list_element.*")
+    pages = spark.read.format("statestore").option("stateVarName", "moves").load(checkpoint)
+    names = [field.name for field in pages.schema["list_element"].dataType]
+    moves = pages.select(F.inline(F.arrays_zip(*(F.col(f"list_element.{name}") for name in names))))
+    return moves.withColumnRenamed("key_request_id", "request_id")
