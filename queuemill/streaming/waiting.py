@@ -12,7 +12,7 @@ in. Two clocks:
   traffic that may pause; which requests share a batch then depends on when they come in.
 
 A queue's batches are formed one after another, in one task per trigger; its state is its open batch and what the
-watermark has not passed yet. Queues that are too much for that are dealt over ``lanes``, each packed by itself.
+watermark has not passed yet, read and written with that of other queues (:mod:`queuemill.streaming.grouped`). Queues that are too much for that are dealt over ``lanes``, each packed by itself.
 Requests without inputs never wait: they come out at once, without a batch.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql.types import Row
 
 from queuemill.operators.inference import Stage, _answered, _begun, _chain_schema, _expression_stage, _numbered, _run_chain
 from queuemill.operators.packing import PackRule
+from queuemill.streaming.grouped import GROUPS, transform_groups
 from queuemill.streaming.lives import timer_ms
 from queuemill.streaming.runner import use_rocksdb
 
@@ -166,6 +167,7 @@ def pack_stream(
     delay: str = "10 minutes",
     clock: str = "event",
     lanes: int = 1,
+    groups: int = GROUPS,
     **columns: str,
 ) -> DataFrame:
     """The requests of every batch that is closed, together and in order, with ``batch_id`` (0-based per queue) and
@@ -173,7 +175,7 @@ def pack_stream(
     With several ``lanes`` the n-th batch of a lane has the number ``n * lanes + lane``.
 
     Times are epoch microseconds. Requests without a time, without inputs or with a size of NULL get no batch. A NULL queue
-    is a queue. ``delay`` is how late a request may come (clock ``event``).
+    is a queue. ``delay`` is how late a request may come (clock ``event``). The state of all queues is kept in ``groups`` groups.
     """
     use_rocksdb(stream.sparkSession)
     rule = PackRule(batch_size, max_wait_us, key, **columns)
@@ -186,7 +188,7 @@ def pack_stream(
     if clock == "event":
         stream = stream.withColumn("_at", F.timestamp_micros(rule.time)).withWatermark("_at", delay)
     processor = QueuePacker(rule, layout, [*names, "batch_id", "batch_offset"], clock, lanes)
-    return stream.groupBy(key, "_lane").transformWithState(_Cut(processor, len(names)), out, "Append", CLOCKS[clock])
+    return transform_groups(stream, [key, "_lane"], _Cut(processor, len(names)), out, CLOCKS[clock], groups)
 
 
 class _Cut(StatefulProcessor):
@@ -218,6 +220,7 @@ def score_waiting_stream(
     delay: str = "10 minutes",
     clock: str = "event",
     lanes: int = 1,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """:func:`~queuemill.operators.inference.chain` on a stream whose first stage's batches wait across triggers.
 
@@ -238,7 +241,7 @@ def score_waiting_stream(
             packed_by, stage = members[0]
             sized = work.withColumn("_size", F.when(F.col("success"), F.size("_work")))
             work = pack_stream(
-                sized, stage.batch_size, max_wait_us, key, delay, clock, lanes,
+                sized, stage.batch_size, max_wait_us, key, delay, clock, lanes, groups,
                 time=time_column, request_id=request_id, size="_size",
             ).drop("_size", "batch_offset")
         else:

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.types import Row
 from test_lives import KINDS, RULES, At, Held
 
+from queuemill.operators.packing import PackRule
 from queuemill.plans import states
 from queuemill.session import scratch_path
-from queuemill.streaming import grouped, lives
+from queuemill.streaming import grouped, lives, waiting
 
 KEY = T.StructType([T.StructField("request_id", T.LongType())])
 
@@ -164,3 +165,33 @@ def test_steps_have_equal_numbers_of_files(spark):
     assert all(b[1] > a[2] - late for a, b in zip(spans, spans[1:]))
     first = spark.read.parquet(f"{out}/epoch=0")
     assert first.rdd.getNumPartitions() > 1 or len(first.inputFiles()) > 1
+
+
+def queue_rows(queues, at_us):
+    return [Row(queue_key=q, received_us=at_us + q, request_id=i, n_inputs=2, _lane=0) for i in range(3) for q in queues]
+
+
+def packed_queues(queues):
+    """Batches by queue, and how often the store was called: two triggers, then a watermark behind them all."""
+    names = ["queue_key", "received_us", "request_id", "n_inputs"]
+    schema = T.StructType([T.StructField(name, T.LongType()) for name in names])
+    layout = waiting.Layout(schema, 1, 2, 3)
+    packer = waiting.QueuePacker(PackRule(5, 10_000), layout, [*names, "batch_id", "batch_offset"], "event")
+    keys = T.StructType([T.StructField("queue_key", T.LongType()), T.StructField("_lane", T.IntegerType())])
+    processor, store, found = grouped.Grouped(waiting._Cut(packer, len(names)), keys, "EventTime"), Store(), []
+    for rows, mark in ((queue_rows(queues, 1_000_000), 0), (queue_rows(queues, 9_000_000), 900), ([], 2_000), ([], 99_000)):
+        processor.init(store)
+        if rows:
+            found += processor.handleInputRows((0,), iter(rows), At(mark))
+        for at in sorted(store.timers):
+            if at < mark and at in store.timers:
+                found += processor.handleExpiredTimer((0,), At(mark), At(at))
+                store.timers.discard(at)
+    return [tuple(r) for r in found], sum(store.calls.values())
+
+
+def test_queues_of_a_group():
+    together, calls = packed_queues(list(range(300)))
+    for queue in (0, 7, 299):
+        assert [r for r in together if r[0] == queue] == packed_queues([queue])[0]
+    assert len(together) == 300 * 6 and calls < 100
