@@ -36,16 +36,20 @@ RANK_BITS = 512
 #: Tokens after which a task begins the next file.
 FILE_TOKENS = 1 << 23
 END_ID = 1
-#: Rows encoded at a time, and distinct words after which a worker forgets what it remembers.
-ENCODE_ROWS = 2048
+#: Bytes of text encoded at a time (a longer text is taken whole), and distinct words after which a worker
+#: forgets what it remembers.
+ENCODE_BYTES = 1 << 21
 REMEMBERED = 500_000
-SLICE = 1 << 20
+#: Ids packed, unpacked or summed up at a time.
+SLICE = 1 << 16
 
 
 def best_widths(ids: np.ndarray) -> tuple[int, ...]:
     """Widths of one to three chunks that give the fewest bits for these ids."""
-    lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=2) if len(ids) else np.array([0, 1])
-    bits = max(1, len(lengths) - 1)
+    lengths = np.zeros(33, np.int64)  # ids of so many bits
+    for a in range(0, len(ids), SLICE):
+        lengths += np.bincount(np.frexp(ids[a : a + SLICE].astype(np.float64))[1], minlength=33)
+    bits = max(1, int(np.flatnonzero(lengths).max(initial=1)))
     longer = lambda k: int(lengths[k + 1 :].sum())  # ids of more than k bits
 
     def cost(widths: tuple[int, ...]) -> int:
@@ -62,6 +66,7 @@ def best_widths(ids: np.ndarray) -> tuple[int, ...]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bits of all values."""
     shifts = np.arange(width, dtype=np.uint32)
     parts = [
         np.packbits(((values[a : a + SLICE, None] >> shifts) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
@@ -107,7 +112,7 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> byte
         ranks = np.concatenate((np.zeros(1, np.uint64), np.cumsum(counts, dtype=np.uint64)))
         parts += [
             np.array([len(rest)], "<u8").tobytes(),
-            _padded(_pack(rest & np.uint32((1 << width) - 1), width)),
+            _padded(_pack(rest, width)),
             _padded(bits),
             ranks.astype("<u8").tobytes(),
         ]
@@ -231,50 +236,61 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
         names = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def _one_by_one(self, words: list[str]) -> None:
-        for word, code in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.known[word] = np.array(code.ids, np.uint32).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words. Words of letters are one piece each, so many are encoded as one text and cut
-        after their last ids; should the cuts not fit the words, they are encoded one by one."""
-        plain = [w for w in words if w.isalpha()]
-        self._one_by_one([w for w in words if not w.isalpha()])
-        groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
-        codes = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
-        for group, code in zip(groups, codes):
-            ids = np.array(code.ids, np.uint32)
-            cuts = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
-            if len(cuts) != len(group):
-                self._one_by_one(group)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(group, cuts.tolist()):
-                self.known[word] = raw[begin:end]
-                begin = end
+    def _forget(self) -> None:
+        """Word ``k`` of ``words`` has the ids ``pool[borders[k] : borders[k + 1]]``; the empty one has none."""
+        self.words = pa.array([""], pa.large_string())
+        self.pool = np.zeros(0, np.uint32)
+        self.borders = np.zeros(2, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(code.ids, np.uint32) for code in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words and how many each has. Words of letters are one piece each, so they are encoded as one
+        text and cut after their last ids; should the cuts not fit the words, they are encoded one by one."""
+        if words[0].isalpha():
+            ids = self._encoded([" ".join(words)])[0]
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(words):
+                return ids[: cuts[-1]], np.diff(cuts, prepend=0)
+        found = self._encoded(words)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words are in ``words``; new ones are encoded first, those of letters before the others."""
+        found = pc.index_in(words, value_set=self.words)
+        places = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            texts = words.take(pa.array(new)).to_pylist()
+            letters = np.fromiter((w.isalpha() for w in texts), bool, len(texts))
+            order = np.argsort(~letters, kind="stable")
+            texts = [texts[i] for i in order.tolist()]
+            cuts = sorted({*range(0, len(texts), TOGETHER), int(letters.sum()), len(texts)})
+            coded = [self._ids_of(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
+            places[new[order]] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(new[order]))])
+            self.pool = np.concatenate([self.pool, *(ids for ids, _ in coded)])
+            ends = np.cumsum(np.concatenate([sizes for _, sizes in coded]))
+            self.borders = np.concatenate((self.borders, self.borders[-1] + ends))
+        return places
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and where each text ends."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        bases, marks = (part.dictionary_encode() for part in split_marks(coded.dictionary))
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        parts = [text for part in (bases, marks) for text in part.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        self._learn(list({part for part in parts if part not in self.known}))
-        raw = [self.known[part] for part in parts]
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        begins = np.cumsum(lengths) - lengths
-        both = np.empty(2 * len(coded.dictionary), np.int64)  # a word is its base and its marks
-        both[0::2] = bases.indices.to_numpy()
-        both[1::2] = marks.indices.to_numpy() + len(bases.dictionary)
-        pool = _gathered(np.frombuffer(b"".join(raw), np.uint32), begins[both], lengths[both])
-        sizes = lengths[both[0::2]] + lengths[both[1::2]]
+        if len(self.words) > REMEMBERED:
+            self._forget()
+        parts = pa.concat_arrays(split_marks(coded.dictionary)).dictionary_encode()
+        both = self._places(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1)  # a word is its base and its marks
+        begins, sizes = self.borders[both], np.diff(self.borders)[both]
+        pool = _gathered(self.pool, begins.T.ravel(), sizes.T.ravel())
+        sizes = sizes.sum(axis=0)
         begins = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[which]
@@ -294,28 +310,42 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ENCODE_BYTES, and of as many rows at most."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1)
+    begin = 0
+    while begin < len(upto):
+        end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + ENCODE_BYTES, "right"))
+        yield begin, (end := max(end, begin + 1))
+        begin = end
+
+
 def _writer(folder: str, tokenizer: str, end_id: int, file_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
+        ids = np.empty(file_tokens, np.uint32)  # the open file's, of which ``held`` are there
         docs: list[int | None] = []
         ends: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, docs, ends, held, number
+            nonlocal docs, ends, held, number
             name = f"part-{task:08d}-{number:06d}.dac"
-            write_file(folder, name, encode(np.concatenate(ids), docs, np.concatenate(ends)))
+            write_file(folder, name, encode(ids[:held], docs, np.concatenate(ends)))
             row = pa.RecordBatch.from_pydict({"file": [name], "tokens": pa.array([held], pa.int64())})
-            ids, docs, ends, held, number = [], [], [], 0, number + 1
+            docs, ends, held, number = [], [], 0, number + 1
+            pa.default_memory_pool().release_unused()  # the worker lives on
             return row
 
         for batch in batches:
-            for a in range(0, batch.num_rows, ENCODE_ROWS):
-                part = batch.slice(a, ENCODE_ROWS)
+            for a, b in _text_slices(batch.column("text")):
+                part = batch.slice(a, b - a)
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
                 found, stops = encoder(tokenizer)(texts, end_id)
-                ids.append(found)
+                if held + len(found) > len(ids):
+                    ids = np.concatenate((ids[:held], found))
+                else:
+                    ids[held : held + len(found)] = found
                 ends.append(stops + held)
                 docs += part.column("doc_id").to_pylist()
                 held += len(found)
@@ -356,20 +386,41 @@ def write_tokens(
     return files.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
+def _crc32(file: TokenFile, begin: int, end: int) -> int:
+    """Of a document's ids, decoded by slices."""
+    found = 0
+    for a in range(begin, end, SLICE):
+        found = zlib.crc32(file.tokens(a, min(a + SLICE, end)).astype("<u4"), found)
+    return found
+
+
+def _sums(file: TokenFile, starts: np.ndarray) -> Iterator[int]:
+    """CRC of every document; short ones are decoded together."""
+    begin = 0
+    while begin < file.n_docs:
+        first = int(starts[begin])
+        end = max(begin + 1, int(np.searchsorted(file.ends, first + SLICE, "right")))
+        if end == begin + 1:
+            yield _crc32(file, first, int(file.ends[begin]))
+        else:
+            raw = memoryview(file.tokens(first, int(file.ends[end - 1])).astype("<u4").tobytes())
+            for a, b in zip((starts[begin:end] - first).tolist(), (file.ends[begin:end] - first).tolist()):
+                yield zlib.crc32(raw[4 * a : 4 * b])
+        begin = end
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content")):
             file = TokenFile(content.as_py())
             starts = np.concatenate(([0], file.ends[:-1])) if file.n_docs else np.zeros(0, np.int64)
-            raw = memoryview(file.tokens(0, file.n_tokens).astype("<u4").tobytes())
-            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), file.ends.tolist())]
             yield pa.RecordBatch.from_pydict(
                 {
                     "file": pa.array([path.as_py().rsplit("/", 1)[-1]] * file.n_docs, pa.string()),
                     "doc_id": pa.array(file.doc_ids.astype(np.int64), pa.int64(), mask=file.missing),
                     "offset": pa.array(starts, pa.int64()),
                     "n_tokens": pa.array(file.ends - starts, pa.int64()),
-                    "ids_crc32": pa.array(sums, pa.int64()),
+                    "ids_crc32": pa.array(list(_sums(file, starts)), pa.int64()),
                 }
             )
 

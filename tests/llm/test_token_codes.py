@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -113,3 +114,47 @@ def test_every_letter_and_digit_before_a_mark():
         begins = np.concatenate(([0], ends[:-1]))
         wrong = [w for w, b, e, right in zip(part, begins, ends, wanted) if ids[b : e - 1].tolist() != right]
         assert wrong == []
+
+
+def held_by(action):
+    """What ``action`` returns and the bytes it held at most."""
+    tracemalloc.start()
+    try:
+        return action(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_to_write_and_read_a_file():
+    ids = np.random.default_rng(2).zipf(1.3, 2_000_000).clip(max=49_407).astype(np.uint32)
+    ends = np.array([3, 3, 1_500_000, 1_500_007, *range(1_500_010, len(ids) + 1, 70)])
+    ends[-1] = len(ids)
+    content, written = held_by(lambda: C.encode(ids, list(range(len(ends))), ends))
+    batch = pa.RecordBatch.from_pydict({"path": ["a/part-0.dac"], "content": pa.array([content], pa.binary())})
+    rows, read = held_by(lambda: [r for b in C._documents(iter([batch])) for r in b.to_pylist()])
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(ids[a:b].tobytes()) for a, b in zip([0, *ends[:-1]], ends)]
+    assert [r["offset"] + r["n_tokens"] for r in rows] == ends.tolist()
+    assert written < 4 * ids.nbytes and read < 4 * ids.nbytes
+
+
+def test_texts_are_encoded_by_bytes(monkeypatch, tmp_path):
+    """However long the rows are, a call gets few bytes of them, and words that were forgotten come back the same."""
+    texts = [None, "", *(" ".join(f"w{i}x{j}," for j in range(i * 40)) for i in range(60)), "one two"]
+    calls, whole, path = [], C.Encoder(PATH), str(tmp_path)
+
+    def counted(part, end_id):
+        calls.append((len(part), sum(len(t) for t in part.to_pylist())))
+        return small(part, end_id)
+
+    small = C.Encoder(PATH)
+    monkeypatch.setattr(C, "encoder", lambda _: counted)
+    monkeypatch.setattr(C, "ENCODE_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(C.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    wanted, ends = whole(pa.array([t or "" for t in texts], pa.large_string()), 1)
+    monkeypatch.setattr(C, "REMEMBERED", 1_000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    list(C._writer(path, PATH, 1, len(wanted) // 2)(iter([batch])))
+    files = [C.TokenFile(f.read_bytes()) for f in sorted(tmp_path.glob("part-*.dac"))]
+    assert len(files) > 1 and np.concatenate([f.doc_ids for f in files]).tolist() == list(range(len(texts)))
+    assert (np.concatenate([f.tokens(0, f.n_tokens) for f in files]) == wanted).all() and ends[-1] == len(wanted)
+    assert len(calls) > 10 and all(rows == 1 or size <= 10_000 for rows, size in calls)
